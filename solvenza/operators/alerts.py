@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from solvenza.functions import labels, scalars as S
 from solvenza.operators import grades, ordered
@@ -32,22 +32,14 @@ def alert_columns(changes: DataFrame) -> DataFrame:
     )
 
 
-def _moved(changes: DataFrame) -> DataFrame:
-    return changes.filter(F.col("direction").isin(RAISED, LOWERED))
-
-
 def grade_alerts(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
     """``up`` and ``down`` alerts, one per observation that moved the grade."""
-    return alert_columns(_moved(grades.with_changes(observations, chunk)))
-
-
-def _week(ts: str) -> Column:
-    return F.window(ts, "7 days").getField("start")
+    changes = grades.with_changes(observations, chunk)
+    return alert_columns(changes.filter(F.col("direction").isin(RAISED, LOWERED)))
 
 
 def news_warnings(
-    observations: DataFrame, items: DataFrame, growth: float = WARNING_GROWTH,
-    chunk: str = ordered.HOUR,
+    observations: DataFrame, items: DataFrame, growth: float = WARNING_GROWTH
 ) -> DataFrame:
     """``warning`` alerts: negative news grew by ``growth`` or more over a week in
     which no observation moved the grade.
@@ -58,7 +50,7 @@ def news_warnings(
     negative = F.col("sentiment") == "negative"
     article = F.when(negative, F.struct("published_at", "id", "title"))
     weeks = (
-        items.withColumn("week_start", _week("published_at"))
+        items.withColumn("week_start", F.window("published_at", "7 days").getField("start"))
         .groupBy("company", "week_start")
         .agg(F.count_if(negative).alias("_n"), F.max(article).alias("_article"))
     )
@@ -69,12 +61,7 @@ def news_warnings(
     rising = weeks.withColumn("_before", before).filter(
         F.try_divide(F.col("_n") - F.col("_before"), F.col("_before")) >= growth
     )
-    moved = (
-        _moved(grades.with_changes(observations, chunk))
-        .withColumn("week_start", _week("ts"))
-        .select("company", "week_start")
-        .distinct()
-    )
+    moved = grades.moved_weeks(observations)
     return rising.join(moved, ["company", "week_start"], "left_anti").select(
         F.col("_article.id").alias("id"),
         F.lit("warning").alias("type"),
@@ -91,7 +78,7 @@ def rating_alerts(
     chunk: str = ordered.HOUR,
 ) -> DataFrame:
     return grade_alerts(observations, chunk).unionByName(
-        news_warnings(observations, items, growth, chunk)
+        news_warnings(observations, items, growth)
     ).select(*_COLUMNS)
 
 

@@ -85,11 +85,14 @@ def change_hash(columns: Sequence[str] = CHANGE_KEY) -> Column:
 
 def changed(
     snapshots: DataFrame, ts: str = "snapshot_ts", columns: Sequence[str] = CHANGE_KEY,
-    chunk: str = "30 days",
+    chunk: str = "30 days", kept: DataFrame | None = None,
 ) -> DataFrame:
-    """Snapshots whose key differs from the company's snapshot before."""
-    hashed = snapshots.withColumn("_hash", change_hash(columns))
+    """Snapshots whose key differs from the company's snapshot before, with the key's
+    hash as ``change_hash``. ``kept`` holds ``company, change_hash`` saved earlier."""
+    hashed = snapshots.withColumn("change_hash", change_hash(columns))
+    if kept is not None:
+        kept = kept.select("company", F.col("change_hash").alias("kept"))
     compared = ordered.previous_value(
-        hashed, ["company"], ts, [ts], F.col("_hash"), "_previous", chunk
+        hashed, ["company"], ts, [ts], F.col("change_hash"), "_previous", chunk, kept
     )
-    return compared.filter(~F.col("_hash").eqNullSafe(F.col("_previous"))).drop("_hash", "_previous")
+    return compared.filter(~F.col("change_hash").eqNullSafe(F.col("_previous"))).drop("_previous")

@@ -17,18 +17,18 @@ def on_scale(observations: DataFrame) -> DataFrame:
     return observations.withColumn("score", S.grade_index(F.col("grade"))).filter("score >= 0")
 
 
-def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
-    """Compare every observation with the one before it.
+def follow(
+    observations: DataFrame, chunk: str = ordered.HOUR, kept: DataFrame | None = None
+) -> DataFrame:
+    """Each observation's score with the one before it and the latest change.
 
-    Adds ``prev_score`` (NULL for a company's first observation), ``direction`` and
-    ``last_change``, the latest "before → after" text up to the row, empty before
-    any change. The comparison is with the last observation, also one of the same
-    bucket, and reaches back without limit.
+    A change is one integer, ``before * 20 + after``; the ``grade`` text is dropped.
+    So rows and chunk summaries stay narrow, and summaries aggregate in fixed-width
+    hash buffers. ``kept`` holds ``company, score, change`` from before the first row.
     """
     w = ordered.chunk_window(["company"], _ORDER)
-    # A change is kept as one integer, so chunk summaries stay fixed-width and
-    # hash-aggregate; the text is made at the end.
-    local = ordered.in_chunks(on_scale(observations), "ts", chunk).select(
+    scored = on_scale(observations).drop("grade")
+    local = ordered.in_chunks(scored, ["company"], "ts", chunk).select(
         "*", F.lag("score").over(w).alias("_before"), F.lead("score").over(w).alias("_after")
     )
     local = local.withColumn(
@@ -40,13 +40,24 @@ def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFram
 
     def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
         handed = summaries.withColumn("_carried_score", F.lag("_last").over(over))
-        handed = handed.withColumn("_entry", _change_code(F.col("_carried_score"), F.col("_first")))
+        kept_change = F.lit(None).cast("int")
+        if kept is not None:
+            state = kept.select(
+                "company", F.col("score").alias("_kept_score"), F.col("change").alias("_kept_change")
+            )
+            handed = handed.join(state, "company", "left").withColumn(
+                "_carried_score", F.coalesce("_carried_score", "_kept_score")
+            )
+            kept_change = F.col("_kept_change")
+        entry = _change_code(F.col("_carried_score"), F.col("_first"))
+        handed = handed.withColumn("_entry", entry).withColumn("_kept", kept_change)
         earlier = over.rowsBetween(Window.unboundedPreceding, -1)
         return handed.select(
             "company", "_chunk", "_carried_score",
             F.coalesce(
                 F.col("_entry"),
                 F.last(F.coalesce("_chunk_change", "_entry"), ignorenulls=True).over(earlier),
+                F.col("_kept"),
             ).alias("_carried_change"),
         )
 
@@ -60,23 +71,64 @@ def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFram
         ],
         carry,
     )
-    change = F.coalesce("_change", "_carried_change")
-    prev = F.coalesce("_before", "_carried_score")
     return joined.select(
-        *[F.col(c) for c in observations.columns],
-        "score",
-        prev.alias("prev_score"),
-        S.direction(prev, F.col("score")).alias("direction"),
-        F.when(change.isNull(), F.lit(""))
-        .otherwise(S.change_text(S.grade_label(F.floor(change / _N)), S.grade_label(change % _N)))
-        .alias("last_change"),
+        *[F.col(c) for c in scored.columns],
+        F.coalesce("_before", "_carried_score").alias("prev_score"),
+        F.coalesce("_change", "_carried_change").alias("change"),
     )
 
 
+def described(followed: DataFrame) -> DataFrame:
+    """Add grade, direction and the "before → after" text to followed observations."""
+    change = F.col("change")
+    text = S.change_text(S.grade_label(F.floor(change / _N)), S.grade_label(change % _N))
+    return followed.select(
+        *[F.col(c) for c in followed.columns if c != "change"],
+        S.grade_label(F.col("score")).alias("grade"),
+        S.direction(F.col("prev_score"), F.col("score")).alias("direction"),
+        F.when(change.isNull(), F.lit("")).otherwise(text).alias("last_change"),
+    )
+
+
+def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
+    """Compare every observation with the one before it.
+
+    Adds ``prev_score`` (NULL for a company's first observation), ``direction`` and
+    ``last_change``, the latest "before → after" text up to the row, empty before
+    any change. The comparison is with the last observation, also one of the same
+    bucket, and reaches back without limit.
+    """
+    return described(follow(observations, chunk))
+
+
 def _change_code(before: Column, now: Column) -> Column:
     return F.when(before != now, before * _N + now)
 
 
+def moved_weeks(observations: DataFrame) -> DataFrame:
+    """The company weeks in which at least one observation changed the grade.
+
+    A week holds a change when it has two grades, or opens with another grade than
+    the week before closed with. That needs only per-week aggregates, combined before
+    the shuffle, and no order of the single rows.
+    """
+    weeks = (
+        on_scale(observations)
+        .withColumn("week_start", F.window("ts", "7 days").getField("start"))
+        .groupBy("company", "week_start")
+        .agg(
+            F.min("score").alias("_best"), F.max("score").alias("_worst"),
+            F.max_by("score", F.struct("ts", "id")).alias("_last"),
+        )
+    )
+    before = F.lag("_last").over(Window.partitionBy("company").orderBy("week_start"))
+    return (
+        weeks.withColumn("_before", before)
+        .filter((F.col("_best") != F.col("_worst")) | (F.col("_before") != F.col("_best")))
+        .select("company", "week_start")
+    )
+
+
 def directions(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
     return with_changes(observations, chunk).select(
         "company", "id", "ts", "grade", "score", "direction",

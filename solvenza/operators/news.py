@@ -44,6 +44,7 @@ def sentiment_block(
     scored = recent(items, asof, days, limit).withColumn("_age", age)
     n, pos, neg = F.col("news_count"), F.col("positive"), F.col("negative")
     balance = pos - neg
+    span = n * days * _DAY_SECONDS
     return (
         scored.groupBy("company")
         .agg(
@@ -62,7 +63,7 @@ def sentiment_block(
             ).alias("aggregate"),
             (balance / n).alias("news_sentiment_score"),
             (F.sqrt(n * (pos + neg) - balance * balance) / n).alias("sentiment_volatility"),
-            (1 - F.col("_age") / (n * days * _DAY_SECONDS)).alias("recency_weight_mean"),
+            ((span - F.col("_age")) / span).alias("recency_weight_mean"),
         )
     )
 

@@ -4,8 +4,8 @@ A plain window over ``partitionBy(key)`` sends every row of a key to one task, s
 a key with a third of the rows decides the run time. The operators here cut each
 key into time chunks: the window runs inside ``(key, chunk)``, one summary row per
 chunk is carried forward over the chunks of its key, and the carried state is
-joined back. The rows are shuffled once, by ``(key, chunk)``; the summary is
-aggregated and the carry joined on that same partitioning.
+joined back. Rows move by ``(key, chunk)`` only; the summary is aggregated and the carry
+joined on that same partitioning.
 
 The number of summary rows of a key is bounded by its time span over the chunk
 width (4,320 hourly chunks in 180 days), not by its number of rows. A wider chunk
@@ -23,8 +23,16 @@ HOUR = "1 hour"
 _CHUNK = "_chunk"
 
 
-def in_chunks(df: DataFrame, ts: str, width: str = HOUR) -> DataFrame:
-    return df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
+def in_chunks(df: DataFrame, keys: Sequence[str], ts: str, width: str = HOUR) -> DataFrame:
+    """Add the chunk. Rows without a key or a time have no place in an order.
+
+    Saying so here, ahead of the branches that ``carry_over`` joins, leaves both with
+    the same filter, so that they read one shuffle when they need the same columns.
+    """
+    cut = df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
+    for column in (*keys, _CHUNK):
+        cut = cut.filter(F.col(column).isNotNull())
+    return cut
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -53,19 +61,29 @@ def carry_over(
 
 def previous_value(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    value: Column, into: str, chunk: str = HOUR,
+    value: Column, into: str, chunk: str = HOUR, kept: DataFrame | None = None,
 ) -> DataFrame:
-    """``lag(value)`` per key. ``order`` starts with ``ts`` and has no ties."""
+    """``lag(value)`` per key. ``order`` starts with ``ts`` and has no ties.
+
+    ``kept`` holds, as ``keys`` and ``kept``, values from before the first row.
+    """
     w = chunk_window(keys, order)
-    local = in_chunks(df, ts, chunk).select(
+    local = in_chunks(df, keys, ts, chunk).select(
         "*",
         F.lag(F.struct(value.alias("v"))).over(w).alias("_before"),
         F.when(F.lead(F.lit(1)).over(w).isNull(), F.struct(value.alias("v"))).alias("_tail"),
     )
-    joined = carry_over(
-        local, keys, [F.max("_tail").alias("_chunk_tail")],
-        lambda s, over: s.select(*keys, _CHUNK, F.lag("_chunk_tail").over(over).alias("_carried")),
-    )
+
+    def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
+        handed = summaries.withColumn("_carried", F.lag("_chunk_tail").over(over))
+        if kept is not None:
+            earlier = kept.select(*keys, F.struct(F.col("kept").alias("v")).alias("_kept"))
+            handed = handed.join(earlier, list(keys), "left").withColumn(
+                "_carried", F.coalesce("_carried", "_kept")
+            )
+        return handed.select(*keys, _CHUNK, "_carried")
+
+    joined = carry_over(local, keys, [F.max("_tail").alias("_chunk_tail")], carry)
     return joined.withColumn(into, F.coalesce("_before", "_carried").getField("v")).drop(
         _CHUNK, "_before", "_tail", "_carried"
     )
@@ -78,7 +96,7 @@ def latest_known(
     """Latest non-NULL ``value`` per key at or before each row."""
     w = chunk_window(keys, order)
     known = F.last(value, ignorenulls=True).over(up_to_here(w))
-    local = in_chunks(df, ts, chunk).select(
+    local = in_chunks(df, keys, ts, chunk).select(
         "*", known.alias("_known"), F.lead(F.lit(1)).over(w).isNull().alias("_ends")
     )
 
@@ -102,7 +120,7 @@ def position(
 ) -> DataFrame:
     """1-based position per key, as BIGINT."""
     w = chunk_window(keys, order)
-    local = in_chunks(df, ts, chunk).withColumn("_n", F.row_number().over(w).cast("long"))
+    local = in_chunks(df, keys, ts, chunk).withColumn("_n", F.row_number().over(w).cast("long"))
 
     def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
         earlier = over.rowsBetween(Window.unboundedPreceding, -1)

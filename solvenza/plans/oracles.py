@@ -401,7 +401,14 @@ _ORACLES = {
           count(*) OVER (PARTITION BY inbox)
             - row_number() OVER (PARTITION BY inbox ORDER BY ts DESC, id DESC) + 1 AS ordinal
         FROM inbox""",
+    "stream_credit_buckets": f"WITH {_BUCKETS} SELECT company, bucket_start, score, label FROM buckets",
+    "stream_grade_direction": f"""WITH {_CHANGES}
+        SELECT company, id, ts, grade, score, direction, last_change FROM changes""",
+    "stream_rating_alerts": f"""WITH {_ALERTS}
+        SELECT id, type, company, title, rating_change, news_keywords, ts FROM alerts
+        WHERE type <> 'warning'""",
 }
+_ORACLES["stream_feature_changes"] = _ORACLES["feature_changes"]
 
 
 def all_oracles() -> dict[str, str]:

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, catalog, features, financials, grades, news, portfolio
-from solvenza.schemas import RATIOS
+from solvenza.schemas import RATIOS, SENTIMENTS
+from solvenza.session import shared_dir
 from solvenza.sources import tables as T
+from solvenza.streaming import flows
+from solvenza.streaming.inputs import observation_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,7 +167,9 @@ def news_recent(spark, root):
 @query
 def news_sentiment(spark, root):
     block = news.sentiment_block(T.news_items(spark, root), T.latest_event(spark, root))
-    flat = block.select("*", "aggregate.*").drop("aggregate")
+    counts = [F.col(f"aggregate.{c.upper()}").alias(c) for c in SENTIMENTS]
+    ratios = [f"aggregate.{c}_ratio" for c in SENTIMENTS]
+    flat = block.select("*", *counts, *ratios).drop("aggregate")
     return _rounded(
         flat, "positive_ratio", "negative_ratio", "neutral_ratio", "news_sentiment_score",
         "sentiment_volatility", "recency_weight_mean",
@@ -320,11 +325,15 @@ def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def feature_changes(spark, root):
-    kept = features.changed(feature_snapshots(spark, root)).select(
+    return _feature_change_columns(features.changed(feature_snapshots(spark, root)))
+
+
+def _feature_change_columns(kept: DataFrame) -> DataFrame:
+    shown = kept.select(
         "company", "snapshot_ts", "news_count", "news_sentiment_score", "public_credit_rating",
         "debt_ratio", "business_report_text_score",
     )
-    return _rounded(kept, "news_sentiment_score", "business_report_text_score")
+    return _rounded(shown, "news_sentiment_score", "business_report_text_score")
 
 
 # --- alerts -----------------------------------------------------------------
@@ -333,9 +342,12 @@ def _alerts(spark: SparkSession, root: str) -> DataFrame:
     return alerts.rating_alerts(T.grade_observations(spark, root), T.news_items(spark, root))
 
 
+def _delivered(spark: SparkSession, root: str) -> DataFrame:
+    return _alerts(spark, root).withColumn("inbox", F.col("company") % 10)
+
+
 def _inbox(spark: SparkSession, root: str) -> DataFrame:
-    marked = alerts.mark_read(_alerts(spark, root), T.read_receipts(spark, root))
-    return marked.withColumn("inbox", F.col("company") % 10)
+    return alerts.mark_read(_delivered(spark, root), T.read_receipts(spark, root))
 
 
 @query
@@ -360,5 +372,49 @@ def notification_view(spark, root):
 
 @query
 def notification_ordinal(spark, root):
-    numbered = alerts.newest_first(alerts.with_ordinal(_inbox(spark, root)))
-    return numbered.select("inbox", "id", "ts", "ordinal")
+    feed = _delivered(spark, root).select("inbox", "id", "ts")
+    return alerts.newest_first(alerts.with_ordinal(feed))
+
+
+# --- streams ----------------------------------------------------------------
+# Each runs its stream over the whole event table and returns what the sink holds.
+
+@query
+def stream_credit_buckets(spark, root):
+    updates = flows.bucket_updates(observation_stream(spark, root))
+    rows = flows.run_available(updates, shared_dir(spark, "buckets"), "update")
+    return flows.served_buckets(spark, rows)
+
+
+def _followed(spark: SparkSession, root: str) -> DataFrame:
+    observed = flows.distinct_observations(observation_stream(spark, root))
+    rows = flows.run_available(
+        observed, shared_dir(spark, "followed"), "append", flows.follow_step, flows.follow_tail
+    )
+    stored = spark.read.parquet(rows).drop("batch_id")
+    return stored.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_grade_direction(spark, root):
+    return grades.described(_followed(spark, root)).select(
+        "company", "id", "ts", "grade", "score", "direction", "last_change"
+    )
+
+
+@query
+def stream_rating_alerts(spark, root):
+    return flows.alerts_of(_followed(spark, root))
+
+
+@query
+def stream_feature_changes(spark, root):
+    """Feature snapshots as a table that a stream reads and saves the changes of."""
+    path = shared_dir(spark, "snapshots")
+    snapshots = feature_snapshots(spark, root)
+    snapshots.write.parquet(path)
+    arriving = spark.readStream.schema(snapshots.schema).parquet(path)
+    rows = flows.run_available(
+        arriving, shared_dir(spark, "features"), "append", flows.feature_step, flows.feature_tail
+    )
+    return _feature_change_columns(spark.read.parquet(rows))

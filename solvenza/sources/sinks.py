@@ -33,6 +33,10 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
 
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
 def write_managed(lists: DataFrame, path: str) -> None:
     """Save the stored lists as a new table; a path in use is refused."""
     lists.select("owner", "stored").write.mode("errorifexists").parquet(path)
