@@ -132,7 +132,8 @@ def full_time_label(ts: Column) -> Column:
 # --- grades ---------------------------------------------------------------
 
 def _scale() -> Column:
-    return F.array(*[F.lit(g) for g in GRADE_SCALE])
+    """The scale as an array; the planner folds it into one literal."""
+    return F.split(F.lit(",".join(GRADE_SCALE)), ",")
 
 
 def grade_index(grade: Column) -> Column:
@@ -204,7 +205,7 @@ def parse_percentage(text: Column) -> Column:
 def stored_ratio(number: Column, missing: str = "zero") -> Column:
     """What parsing the printed percentage gives back, without the text in between."""
     value = F.coalesce(number, F.lit(0.0)) if missing == "zero" else number
-    return F.when(is_finite(value), basis_points(value) / 10000.0)
+    return F.when(is_finite(value), basis_points(value) / 100.0 / 100.0)
 
 
 def displayed_count(ratio: Column, total: Column) -> Column:

@@ -40,13 +40,13 @@ def _grams(text: Column, size: Column) -> Column:
     )
 
 
-def _all_grams(text: Column) -> Column:
+def _grams_of_sizes(text: Column, sizes: Column) -> Column:
     none = F.array().cast("array<string>")
-    sizes = [
-        F.when(F.length(text) >= n, _grams(text, F.lit(n))).otherwise(none)
+    per_size = [
+        F.when(F.array_contains(sizes, n) & (F.length(text) >= n), _grams(text, F.lit(n))).otherwise(none)
         for n in range(1, _LONGEST_GRAM + 1)
     ]
-    return F.array_distinct(F.concat(*sizes))
+    return F.array_distinct(F.concat(*per_size))
 
 
 def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
@@ -60,12 +60,14 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     is not shuffled; past that, a frequent sequence is a skewed join partition that
     adaptive execution splits.
     """
-    names = catalog.select("name", F.lower("name").alias("_low"))
-    index = names.select("*", F.explode(_all_grams(F.col("_low"))).alias("_gram"))
-    frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     wanted = terms.filter(~S.is_blank(F.col("term"))).select("term").distinct()
     wanted = wanted.withColumn("_needle", F.lower("term"))
     size = F.least(F.length("_needle"), F.lit(_LONGEST_GRAM))
+    # At most three numbers: the index holds no sequences shorter than it has to.
+    sizes = wanted.agg(F.collect_set(size)).scalar()
+    names = catalog.select("name", F.lower("name").alias("_low"))
+    index = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
+    frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
         wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
         .join(frequency, "_gram", "left")

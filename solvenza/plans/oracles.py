@@ -119,7 +119,7 @@ def _percent(value: str) -> str:
 
 
 def _stored(value: str) -> str:
-    return f"sign(coalesce({value}, 0.0)) * {_points(f'coalesce({value}, 0.0)')} / 10000.0"
+    return f"sign(coalesce({value}, 0.0)) * {_points(f'coalesce({value}, 0.0)')} / 100.0::DOUBLE / 100"
 
 
 _RATINGS = f"""ratings AS (

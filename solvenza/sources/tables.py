@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from solvenza.functions import scalars as S
 from solvenza.schemas import (
     COLLATERALS, DELINQUENCIES, GRADE_SCALE, PORTFOLIO_RATINGS, RATING_CHANGES,
-    RELATIONSHIP_MANAGERS,
+    RELATIONSHIP_MANAGERS, TABLES,
 )
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+    """A table under its declared schema, which saves the job that would infer it."""
+    return spark.read.schema(TABLES[name]).parquet(os.path.join(root, f"{name}.parquet"))
 
 
 def _choice(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit(",".join(values)), ","), (index + 1).cast("int"))
 
 
 def _customer_name(key: Column) -> Column:

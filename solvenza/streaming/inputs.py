@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.schemas import EVENTS
+from solvenza.schemas import TABLES
 from solvenza.sources import tables
 
 POLL = "3 minutes"
@@ -18,7 +18,7 @@ def event_stream(
 ) -> DataFrame:
     """Event files as they arrive, at most ``files_per_trigger`` to a micro-batch."""
     return (
-        spark.readStream.schema(EVENTS)
+        spark.readStream.schema(TABLES["events"])
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(root)
