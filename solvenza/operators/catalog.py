@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from solvenza.functions import scalars as S
+from solvenza.operators.skew import SPLIT_ROWS, join_split
 
 
 def search(catalog: DataFrame, query: str) -> DataFrame:
@@ -81,13 +82,16 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def classify_requests(requests: DataFrame, watchlist: DataFrame, catalog: DataFrame) -> DataFrame:
+def classify_requests(
+    requests: DataFrame, watchlist: DataFrame, catalog: DataFrame, split_rows: int = SPLIT_ROWS
+) -> DataFrame:
     """Outcome of each add request, as if they were applied one after the other.
 
     ``already_added`` when the name is on the list, else ``unknown`` when it is not
     in the catalog, else ``added``. The first request for a new name adds it, later
     ones find it there. The rule is decided once per name from a map-side combined
-    minimum, so repeats of one name are never sorted in one task.
+    minimum, and joined back with the requests of a frequent name split, so repeats of
+    one name are neither sorted nor joined in one task.
     """
     first = requests.groupBy("name").agg(
         F.min(F.struct("request_ts", "request_id")).getField("request_id").alias("_first_id")
@@ -101,9 +105,9 @@ def classify_requests(requests: DataFrame, watchlist: DataFrame, catalog: DataFr
         .when(F.col("request_id") == F.col("_first_id"), F.lit("added"))
         .otherwise(F.lit("already_added"))
     )
-    return requests.join(rules, "name").select(
-        "request_id", "request_ts", "name", outcome.alias("outcome")
-    )
+    counts = requests.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    decided = join_split(requests, rules, counts, "name", F.col("request_id"), split_rows)
+    return decided.select("request_id", "request_ts", "name", outcome.alias("outcome"))
 
 
 def on_watchlist(catalog: DataFrame, watchlist: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def links(spark: SparkSession, root: str) -> DataFrame:
 # --- statements, ratings, scores -------------------------------------------
 
 def _hundredths(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("long")
+    return F.rint(F.col(amount) * 100).cast("long")
 
 
 def _statements(lines: DataFrame, period: Column, name: str) -> DataFrame:

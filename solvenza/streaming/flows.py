@@ -116,7 +116,12 @@ def _carrying(path: str, step: Step, tail: Tail) -> Callable[[DataFrame, int], N
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         kept = read_batch(spark, state, batch_id - 1) if batch_id else None
-        write_batch(step(batch, kept), rows, batch_id)
+        # The step reads the batch more than once; what is lost is computed again.
+        held = batch.persist()
+        try:
+            write_batch(step(held, kept), rows, batch_id)
+        finally:
+            held.unpersist()
         # The state comes from the written rows, so the step runs once.
         after = tail(read_batch(spark, rows, batch_id))
         if kept is not None:

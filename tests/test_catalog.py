@@ -64,10 +64,12 @@ def requests_of(spark, names):
     return spark.createDataFrame(rows, "request_id BIGINT, request_ts TIMESTAMP_NTZ, name STRING")
 
 
-def test_requests_one_after_the_other(companies, spark):
+@pytest.mark.parametrize("split_rows", [1, 2, 100])
+def test_requests_one_after_the_other(companies, spark, split_rows):
     names = ["3S", "3S", "없음", "LG전자", "없음", "a_b", "3S", "lg전자"]
     listed = spark.createDataFrame([("LG전자",)], "name STRING")
-    rows = catalog.classify_requests(requests_of(spark, names), listed, companies).collect()
+    rows = catalog.classify_requests(requests_of(spark, names), listed, companies, split_rows).collect()
+    assert len(rows) == len(names)
     outcome = {r.request_id: r.outcome for r in rows}
 
     watchlist, expected = {"LG전자"}, {}
