@@ -32,9 +32,9 @@ def alert_columns(changes: DataFrame) -> DataFrame:
     )
 
 
-def grade_alerts(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
+def grade_alerts(observations: DataFrame) -> DataFrame:
     """``up`` and ``down`` alerts, one per observation that moved the grade."""
-    changes = grades.with_changes(observations, chunk)
+    changes = grades.with_changes(observations)
     return alert_columns(changes.filter(F.col("direction").isin(RAISED, LOWERED)))
 
 
@@ -74,10 +74,9 @@ def news_warnings(
 
 
 def rating_alerts(
-    observations: DataFrame, items: DataFrame, growth: float = WARNING_GROWTH,
-    chunk: str = ordered.HOUR,
+    observations: DataFrame, items: DataFrame, growth: float = WARNING_GROWTH
 ) -> DataFrame:
-    return grade_alerts(observations, chunk).unionByName(
+    return grade_alerts(observations).unionByName(
         news_warnings(observations, items, growth)
     ).select(*_COLUMNS)
 
@@ -115,9 +114,12 @@ def summary(notifications: DataFrame) -> DataFrame:
     )
 
 
-def with_ordinal(notifications: DataFrame, inbox: str = "inbox", chunk: str = ordered.HOUR) -> DataFrame:
-    """Number each inbox from 1, the oldest notification first."""
-    return ordered.position(notifications, [inbox], "ts", ["ts", "id"], "ordinal", chunk)
+def with_ordinal(notifications: DataFrame, inbox: str = "inbox", width: str = "1 hour") -> DataFrame:
+    """Number each inbox from 1, the oldest notification first.
+
+    All inboxes are cut: there are few, and counting would make the feed once more.
+    """
+    return ordered.position(notifications, [inbox], "ts", ["ts", "id"], "ordinal", width)
 
 
 def newest_first(notifications: DataFrame) -> DataFrame:

@@ -85,14 +85,17 @@ def change_hash(columns: Sequence[str] = CHANGE_KEY) -> Column:
 
 def changed(
     snapshots: DataFrame, ts: str = "snapshot_ts", columns: Sequence[str] = CHANGE_KEY,
-    chunk: str = "30 days", kept: DataFrame | None = None,
+    width: str = "30 days", kept: DataFrame | None = None,
 ) -> DataFrame:
     """Snapshots whose key differs from the company's snapshot before, with the key's
     hash as ``change_hash``. ``kept`` holds ``company, change_hash`` saved earlier."""
-    hashed = snapshots.withColumn("change_hash", change_hash(columns))
+    rows = snapshots.withColumn("change_hash", change_hash(columns))
+    earliest = F.lit("0001-01-01 00:00:00").cast(snapshots.schema[ts].dataType)
     if kept is not None:
-        kept = kept.select("company", F.col("change_hash").alias("kept"))
+        past = kept.select("company", earliest.alias(ts), "change_hash")
+        rows = rows.unionByName(past, allowMissingColumns=True)
     compared = ordered.previous_value(
-        hashed, ["company"], ts, [ts], F.col("change_hash"), "_previous", chunk, kept
+        rows, ["company"], ts, [ts], F.col("change_hash"), "_previous", width
     )
-    return compared.filter(~F.col("change_hash").eqNullSafe(F.col("_previous"))).drop("_previous")
+    differs = ~F.col("change_hash").eqNullSafe(F.col("_previous"))
+    return compared.filter(differs & (F.col(ts) > earliest)).drop("_previous")

@@ -18,7 +18,8 @@ def on_scale(observations: DataFrame) -> DataFrame:
 
 
 def follow(
-    observations: DataFrame, chunk: str = ordered.HOUR, kept: DataFrame | None = None
+    observations: DataFrame, width: str = ordered.CHUNK_WIDTH,
+    split_rows: int = ordered.SPLIT_ROWS, kept: DataFrame | None = None,
 ) -> DataFrame:
     """Each observation's score with the one before it and the latest change.
 
@@ -26,51 +27,41 @@ def follow(
     So rows and chunk summaries stay narrow, and summaries aggregate in fixed-width
     hash buffers. ``kept`` holds ``company, score, change`` from before the first row.
     """
-    w = ordered.chunk_window(["company"], _ORDER)
     scored = on_scale(observations).drop("grade")
-    local = ordered.in_chunks(scored, ["company"], "ts", chunk).select(
+    rows = scored.withColumn("_kept", F.lit(None).cast("int"))
+    if kept is not None:
+        rows = rows.unionByName(_past(kept, scored), allowMissingColumns=True)
+    frequent = ordered.frequent_keys(observations, ["company"], split_rows)
+    w = ordered.chunk_window(["company"], _ORDER)
+    local = ordered.in_chunks(rows, ["company"], "ts", width, frequent).select(
         "*", F.lag("score").over(w).alias("_before"), F.lead("score").over(w).alias("_after")
     )
+    change = F.coalesce("_kept", _change_code(F.col("_before"), F.col("score")))
     local = local.withColumn(
-        "_change",
-        F.last(_change_code(F.col("_before"), F.col("score")), ignorenulls=True).over(
-            ordered.up_to_here(w)
-        ),
-    )
+        "_change", F.last(change, ignorenulls=True).over(ordered.up_to_here(w))
+    ).withColumn("_first", F.first("score").over(ordered.up_to_here(w)))
 
     def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
         handed = summaries.withColumn("_carried_score", F.lag("_last").over(over))
-        kept_change = F.lit(None).cast("int")
-        if kept is not None:
-            state = kept.select(
-                "company", F.col("score").alias("_kept_score"), F.col("change").alias("_kept_change")
-            )
-            handed = handed.join(state, "company", "left").withColumn(
-                "_carried_score", F.coalesce("_carried_score", "_kept_score")
-            )
-            kept_change = F.col("_kept_change")
-        entry = _change_code(F.col("_carried_score"), F.col("_first"))
-        handed = handed.withColumn("_entry", entry).withColumn("_kept", kept_change)
-        earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+        handed = handed.withColumn("_entry", _change_code(F.col("_carried_score"), F.col("_opening")))
+        earlier = F.last(F.coalesce("_chunk_change", "_entry"), ignorenulls=True)
         return handed.select(
-            "company", "_chunk", "_carried_score",
-            F.coalesce(
-                F.col("_entry"),
-                F.last(F.coalesce("_chunk_change", "_entry"), ignorenulls=True).over(earlier),
-                F.col("_kept"),
-            ).alias("_carried_change"),
+            "company", "_cut", "_chunk", "_carried_score",
+            F.coalesce(F.col("_entry"), earlier.over(ordered.before_here(over))).alias("_carried_change"),
         )
 
     ends = F.col("_after").isNull()
     joined = ordered.carry_over(
         local, ["company"],
         [
-            F.max(F.when(F.col("_before").isNull(), F.col("score"))).alias("_first"),
+            F.max(F.when(ends, F.col("_first"))).alias("_opening"),
             F.max(F.when(ends, F.col("score"))).alias("_last"),
             F.max(F.when(ends, F.col("_change"))).alias("_chunk_change"),
         ],
         carry,
     )
+    if kept is not None:
+        joined = joined.filter(F.col("ts") > _before_all(scored))
     return joined.select(
         *[F.col(c) for c in scored.columns],
         F.coalesce("_before", "_carried_score").alias("prev_score"),
@@ -78,6 +69,17 @@ def follow(
     )
 
 
+def _before_all(observations: DataFrame) -> Column:
+    return F.lit("0001-01-01 00:00:00").cast(observations.schema["ts"].dataType)
+
+
+def _past(kept: DataFrame, observations: DataFrame) -> DataFrame:
+    """The kept state as one row per company ahead of all observations."""
+    return kept.select(
+        "company", _before_all(observations).alias("ts"), "score", F.col("change").alias("_kept")
+    )
+
+
 def described(followed: DataFrame) -> DataFrame:
     """Add grade, direction and the "before → after" text to followed observations."""
     change = F.col("change")
@@ -90,7 +92,9 @@ def described(followed: DataFrame) -> DataFrame:
     )
 
 
-def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
+def with_changes(
+    observations: DataFrame, width: str = ordered.CHUNK_WIDTH, split_rows: int = ordered.SPLIT_ROWS
+) -> DataFrame:
     """Compare every observation with the one before it.
 
     Adds ``prev_score`` (NULL for a company's first observation), ``direction`` and
@@ -98,7 +102,7 @@ def with_changes(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFram
     any change. The comparison is with the last observation, also one of the same
     bucket, and reaches back without limit.
     """
-    return described(follow(observations, chunk))
+    return described(follow(observations, width, split_rows))
 
 
 def _change_code(before: Column, now: Column) -> Column:
@@ -129,8 +133,8 @@ def moved_weeks(observations: DataFrame) -> DataFrame:
     )
 
 
-def directions(observations: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
-    return with_changes(observations, chunk).select(
+def directions(observations: DataFrame) -> DataFrame:
+    return with_changes(observations).select(
         "company", "id", "ts", "grade", "score", "direction",
         labels.direction_label(F.col("direction")).alias("direction_label"),
     )
@@ -172,11 +176,15 @@ def retained_buckets(
     return retained(credit_buckets(recent, minutes), "bucket_start", asof, days)
 
 
-def grade_asof(probes: DataFrame, points: DataFrame, chunk: str = ordered.HOUR) -> DataFrame:
+def grade_asof(
+    probes: DataFrame, points: DataFrame, width: str = ordered.CHUNK_WIDTH,
+    split_rows: int = ordered.SPLIT_ROWS,
+) -> DataFrame:
     """The grade in force at each probe: the last point at or before it.
 
     ``probes`` has ``company, id, ts``; ``points`` has ``company, bucket_start,
-    score``. A probe before the first point has no grade.
+    score``. A probe before the first point has no grade. Probes decide which
+    companies are cut; a company's points are bounded by time.
     """
     both = points.select(
         "company", F.lit(None).cast("long").alias("id"), F.col("bucket_start").alias("ts"),
@@ -186,8 +194,9 @@ def grade_asof(probes: DataFrame, points: DataFrame, chunk: str = ordered.HOUR)
             "company", "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("int").alias("score")
         )
     )
+    frequent = ordered.frequent_keys(probes, ["company"], split_rows)
     known = ordered.latest_known(
-        both, ["company"], "ts", ["ts", "side", "id"], F.col("score"), "score_asof", chunk
+        both, ["company"], "ts", ["ts", "side", "id"], F.col("score"), "score_asof", width, frequent
     )
     return known.filter("side = 1").select(
         "company", "id", "ts", "score_asof",

@@ -1,16 +1,18 @@
-"""Ordered per-key operators that never hold a whole key in one task.
+"""Ordered per-key operators that never hold a frequent key in one task.
 
 A plain window over ``partitionBy(key)`` sends every row of a key to one task, so
-a key with a third of the rows decides the run time. The operators here cut each
-key into time chunks: the window runs inside ``(key, chunk)``, one summary row per
-chunk is carried forward over the chunks of its key, and the carried state is
-joined back. Rows move by ``(key, chunk)`` only; the summary is aggregated and the carry
-joined on that same partitioning.
-
-The number of summary rows of a key is bounded by its time span over the chunk
-width (4,320 hourly chunks in 180 days), not by its number of rows. A wider chunk
-makes fewer summaries, a narrower one splits a hot key further. The state across
-chunks is exact: results equal those of the plain window.
+a key with a third of the rows decides the run time. The operators here cut a
+frequent key into time chunks: the window runs inside ``(key, chunk)``, one summary
+row per chunk is carried forward over the chunks of its key, and the carried state is
+joined back. Other keys stay whole, in a chunk that is NULL; they need no summary and
+cost what the plain window costs.
+
+``frequent`` names the keys to cut, see ``frequent_keys``; without it every key is
+cut, which spares counting rows that are expensive to make. The summaries of a key
+are bounded by its time span over the chunk width (25,920 ten-minute chunks in 180
+days), not by its number of rows. The state across chunks is exact: results equal
+those of the plain window. Rows without a time have no place in an order and are left
+out.
 """
 
 from __future__ import annotations
@@ -19,115 +21,116 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-HOUR = "1 hour"
-_CHUNK = "_chunk"
+CHUNK_WIDTH = "10 minutes"
+# Rows of one key that one task may hold.
+SPLIT_ROWS = 5_000_000
 
+# What a key's rows are cut by: whether at all, and into which chunk.
+_CUT, _CHUNK = "_cut", "_chunk"
 
-def in_chunks(df: DataFrame, keys: Sequence[str], ts: str, width: str = HOUR) -> DataFrame:
-    """Add the chunk. Rows without a key or a time have no place in an order.
 
-    Saying so here, ahead of the branches that ``carry_over`` joins, leaves both with
-    the same filter, so that they read one shuffle when they need the same columns.
-    """
-    cut = df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
-    for column in (*keys, _CHUNK):
-        cut = cut.filter(F.col(column).isNotNull())
-    return cut
+def frequent_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Keys with more than ``split_rows`` rows; at most one per ``split_rows`` rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > split_rows).select(*keys)
+
+
+def in_chunks(
+    df: DataFrame, keys: Sequence[str], ts: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None
+) -> DataFrame:
+    timed = df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
+    if frequent is None:
+        return timed.withColumn(_CUT, F.lit(True))
+    # Small by construction: see ``frequent_keys``.
+    marked = F.broadcast(frequent.withColumn(_CUT, F.lit(True)))
+    chunk = F.when(F.col(_CUT), F.col(_CHUNK))
+    return timed.join(marked, list(keys), "left").withColumn(_CHUNK, chunk)
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    return Window.partitionBy(*keys, _CUT, _CHUNK).orderBy(*order)
 
 
 def up_to_here(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def before_here(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def carry_over(
     local: DataFrame,
     keys: Sequence[str],
     summary: Sequence[Column],
     carry: Callable[[DataFrame, WindowSpec], DataFrame],
 ) -> DataFrame:
-    """Give every row what the earlier chunks of its key hand over.
+    """Give every row what the earlier chunks of its key hand over, NULL if none do.
 
     ``summary`` aggregates one chunk; ``carry`` turns the summaries, given the
     window over a key's chunks, into the columns to join back.
     """
-    summaries = local.groupBy(*keys, _CHUNK).agg(*summary)
+    # The filter passes the window and turns the marking join into an inner one, so
+    # only frequent keys are read for this.
+    summaries = local.filter(F.col(_CUT)).groupBy(*keys, _CUT, _CHUNK).agg(*summary)
     carried = carry(summaries, Window.partitionBy(*keys).orderBy(_CHUNK))
-    return local.join(carried, [*keys, _CHUNK])
+    return local.join(carried, [*keys, _CUT, _CHUNK], "left").drop(_CUT, _CHUNK)
 
 
 def previous_value(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    value: Column, into: str, chunk: str = HOUR, kept: DataFrame | None = None,
+    value: Column, into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
 ) -> DataFrame:
-    """``lag(value)`` per key. ``order`` starts with ``ts`` and has no ties.
-
-    ``kept`` holds, as ``keys`` and ``kept``, values from before the first row.
-    """
+    """``lag(value)`` per key. ``order`` starts with ``ts`` and has no ties."""
     w = chunk_window(keys, order)
-    local = in_chunks(df, keys, ts, chunk).select(
+    boxed = F.struct(value.alias("v"))
+    local = in_chunks(df, keys, ts, width, frequent).select(
         "*",
-        F.lag(F.struct(value.alias("v"))).over(w).alias("_before"),
-        F.when(F.lead(F.lit(1)).over(w).isNull(), F.struct(value.alias("v"))).alias("_tail"),
+        F.lag(boxed).over(w).alias("_before"),
+        F.when(F.lead(F.lit(1)).over(w).isNull(), boxed).alias("_tail"),
     )
-
-    def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
-        handed = summaries.withColumn("_carried", F.lag("_chunk_tail").over(over))
-        if kept is not None:
-            earlier = kept.select(*keys, F.struct(F.col("kept").alias("v")).alias("_kept"))
-            handed = handed.join(earlier, list(keys), "left").withColumn(
-                "_carried", F.coalesce("_carried", "_kept")
-            )
-        return handed.select(*keys, _CHUNK, "_carried")
-
-    joined = carry_over(local, keys, [F.max("_tail").alias("_chunk_tail")], carry)
-    return joined.withColumn(into, F.coalesce("_before", "_carried").getField("v")).drop(
-        _CHUNK, "_before", "_tail", "_carried"
+    joined = carry_over(
+        local, keys, [F.max("_tail").alias("_chunk_tail")],
+        lambda s, over: s.select(*keys, _CUT, _CHUNK, F.lag("_chunk_tail").over(over).alias("_carried")),
     )
+    out = joined.withColumn(into, F.coalesce("_before", "_carried").getField("v"))
+    return out.drop("_before", "_tail", "_carried")
 
 
 def latest_known(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    value: Column, into: str, chunk: str = HOUR,
+    value: Column, into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
 ) -> DataFrame:
     """Latest non-NULL ``value`` per key at or before each row."""
     w = chunk_window(keys, order)
     known = F.last(value, ignorenulls=True).over(up_to_here(w))
-    local = in_chunks(df, keys, ts, chunk).select(
+    local = in_chunks(df, keys, ts, width, frequent).select(
         "*", known.alias("_known"), F.lead(F.lit(1)).over(w).isNull().alias("_ends")
     )
-
-    def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
-        earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-        return summaries.select(
-            *keys, _CHUNK, F.last("_chunk_known", ignorenulls=True).over(earlier).alias("_carried")
-        )
-
     joined = carry_over(
-        local, keys, [F.max(F.when(F.col("_ends"), F.col("_known"))).alias("_chunk_known")], carry
-    )
-    return joined.withColumn(into, F.coalesce("_known", "_carried")).drop(
-        _CHUNK, "_known", "_ends", "_carried"
+        local, keys, [F.max(F.when(F.col("_ends"), F.col("_known"))).alias("_chunk_known")],
+        lambda s, over: s.select(
+            *keys, _CUT, _CHUNK,
+            F.last("_chunk_known", ignorenulls=True).over(before_here(over)).alias("_carried"),
+        ),
     )
+    out = joined.withColumn(into, F.coalesce("_known", "_carried"))
+    return out.drop("_known", "_ends", "_carried")
 
 
 def position(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    into: str, chunk: str = HOUR,
+    into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position per key, as BIGINT."""
     w = chunk_window(keys, order)
-    local = in_chunks(df, keys, ts, chunk).withColumn("_n", F.row_number().over(w).cast("long"))
-
-    def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
-        earlier = over.rowsBetween(Window.unboundedPreceding, -1)
-        return summaries.select(
-            *keys, _CHUNK,
-            F.coalesce(F.sum("_chunk_n").over(earlier), F.lit(0)).alias("_carried"),
-        )
-
-    joined = carry_over(local, keys, [F.max("_n").alias("_chunk_n")], carry)
-    return joined.withColumn(into, F.col("_n") + F.col("_carried")).drop(_CHUNK, "_n", "_carried")
+    local = in_chunks(df, keys, ts, width, frequent)
+    local = local.withColumn("_n", F.row_number().over(w).cast("long"))
+    joined = carry_over(
+        local, keys, [F.max("_n").alias("_chunk_n")],
+        lambda s, over: s.select(
+            *keys, _CUT, _CHUNK, F.sum("_chunk_n").over(before_here(over)).alias("_carried")
+        ),
+    )
+    place = F.col("_n") + F.coalesce("_carried", F.lit(0))
+    return joined.withColumn(into, place).drop("_n", "_carried")

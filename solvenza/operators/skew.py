@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Rows of one key that one task may join.
-SPLIT_ROWS = 5_000_000
+from solvenza.operators.ordered import SPLIT_ROWS
 
 
 def join_split(

@@ -87,10 +87,10 @@ def days(rows):
     return sorted((r.company, (r.snapshot_ts - dt.datetime(2024, 1, 1)).days) for r in rows)
 
 
-@pytest.mark.parametrize("chunk", ["1 day", "30 days"])
-def test_changed(spark, chunk):
+@pytest.mark.parametrize("width", ["1 day", "30 days"])
+def test_changed(spark, width):
     """News counts alone do not change a row; going back to old values and to NULL does."""
-    got = features.changed(snapshots(spark, SNAPSHOTS), chunk=chunk).collect()
+    got = features.changed(snapshots(spark, SNAPSHOTS), width=width).collect()
     assert days(got) == CHANGED
 
 

@@ -23,9 +23,12 @@ def series(spark):
     return spark.createDataFrame(rows, GRADE_OBSERVATIONS)
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour"])
-def test_direction_and_last_change(series, chunk):
-    rows = grades.with_changes(series, chunk).orderBy("id").collect()
+CUTS = pytest.mark.parametrize("width,split_rows", [("3 minutes", 0), ("1 hour", 0), ("3 minutes", 200), ("1 hour", 10**6)])
+
+
+@CUTS
+def test_direction_and_last_change(series, width, split_rows):
+    rows = grades.with_changes(series, width, split_rows).orderBy("id").collect()
     assert [(r.id, r.direction, r.last_change, r.prev_score) for r in rows] == [
         (1, "유지", "", None), (2, "하향", "AA → A", 2), (4, "유지", "AA → A", 5), (5, "상향", "A → AAA", 5),
     ]
@@ -88,10 +91,11 @@ def brute_changes(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour", "2 days"])
-def test_changes_equal_brute_force(spark, chunk):
+@CUTS
+def test_changes_equal_brute_force(spark, width, split_rows):
     rows, df = random_observations(spark)
-    got = {r.id: (r.direction, r.last_change) for r in grades.with_changes(df, chunk).collect()}
+    changes = grades.with_changes(df, width, split_rows)
+    got = {r.id: (r.direction, r.last_change) for r in changes.collect()}
     assert got == brute_changes(rows)
 
 
@@ -117,8 +121,8 @@ def test_moved_weeks_equal_weeks_with_a_change(spark):
     assert got.count() < df.select("company", week).distinct().count()
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour", "30 days"])
-def test_grade_asof(spark, chunk):
+@CUTS
+def test_grade_asof(spark, width, split_rows):
     rows, df = random_observations(spark, 600, 5)
     points = grades.credit_buckets(df)
     probes = spark.createDataFrame(
@@ -129,9 +133,23 @@ def test_grade_asof(spark, chunk):
     series = {}
     for p in points.collect():
         series.setdefault(p.company, []).append((p.bucket_start, p.label))
-    got = {r.id: r.grade_asof for r in grades.grade_asof(probes, points, chunk).collect()}
+    got = {r.id: r.grade_asof for r in grades.grade_asof(probes, points, width, split_rows).collect()}
     expected = {}
     for r in probes.collect():
         before = [p for p in series.get(r.company, []) if p[0] <= r.ts]
         expected[r.id] = max(before)[1] if before else None
     assert got == expected
+
+
+@CUTS
+def test_following_in_stretches_equals_following_at_once(spark, width, split_rows):
+    rows, df = random_observations(spark, 900, 21)
+    cut = F.lit(DAY + dt.timedelta(days=2)).cast("timestamp_ntz")
+    first = grades.follow(df.filter(F.col("ts") < cut), width, split_rows)
+    state = first.groupBy("company").agg(F.max_by(F.struct("score", "change"), F.struct("ts", "id")).alias("s"))
+    kept = state.select("company", "s.score", "s.change").unionByName(
+        spark.createDataFrame([(777, 3, None)], "company BIGINT, score INT, change INT")
+    )
+    second = grades.follow(df.filter(F.col("ts") >= cut), width, split_rows, kept)
+    got = grades.described(first.unionByName(second)).collect()
+    assert {r.id: (r.direction, r.last_change) for r in got} == brute_changes(rows)

@@ -31,40 +31,58 @@ def same(got, expected):
     assert sorted(got.collect(), key=repr) == sorted(expected.collect(), key=repr)
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour", "30 days"])
-def test_previous_value(rows, chunk):
-    got = ordered.previous_value(rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", chunk)
+# Every key cut, the frequent ones cut, none cut.
+CUTS = pytest.mark.parametrize("split_rows", [None, 500, 10_000])
+WIDTHS = pytest.mark.parametrize("width", ["3 minutes", "1 hour", "30 days"])
+
+
+def frequent(rows, split_rows):
+    return None if split_rows is None else ordered.frequent_keys(rows, ["k"], split_rows)
+
+
+def test_frequent_keys(rows):
+    assert [r.k for r in frequent(rows, 500).collect()] == [0]
+    assert frequent(rows, 10_000).count() == 0
+
+
+@CUTS
+@WIDTHS
+def test_previous_value(rows, width, split_rows):
+    got = ordered.previous_value(
+        rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", width, frequent(rows, split_rows)
+    )
     same(got.select("k", "id", "p"), rows.select("k", "id", F.lag("v").over(plain()).alias("p")))
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour", "30 days"])
-def test_latest_known(rows, chunk):
-    got = ordered.latest_known(rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", chunk)
+@CUTS
+@WIDTHS
+def test_latest_known(rows, width, split_rows):
+    got = ordered.latest_known(
+        rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", width, frequent(rows, split_rows)
+    )
     w = plain().rowsBetween(Window.unboundedPreceding, 0)
     expected = F.last("v", ignorenulls=True).over(w).alias("p")
     same(got.select("k", "id", "p"), rows.select("k", "id", expected))
 
 
-@pytest.mark.parametrize("chunk", ["3 minutes", "1 hour", "30 days"])
-def test_position(rows, chunk):
-    got = ordered.position(rows, ["k"], "ts", ["ts", "id"], "p", chunk)
+@CUTS
+@WIDTHS
+def test_position(rows, width, split_rows):
+    got = ordered.position(rows, ["k"], "ts", ["ts", "id"], "p", width, frequent(rows, split_rows))
     expected = F.row_number().over(plain()).cast("long").alias("p")
     same(got.select("k", "id", "p"), rows.select("k", "id", expected))
 
 
-def test_kept_value_stands_before_the_first_row(rows, spark):
-    kept = spark.createDataFrame([(0, 9), (1, None)], "k INT, kept INT")
-    got = ordered.previous_value(rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", kept=kept)
-    default = F.when(F.col("k") == 0, 9)
-    first = F.row_number().over(plain()) == 1
-    expected = F.when(first, default).otherwise(F.lag("v").over(plain())).alias("p")
-    same(got.select("k", "id", "p"), rows.select("k", "id", expected))
-
-
 def test_no_task_sees_a_whole_key(rows):
-    """The only shuffles of full rows are by key and chunk."""
-    got = ordered.position(rows, ["k"], "ts", ["ts", "id"], "p", "1 hour")
+    """Windows over rows run by key and chunk."""
+    got = ordered.position(rows, ["k"], "ts", ["ts", "id"], "p", "1 hour", frequent(rows, 500))
     plan = got._jdf.queryExecution().executedPlan().toString()
-    by_key_only = [line for line in plan.splitlines() if "Exchange hashpartitioning(k#" in line and "_chunk" not in line]
     windows = [line for line in plan.splitlines() if "Window [row_number" in line]
-    assert by_key_only and windows and all("_chunk" in line for line in windows)
+    assert windows and all("_chunk" in line for line in windows)
+
+
+def test_infrequent_keys_make_no_summaries(rows):
+    """The summary branch reads frequent keys only: the filter passes the window."""
+    got = ordered.position(rows, ["k"], "ts", ["ts", "id"], "p", "1 hour", frequent(rows, 500))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Join LeftOuter" in plan

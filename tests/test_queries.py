@@ -81,7 +81,7 @@ def test_filters_reach_the_scan(spark, name, pushed):
     assert any("PushedFilters" in line and pushed in line for line in plan.splitlines())
 
 
-def test_direction_shuffles_its_rows_once(spark):
-    df = QUERIES["grade_direction"](spark, FOLDER)
-    df.collect()
-    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+def test_direction_shuffles_rows_by_key_and_chunk(spark):
+    plan = plan_of(spark, "grade_direction").splitlines()
+    windows = [line for line in plan if "Window [lag(score" in line]
+    assert windows and all("_chunk" in line for line in windows)
