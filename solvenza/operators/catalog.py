@@ -33,6 +33,8 @@ def search_flagged(catalog: DataFrame, watchlist: DataFrame, query: str) -> Data
 
 
 _LONGEST_GRAM = 3
+# Terms up to this number are sent to every task instead of shuffling the index.
+BROADCAST_TERMS = 100_000
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -50,18 +52,23 @@ def _grams_of_sizes(text: Column, sizes: Column) -> Column:
     return F.array_distinct(F.concat(*per_size))
 
 
-def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
+def search_bulk(
+    catalog: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS
+) -> DataFrame:
     """Every (term, company) pair that ``search`` would find, for many terms at once.
 
     An equi-join in place of comparing all pairs: names are indexed by their
     character sequences of up to three characters, each term is looked up under its
     rarest sequence in the catalog, and the candidates are verified. Terms shorter
     than three characters are a whole sequence themselves, so no pair is missed.
-    While the chosen sequences are few the join is a run-time broadcast and the index
-    is not shuffled; past that, a frequent sequence is a skewed join partition that
-    adaptive execution splits.
+
+    The terms are counted first. Up to ``broadcast_terms`` they go to every task, one
+    short row each, and the index is used where it is made. Beyond that the index is
+    shuffled by sequence; both inputs of that join come straight from a shuffle, so
+    adaptive execution splits the partition of a sequence most names have.
     """
     wanted = terms.filter(~S.is_blank(F.col("term"))).select("term").distinct()
+    few = wanted.limit(broadcast_terms + 1).count() <= broadcast_terms
     wanted = wanted.withColumn("_needle", F.lower("term"))
     size = F.least(F.length("_needle"), F.lit(_LONGEST_GRAM))
     # At most three numbers: the index holds no sequences shorter than it has to.
@@ -76,7 +83,7 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
         .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
     return (
-        index.join(rarest, "_gram")
+        index.join(F.broadcast(rarest) if few else rarest, "_gram")
         .filter(F.contains("_low", "_needle"))
         .select("term", "name")
     )

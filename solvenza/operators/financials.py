@@ -40,6 +40,17 @@ def latest_period(metrics: DataFrame, period: str = "fiscal_year") -> DataFrame:
     return metrics.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
+def request_metrics(
+    metrics: DataFrame, codes: DataFrame | None = None, all_periods: bool = False,
+    percent_format: bool = False,
+) -> DataFrame:
+    """Metrics of the companies in ``codes``, of the latest period or of all, as
+    fractions or as percentage texts."""
+    rows = metrics if codes is None else metrics.join(codes.select("company"), "company", "left_semi")
+    rows = rows if all_periods else latest_period(rows)
+    return displayed(rows) if percent_format else rows
+
+
 def of_year(metrics: DataFrame, year: int) -> DataFrame:
     return metrics.filter(F.col("fiscal_year") == year)
 

@@ -59,6 +59,7 @@ def follow(
             F.max(F.when(ends, F.col("_change"))).alias("_chunk_change"),
         ],
         carry,
+        frequent,
     )
     if kept is not None:
         joined = joined.filter(F.col("ts") > _before_all(scored))

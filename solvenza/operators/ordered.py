@@ -11,8 +11,7 @@ cost what the plain window costs.
 cut, which spares counting rows that are expensive to make. The summaries of a key
 are bounded by its time span over the chunk width (25,920 ten-minute chunks in 180
 days), not by its number of rows. The state across chunks is exact: results equal
-those of the plain window. Rows without a time have no place in an order and are left
-out.
+those of the plain window. Every row needs a key and a time.
 """
 
 from __future__ import annotations
@@ -40,6 +39,10 @@ def in_chunks(
 ) -> DataFrame:
     timed = df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
     if frequent is None:
+        # Said here, the inner join in ``carry_over`` adds no filter to one of its
+        # sides, and both can read the same shuffle.
+        for column in (*keys, _CHUNK):
+            timed = timed.filter(F.col(column).isNotNull())
         return timed.withColumn(_CUT, F.lit(True))
     # Small by construction: see ``frequent_keys``.
     marked = F.broadcast(frequent.withColumn(_CUT, F.lit(True)))
@@ -64,6 +67,7 @@ def carry_over(
     keys: Sequence[str],
     summary: Sequence[Column],
     carry: Callable[[DataFrame, WindowSpec], DataFrame],
+    frequent: DataFrame | None,
 ) -> DataFrame:
     """Give every row what the earlier chunks of its key hand over, NULL if none do.
 
@@ -74,7 +78,8 @@ def carry_over(
     # only frequent keys are read for this.
     summaries = local.filter(F.col(_CUT)).groupBy(*keys, _CUT, _CHUNK).agg(*summary)
     carried = carry(summaries, Window.partitionBy(*keys).orderBy(_CHUNK))
-    return local.join(carried, [*keys, _CUT, _CHUNK], "left").drop(_CUT, _CHUNK)
+    how = "inner" if frequent is None else "left"
+    return local.join(carried, [*keys, _CUT, _CHUNK], how).drop(_CUT, _CHUNK)
 
 
 def previous_value(
@@ -92,6 +97,7 @@ def previous_value(
     joined = carry_over(
         local, keys, [F.max("_tail").alias("_chunk_tail")],
         lambda s, over: s.select(*keys, _CUT, _CHUNK, F.lag("_chunk_tail").over(over).alias("_carried")),
+        frequent,
     )
     out = joined.withColumn(into, F.coalesce("_before", "_carried").getField("v"))
     return out.drop("_before", "_tail", "_carried")
@@ -113,6 +119,7 @@ def latest_known(
             *keys, _CUT, _CHUNK,
             F.last("_chunk_known", ignorenulls=True).over(before_here(over)).alias("_carried"),
         ),
+        frequent,
     )
     out = joined.withColumn(into, F.coalesce("_known", "_carried"))
     return out.drop("_known", "_ends", "_carried")
@@ -131,6 +138,7 @@ def position(
         lambda s, over: s.select(
             *keys, _CUT, _CHUNK, F.sum("_chunk_n").over(before_here(over)).alias("_carried")
         ),
+        frequent,
     )
     place = F.col("_n") + F.coalesce("_carried", F.lit(0))
     return joined.withColumn(into, place).drop("_n", "_carried")

@@ -388,6 +388,13 @@ _ORACLES = {
         FROM (SELECT *, lag(k) OVER (PARTITION BY company ORDER BY snapshot_ts) AS k0 FROM keyed)
         WHERE k IS DISTINCT FROM k0""",
     "rating_alerts": f"WITH {_ALERTS} SELECT id, type, company, title, rating_change, news_keywords, ts FROM alerts",
+    "news_warnings": f"""WITH {_ITEMS},
+        graded AS (SELECT user_id AS company, ts, CASE WHEN value < 200 THEN 'AA' ELSE 'BBB' END AS grade,
+                          lag(CASE WHEN value < 200 THEN 'AA' ELSE 'BBB' END)
+                            OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+        changes AS (SELECT *, CASE WHEN grade <> before THEN '상향' ELSE '유지' END AS direction FROM graded),
+        {_WARNINGS}
+        SELECT id, type, company, title, rating_change, news_keywords, ts FROM warnings""",
     "notification_mark_read": f"WITH {_INBOX} SELECT id, inbox, type, is_read FROM inbox",
     "notification_summary": f"""WITH {_INBOX} SELECT count(*) AS n_total,
           CAST(count(*) FILTER (NOT is_read) AS BIGINT) AS n_unread,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, catalog, features, financials, grades, news, portfolio
@@ -281,10 +281,13 @@ def public_rating_lookup(spark, root):
     return features.rating_lookup(requests, T.public_ratings(spark, root).select("name", "rating"))
 
 
+def _ratings(spark: SparkSession, root: str) -> DataFrame:
+    return T.public_ratings(spark, root).select("company", "rating")
+
+
 def _feature_sources(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     block = news.sentiment_block(T.news_items(spark, root), T.latest_event(spark, root))
-    ratings = T.public_ratings(spark, root).select("company", "rating")
-    return _latest_metrics(spark, root), ratings, block, _scores(spark, root)
+    return _latest_metrics(spark, root), _ratings(spark, root), block, _scores(spark, root)
 
 
 @query
@@ -303,7 +306,6 @@ def feature_assembly(spark, root):
 
 def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """One feature row per company and day of news; only the news moves by day."""
-    metrics, ratings, _, scores = _feature_sources(spark, root)
     value = F.when(F.col("sentiment") == "positive", 1).when(F.col("sentiment") == "negative", -1)
     daily = (
         T.news_items(spark, root)
@@ -314,12 +316,16 @@ def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
             F.avg(F.coalesce(value, F.lit(0))).alias("news_sentiment_score"),
         )
     )
-    rated = ratings.filter("rating IS NOT NULL").withColumnRenamed("rating", "public_credit_rating")
-    scored = scores.withColumnRenamed("final_score", "business_report_text_score")
-    stored: dict[str, Column] = {r: S.stored_ratio(F.col(r)) for r in RATIOS}
+    rated = _ratings(spark, root).filter("rating IS NOT NULL")
     return (
-        metrics.select("company", *[c.alias(r) for r, c in stored.items()])
-        .join(rated, "company").join(scored, "company").join(daily, "company")
+        _latest_metrics(spark, root)
+        .select("company", *[S.stored_ratio(F.col(r)).alias(r) for r in RATIOS])
+        .join(rated.withColumnRenamed("rating", "public_credit_rating"), "company")
+        .join(
+            _scores(spark, root).withColumnRenamed("final_score", "business_report_text_score"),
+            "company",
+        )
+        .join(daily, "company")
     )
 
 
@@ -355,6 +361,12 @@ def rating_alerts(spark, root):
     return _alerts(spark, root)
 
 
+@query
+def news_warnings(spark, root):
+    """Warnings against a grade that moves seldom; weeks without a move are common."""
+    return alerts.news_warnings(T.value_observations(spark, root), T.news_items(spark, root))
+
+
 @query
 def notification_mark_read(spark, root):
     return _inbox(spark, root).select("id", "inbox", "type", "is_read")

@@ -130,6 +130,14 @@ def observations_of(events: DataFrame) -> DataFrame:
     )
 
 
+def value_observations(spark: SparkSession, root: str) -> DataFrame:
+    """Grades by event value: a series that moves seldom, as a company's grade does."""
+    grade = F.when(F.col("value") < 200, "AA").otherwise("BBB")
+    return table(spark, root, "events").select(
+        F.col("user_id").alias("company"), F.col("event_id").alias("id"), "ts", grade.alias("grade")
+    )
+
+
 def news_items(spark: SparkSession, root: str) -> DataFrame:
     kind = F.col("event_type")
     sentiment = (

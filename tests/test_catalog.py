@@ -40,9 +40,10 @@ def test_search_flagged_matches_names_exactly(companies, spark):
     assert {r.name: r.is_added for r in rows} == {"AKB48": True, "KB금융": False}
 
 
-def test_search_bulk_has_no_all_pairs_join(companies, spark):
+@pytest.mark.parametrize("broadcast_terms", [0, 100])
+def test_search_bulk_has_no_all_pairs_join(companies, spark, broadcast_terms):
     terms = spark.createDataFrame([("kb",)], "term STRING")
-    plan = catalog.search_bulk(companies, terms)._jdf.queryExecution().toString()
+    plan = catalog.search_bulk(companies, terms, broadcast_terms)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -53,9 +54,11 @@ texts = st.text(alphabet="abAB금 %", min_size=0, max_size=6)
 @given(st.lists(texts, min_size=1, max_size=20, unique=True), st.lists(texts, min_size=1, max_size=8))
 def test_search_bulk_equals_single_searches(spark, names, terms):
     df = spark.createDataFrame([(n,) for n in names], "name STRING")
-    got = catalog.search_bulk(df, spark.createDataFrame([(t,) for t in terms], "term STRING")).collect()
+    wanted = spark.createDataFrame([(t,) for t in terms], "term STRING")
     expected = {(t, n) for t in terms if t.strip() for n in names if t.lower() in n.lower()}
-    assert len(got) == len(expected) and {(r.term, r.name) for r in got} == expected
+    for broadcast_terms in (0, 100):
+        got = catalog.search_bulk(df, wanted, broadcast_terms).collect()
+        assert len(got) == len(expected) and {(r.term, r.name) for r in got} == expected
 
 
 def requests_of(spark, names):

@@ -108,3 +108,12 @@ def test_displayed(spark):
     df = spark.createDataFrame([(1, 2024, None, 0.123456, float("nan"), 2.0, -0.5, 0.0)], METRICS)
     assert list(financials.displayed(df).first())[2:] == ["0.00%", "12.35%", "-", "200.00%", "-50.00%", "0.00%"]
     assert financials.displayed(df, "null").first().debt_ratio == "-"
+
+
+def test_request_metrics(spark):
+    rows = [(c, y, *[c / 10.0] * 6) for c in (1, 2) for y in (2023, 2024)]
+    df = spark.createDataFrame(rows, METRICS)
+    codes = spark.createDataFrame([(2,), (2,), (9,)], "company BIGINT")
+    assert financials.request_metrics(df, codes).collect() == [(2, 2024, *[0.2] * 6)]
+    assert financials.request_metrics(df, codes, all_periods=True).count() == 2
+    assert financials.request_metrics(df, percent_format=True).filter("company = 1").first().roa == "10.00%"
