@@ -84,7 +84,7 @@ def bucket_start(ts: Column, minutes: int = 3) -> Column:
 
 def quarter_start(ts: Column) -> Column:
     day = ts.cast("date")
-    return F.make_date(F.year(day), F.quarter(day) * 3 - 2, F.lit(1))
+    return F.make_date(F.year(day), F.quarter(day) * 3 - 2, F.lit(1)).cast("timestamp_ntz")
 
 
 def quarter_number(day: Column) -> Column:

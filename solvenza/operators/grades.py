@@ -184,7 +184,7 @@ def grade_asof(
     """The grade in force at each probe: the last point at or before it.
 
     ``probes`` has ``company, id, ts``; ``points`` has ``company, bucket_start,
-    score``. A probe before the first point has no grade. Probes decide which
+    score``. A probe before the first point has no grade and score -1. Probes decide which
     companies are cut; a company's points are bounded by time.
     """
     both = points.select(
@@ -200,6 +200,6 @@ def grade_asof(
         both, ["company"], "ts", ["ts", "side", "id"], F.col("score"), "score_asof", width, frequent
     )
     return known.filter("side = 1").select(
-        "company", "id", "ts", "score_asof",
+        "company", "id", "ts", F.coalesce("score_asof", F.lit(-1)).alias("score_asof"),
         F.when(F.col("score_asof").isNotNull(), S.grade_label(F.col("score_asof"))).alias("grade_asof"),
     )

@@ -84,7 +84,7 @@ def _statements(period: str, where: str = "true") -> str:
 
 
 _YEARLY = _statements("CAST(year(l_shipdate) AS INTEGER)")
-_QUARTERLY = _statements("CAST(date_trunc('quarter', l_shipdate) AS DATE)")
+_QUARTERLY = _statements("CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP)")
 _RATIO_SELECT = """
   SELECT a.company, a.period AS fiscal_year,
          a.liabilities / nullif(a.equity, 0) AS debt_ratio,
@@ -284,7 +284,7 @@ _ORACLES = {
         WHERE bucket_start >= (SELECT max(ts) + INTERVAL 165 DAY - INTERVAL 180 DAY FROM events)""",
     "grade_asof": f"""WITH {_BUCKETS}, probes AS (
           SELECT user_id AS company, event_id AS id, ts FROM events WHERE event_type = 'error')
-        SELECT p.company, p.id, p.ts, b.score AS score_asof, b.label AS grade_asof
+        SELECT p.company, p.id, p.ts, coalesce(b.score, -1) AS score_asof, b.label AS grade_asof
         FROM probes p ASOF LEFT JOIN buckets b ON b.company = p.company AND b.bucket_start <= p.ts""",
     "news_recent": f"""WITH {_block(30)} SELECT company, id, published_at, title, sentiment, recency_rank,
           {_short_time('published_at')} AS time_text FROM recent""",

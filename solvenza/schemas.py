@@ -24,7 +24,6 @@ BUCKET = "3 minutes"
 RETENTION_DAYS = 180
 NEWS_DAYS = 3
 NEWS_LIMIT = 20
-FISCAL_YEARS = (2019, 2020, 2021, 2022, 2023, 2024)
 WARNING_GROWTH = 0.35
 NO_VALUE = "-"
 

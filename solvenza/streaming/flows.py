@@ -119,6 +119,9 @@ def _carrying(path: str, step: Step, tail: Tail) -> Callable[[DataFrame, int], N
         # The step reads the batch more than once; what is lost is computed again.
         held = batch.persist()
         try:
+            if kept is not None and held.isEmpty():
+                write_batch(kept, state, batch_id)
+                return
             write_batch(step(held, kept), rows, batch_id)
         finally:
             held.unpersist()

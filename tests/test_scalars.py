@@ -113,7 +113,7 @@ def test_quarters(spark):
         S.quarter_start(df.d).alias("s"), S.quarter_number(df.d).alias("n"),
     ).collect()
     assert [(r.l, r.p, r.s) for r in rows] == [
-        ("Q4 2024 (E)", "Q4 2024", dt.date(2024, 10, 1)), ("Q1 2024", "Q1 2024", dt.date(2024, 1, 1)),
+        ("Q4 2024 (E)", "Q4 2024", dt.datetime(2024, 10, 1)), ("Q1 2024", "Q1 2024", dt.datetime(2024, 1, 1)),
     ]
     assert rows[0].n - rows[1].n == 3
 
