@@ -61,10 +61,16 @@ def displayed(metrics: DataFrame, missing: str = "zero") -> DataFrame:
     )
 
 
+def _quarter(quarters: DataFrame) -> Column:
+    """Label of the quarter; rows with a true ``is_estimate`` are marked as estimates."""
+    estimate = F.col("is_estimate") if "is_estimate" in quarters.columns else None
+    return S.quarter_label(F.col("quarter_start"), estimate).alias("quarter")
+
+
 def quarterly_trend(quarters: DataFrame) -> DataFrame:
     """Profit and cash flow as a percentage of sales by quarter."""
     return quarters.select(
-        "company", "quarter_start", S.quarter_label(F.col("quarter_start")).alias("quarter"),
+        "company", "quarter_start", _quarter(quarters),
         (F.try_divide("net_income", "sales") * 100).alias("profit"),
         (F.try_divide("cfo", "sales") * 100).alias("cashflow"),
     )
@@ -72,7 +78,7 @@ def quarterly_trend(quarters: DataFrame) -> DataFrame:
 
 def quarterly_debt_ratio(quarters: DataFrame) -> DataFrame:
     return quarters.select(
-        "company", "quarter_start", S.quarter_label(F.col("quarter_start")).alias("quarter"),
+        "company", "quarter_start", _quarter(quarters),
         (F.try_divide("total_liabilities", "equity") * 100).alias("ratio"),
     )
 
@@ -108,8 +114,7 @@ def with_dominance(quarters: DataFrame) -> DataFrame:
 
 def market_dominance(quarters: DataFrame) -> DataFrame:
     return with_dominance(quarters).select(
-        "company", "quarter_start", S.quarter_label(F.col("quarter_start")).alias("quarter"),
-        "dominance", "competitor_gap",
+        "company", "quarter_start", _quarter(quarters), "dominance", "competitor_gap"
     )
 
 
@@ -139,7 +144,7 @@ def unpivot(trend: DataFrame, keys: Sequence[str], series: Sequence[str]) -> Dat
 def risk_indicators(quarters: DataFrame) -> DataFrame:
     """Latest value, change and direction of each company's indicators."""
     values = with_dominance(quarters).select(
-        "company", "quarter_start",
+        "company", "quarter_start", _quarter(quarters),
         (F.try_divide("net_income", "sales") * 100).alias("operating_margin"),
         (F.try_divide("total_liabilities", "equity") * 100).alias("debt_ratio"),
         (F.try_divide("current_assets", "current_liabilities") * 100).alias("current_ratio"),
@@ -150,7 +155,7 @@ def risk_indicators(quarters: DataFrame) -> DataFrame:
     # Changes are taken per company before the indicators become rows, so one
     # shuffle serves all of them.
     measured = values.select(
-        "company", "quarter_start",
+        "company", "quarter",
         *[
             F.struct(
                 F.col(n).alias("value"),
@@ -160,10 +165,10 @@ def risk_indicators(quarters: DataFrame) -> DataFrame:
         ],
         F.lead(F.lit(1)).over(by_quarter).isNull().alias("_latest"),
     ).filter("_latest")
-    long = measured.unpivot(["company", "quarter_start"], names, "indicator", "m")
+    long = measured.unpivot(["company", "quarter"], names, "indicator", "m")
     change = F.col("m.change_points")
     return long.select(
-        "company", "indicator", S.quarter_label(F.col("quarter_start")).alias("quarter"),
+        "company", "indicator", "quarter",
         F.col("m.value").alias("value"), change.alias("change_points"),
         labels.change_arrow(change).alias("direction"),
     )

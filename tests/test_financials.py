@@ -42,6 +42,16 @@ def test_trends(quarters):
     assert [r.ratio for r in debt if r.company == 2] == [None] * 4
 
 
+def test_estimates_are_marked(quarters):
+    marked = quarters.selectExpr("*", "quarter_start = DATE'2024-10-01' AS is_estimate")
+    for operator in (
+        financials.quarterly_trend, financials.quarterly_debt_ratio, financials.market_dominance,
+    ):
+        labels = {r.quarter for r in operator(marked).filter("company = 1").collect()}
+        assert labels == {"Q1 2024", "Q2 2024", "Q3 2024", "Q4 2024 (E)"}
+    assert {r.quarter for r in financials.risk_indicators(marked).filter("company = 1").collect()} == {"Q4 2024 (E)"}
+
+
 def test_period_change(quarters, spark):
     debt = financials.quarterly_debt_ratio(quarters).filter("company = 1")
     rows = financials.period_change(debt, "ratio").orderBy("quarter_start").collect()
