@@ -6,6 +6,8 @@ import pathlib
 import pytest
 
 import __spark_entry__ as entry
+from solvenza.plans.oracles import all_oracles
+from solvenza.plans.queries import all_queries
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +16,7 @@ _spec = importlib.util.spec_from_file_location("check", ROOT / "tools" / "check.
 check = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(check)
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,11 @@ def test_query_equals_its_sql(spark, sql, name):
     assert rows > 0
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
