@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, tokens
+from solvenza.llm import packing, simhash, tokens
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,10 @@ def op3_bpe(spark, root):
 @query
 def op5_packing(spark, root):
     return packing.packed(read_table(spark, root, "documents"), VOCABULARY)
+
+
+@query
+def op10_simhash(spark, root):
+    found = simhash.near_duplicates(read_table(spark, root, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
