@@ -14,28 +14,57 @@ lengths) form step groups of equally many tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from solvenza.llm.common import map_rows
-from solvenza.llm.tokens import bpe, read_spec
+from solvenza.llm.tokens import PATTERN, bpe, read_spec
 
 TIERS = (256, 512, 1024, 2048)
 END_OF_TEXT = 1         # id after every document
 POOL = 4096             # documents whose rest waits in a task
 STEP_TOKENS = 16_384    # tokens of a step group
 
+# The library's time grows with the square of such runs, and it recurses in them.
+_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint, sequence_tokens bigint, step_id bigint"
 )
 
 
+@lru_cache(maxsize=2)
+def library(spec: str) -> tiktoken.Encoding | None:
+    """The tokenizer library under the same vocabulary, if its ids follow the merges."""
+    coder = bpe(spec)
+    merged = coder.ids[256:]
+    if merged != sorted(merged):
+        return None
+    ranks = {text: i for i, text in coder.texts.items() if i not in coder.special.values()}
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=coder.special)
+
+
+def token_ids(text: str | None, spec: str) -> bytes:
+    """Ids of a whole text as little-endian unsigned 32-bit integers, by the library
+    where its time is linear, by the operator of ``tokens`` for the rest."""
+    if not text:
+        return b""
+    fast = library(spec)
+    if fast is None or _LONG_RUN.search(text):
+        return bpe(spec).encode(text)
+    return np.array(fast.encode(text, allowed_special="all"), "<u4").tobytes()
+
+
 class Piece(NamedTuple):
     length: int
     serial: int     # order of arrival, for ties
@@ -158,11 +187,10 @@ def packed(
     end = END_OF_TEXT.to_bytes(4, "little")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
-        coder = bpe(spec.value)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, with_ids=with_ids)
         for doc_ids, texts in batches:
             for doc_id, text in zip(doc_ids, texts):
-                yield from packer.add(doc_id, coder.encode(text) + end)
+                yield from packer.add(doc_id, token_ids(text, spec.value) + end)
         yield from packer.finish()
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, simhash, tokens
+from solvenza.llm import packing, simhash, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,33 @@ def all_oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+@query
+def op1_warc(spark, root):
+    return warc.round_trip(read_table(spark, root, "pages")).drop("target_uri")
+
+
+_ORACLES["op1_warc"] = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+       sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT *, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
+                THEN nullif(max(page_id) OVER (PARTITION BY html), page_id) END AS refers_to
+      FROM pages)
+"""
+
+
 @query
 def op3_bpe(spark, root):
     return tokens.encoded(read_table(spark, root, "documents"), VOCABULARY)
 
 
+@query
+def op4_toxicity(spark, root):
+    docs = read_table(spark, root, "documents")
+    model = toxicity.fit(docs, read_table(spark, root, "labels"))
+    return toxicity.scored(docs, model).withColumn("n_offending", F.size("offending")).drop("offending")
+
+
 @query
 def op5_packing(spark, root):
     return packing.packed(read_table(spark, root, "documents"), VOCABULARY)
