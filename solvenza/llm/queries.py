@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, simhash, tokens, toxicity, warc
+from solvenza.llm import packing, pii, simhash, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op5_packing(spark, root):
     return packing.packed(read_table(spark, root, "documents"), VOCABULARY)
 
 
+@query
+def op8_pii(spark, root):
+    return pii.detected(read_table(spark, root, "documents")).drop("base", "added")
+
+
 @query
 def op10_simhash(spark, root):
     found = simhash.near_duplicates(read_table(spark, root, "documents"))
