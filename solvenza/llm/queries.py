@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, pii, simhash, tokens, toxicity, warc
+from solvenza.llm import packing, pii, quality, simhash, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ FROM (SELECT *, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
 """
 
 
+@query
+def op2_quality(spark, root):
+    return quality.judged(read_table(spark, root, "documents"))
+
+
 @query
 def op3_bpe(spark, root):
     return tokens.encoded(read_table(spark, root, "documents"), VOCABULARY)
