@@ -1,19 +1,24 @@
 """Quality rules: distance of a text's histograms from its language's, on built-ins only.
 
-A language's reference is counted from all of its documents: how characters spread over
-classes, and how often its most common words occur among all words. A document is
-compared with it by the Jensen-Shannon distance of either histogram. A short text has a
-ragged histogram, so each comparison needs a minimum length and is left out below it.
-
-Everything is a Spark SQL expression. The references have one row per language; they
-are broadcast after their number has been checked.
+A text has two histograms: how its characters spread over classes, and how often each
+common word of its language occurs among its words. The reference of a language is the
+sum over all of its documents. A document is compared with it by the Jensen-Shannon
+distance of either histogram. A short text has a ragged histogram, so each comparison
+needs a minimum length and is left out below it.
+
+Everything is a Spark SQL expression. Texts are read once, into a table of counts; the
+references, one row per language, are sums over it and are broadcast after their number
+has been checked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-from solvenza.llm.common import BLANKS, WORD, written
+from solvenza.llm.common import BLANKS, written
 
 # Base rules.
 SYMBOLS = "[#*$%&|<>]"
@@ -22,54 +27,74 @@ SHARE_REPEATED = (100, 50)  # failed if 100 * repeated words > 50 * words
 RUN = 3                     # words of a window
 
 # Distances are square roots of divergences in bits, from 0 to 1.
-CHARS_LIMIT, WORDS_LIMIT = 0.35, 0.55
+CHARS_LIMIT, WORDS_LIMIT = 0.24, 0.26
 CHARS_GUARD, WORDS_GUARD = 200, 60  # characters, words
-COMMON = 12                 # words of a reference
 FEW_LANGUAGES = 1000        # references that are broadcast
 
-# Class -> pattern of its runs; what is in none is "rest".
-CLASSES = {
-    "lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "blank": "[\\x20\\x09-\\x0D]+",
-    "mark": "[!-/:-@\\[-`{-~]+",
+# Frequent function words by language. How frequent is counted.
+COMMON_WORDS = {
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "mit"),
+    "en": ("the", "of", "and", "to", "in", "is", "that", "for"),
+    "es": ("de", "la", "que", "el", "en", "y", "los", "las"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un"),
+    "it": ("di", "e", "il", "la", "che", "in", "per", "un"),
+    "nl": ("de", "het", "een", "van", "en", "in", "is", "dat"),
+    "pt": ("de", "a", "o", "que", "e", "do", "da", "em"),
 }
-CLASS_NAMES = (*CLASSES, "rest")
-
-
-def _without(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, "")
+COMMON = 8
+WORDS = [f"word_{k}" for k in range(COMMON)]
 
+# Classes of characters: those that a pattern counts, then what lengths tell. "wide" is
+# the bytes beyond one per character, "blank" what is in no word, "rest" the remainder.
+COUNTED = {"digit": "[0-9]", "upper": "[A-Z]", "mark": r"[!-/:-@\[-`{-~]"}
+CLASSES = (*COUNTED, "wide", "blank", "rest")
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 
-
-def class_counts(text: Column) -> list[Column]:
-    """Characters of ``text`` in each class. All classes but the last are ASCII, so one
-    character of theirs is one byte."""
-    size = F.octet_length(text).cast("long")
-    known = [size - F.octet_length(_without(text, p)) for p in CLASSES.values()]
-    rest = F.char_length(text) - sum(known[1:], known[0])
-    return [*known, rest]
+def _total(columns: list[Column]) -> Column:
+    return reduce(add, columns)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Lengths, histograms and base counts of every text, beside the columns given."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words, lines = F.col("_words"), F.col("_lines")
-    told = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    lines_with_word = F.filter(F.split("_text", "\n"), lambda s: F.length(F.btrim(s, F.lit(BLANKS))) > 0)
+    """doc_id, lang, lengths, histograms and base counts of every text."""
+    told = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("_text"))
+    parts = F.split("_text", "[\\x20\\x09-\\x0D]+")
+    # Only the first and the last part can be empty.
+    told = told.withColumn("_words", F.filter(parts, lambda w: F.octet_length(w) > 0))
+    lines = F.filter(F.split("_text", "\n"), lambda s: F.length(F.btrim(s, F.lit(BLANKS))) > 0)
+    words = F.col("_words")
     hashes = F.when(F.size(words) >= RUN, F.transform(
         F.slice(words, 1, F.size(words) - (RUN - 1)),
         lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, RUN)]),
     ))
-    told = told.withColumn("_lines", lines_with_word).withColumn("_runs", hashes)
+    known = F.create_map(*[
+        x for lang, common in COMMON_WORDS.items()
+        for x in (F.lit(lang), F.array(*map(F.lit, common)))
+    ])
+    # Each word between two blanks of its own, so that neighbours are both found.
+    spaced = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
+    told = told.select(
+        "*", lines.alias("_lines"), hashes.alias("_runs"), spaced.alias("_spaced"),
+        F.coalesce(known[F.col("lang")], F.array().cast("array<string>")).alias("_common"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+    )
+
+    def occurrences(k: int) -> Column:
+        padded = F.concat(F.lit(" "), F.get("_common", F.lit(k)), F.lit(" "))
+        gone = F.replace(F.col("_spaced"), padded, F.lit(""))
+        n = (F.octet_length("_spaced") - F.octet_length(gone)) / F.octet_length(padded)
+        return F.coalesce(n, F.lit(0)).cast("long")
+
+    chars = F.char_length("_text").cast("long")
     return told.select(
-        *docs.columns, "_text", "_words", "_runs",
-        F.size(words).cast("long").alias("n_words"),
-        F.char_length(_without(F.col("_text"), "[\\x20\\x09-\\x0D]+")).cast("long").alias("word_chars"),
+        "doc_id", "lang", chars.alias("chars"), F.size("_words").cast("long").alias("n_words"), "word_chars",
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-    )
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words("_runs").alias("n_repeat_words"),
+        *[F.regexp_count("_text", F.lit(p)).cast("long").alias(n) for n, p in COUNTED.items()],
+        (F.octet_length("_text") - chars).alias("wide"), (chars - F.col("word_chars")).alias("blank"),
+        *[occurrences(k).alias(n) for k, n in enumerate(WORDS)],
+        (F.size("_common") > 0).alias("listed"),
+    ).withColumn("rest", F.col("chars") - _total([F.col(n) for n in (*COUNTED, "blank")]))
 
 
 def repeated_words(runs: str) -> Column:
@@ -94,83 +119,56 @@ def repeated_words(runs: str) -> Column:
     return F.when(some, F.get(covered, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """Per language: shares of the classes, the common words and their shares.
+def references(counts: DataFrame) -> DataFrame:
+    """Per language, the sums of both histograms over all documents; NULL is a language."""
+    sums = counts.groupBy("lang").agg(*[F.sum(n).alias(f"ref_{n}") for n in (*CLASSES, *WORDS, "n_words")])
+    return sums.withColumnRenamed("lang", "ref_lang")
 
-    Counted over all documents. A language's words are combined before the shuffle, and
-    the ranking keeps ``COMMON`` per task before it sends them on. NULL is a language.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chars = docs.select("lang", *[c.alias(n) for c, n in zip(class_counts(text), CLASS_NAMES)])
-    total = sum([F.sum(n) for n in CLASS_NAMES[1:]], F.sum(CLASS_NAMES[0]))
-    shares = chars.groupBy("lang").agg(*[(F.sum(n) / total).alias(f"ref_{n}") for n in CLASS_NAMES])
-    words = docs.select("lang", F.explode(words_of(F.lower(text))).alias("word"))
-    counts = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    top = ranked.filter(F.col("r") <= COMMON).groupBy("lang").agg(
-        F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top")
-    )
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("of"))
-    common = top.join(sums, top["lang"].eqNullSafe(sums["lang"])).select(
-        top["lang"].alias("_lang"),
-        F.transform("top", lambda t: t["word"]).alias("ref_words"),
-        F.transform("top", lambda t: t["n"] / F.col("of")).alias("ref_shares"),
-    )
-    found = shares.join(common, shares["lang"].eqNullSafe(common["_lang"]), "left").drop("_lang")
-    return written(found.withColumnRenamed("lang", "ref_lang"), "quality-references")
 
-
-def distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance of two distributions."""
+def distance(names: tuple[str, ...]) -> Column:
+    """Jensen-Shannon distance of the shares in columns and those in their ``ref_`` columns."""
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
-    halves = [(part(x, y) + part(y, x)) / 2 for x, y in zip(p, q)]
-    return F.sqrt(F.greatest(sum(halves[1:], halves[0]), F.lit(0.0)))
+    pairs = [(F.col(n), F.col(f"ref_{n}")) for n in names]
+    divergence = _total([(part(x, y) + part(y, x)) / 2 for x, y in pairs])
+    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base verdict, the two distances and ``kept`` of every document.
 
     A distance is NULL, and speaks for no rejection, where the text is shorter than its
-    guard or the language has no reference. NULL, empty and blank texts have no words and
-    fail the base rules; a NULL lang is a language of its own. NULL and repeated doc_ids
-    are handed on. Only doc_id, text and lang are read. An empty table gives an empty
-    result. Windows are compared by 64-bit hashes within one text.
+    guard or, for words, the language has no list. NULL, empty and blank texts have no
+    words and fail the base rules; a NULL lang is a language of its own. NULL and repeated
+    doc_ids are handed on. Only doc_id, text and lang are read. An empty table gives an
+    empty result. Windows are compared by 64-bit hashes within one text.
     """
-    own = docs.select("doc_id", "text", "lang")
-    refs = references(own)
+    counts = written(measured(docs), "quality-counts")
+    refs = written(references(counts), "quality-references")
     few = refs.count() <= FEW_LANGUAGES
-    told = measured(own)
-    same = F.col("lang").eqNullSafe(F.col("ref_lang"))
-    told = told.join(F.broadcast(refs) if few else refs, same, "left")
-    # Each word between two blanks of its own, so that neighbours are both found.
-    spaced = F.concat(F.lit(" "), F.array_join(F.col("_words"), "  "), F.lit(" "))
-    told = told.withColumn("_spaced", F.lower(spaced)).withColumn("n_repeat_words", repeated_words("_runs"))
-    chars = F.char_length("_text")
-    p = [c / F.greatest(chars, F.lit(1)) for c in class_counts(F.col("_text"))]
-    told = told.withColumn("chars_distance", F.when(
-        chars >= CHARS_GUARD, distance(p, [F.col(f"ref_{n}") for n in CLASS_NAMES])
-    ))
-
-    def occurrences(k: int) -> Column:
-        padded = F.concat(F.lit(" "), F.get("ref_words", F.lit(k)), F.lit(" "))
-        gone = F.replace(F.col("_spaced"), padded, F.lit(""))
-        n = (F.octet_length("_spaced") - F.octet_length(gone)) / F.octet_length(padded)
-        return F.coalesce(n / F.col("n_words"), F.lit(0.0))
-
-    counted = told.select("*", *[occurrences(k).alias(f"_p{k}") for k in range(COMMON)])
-    p = [F.col(f"_p{k}") for k in range(COMMON)]
-    q = [F.coalesce(F.get("ref_shares", F.lit(k)), F.lit(0.0)) for k in range(COMMON)]
-    other = [F.greatest(F.lit(1.0) - sum(x[1:], x[0]), F.lit(0.0)) for x in (p, q)]
-    guarded = (F.col("n_words") >= WORDS_GUARD) & F.col("ref_words").isNotNull()
-    counted = counted.withColumn("words_distance", F.when(guarded, distance([*p, other[0]], [*q, other[1]])))
+    told = counts.join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("ref_lang")))
+    # Shares are columns of their own before distances are built of them.
+    for prefix in ("", "ref_"):
+        told = told.withColumn(f"{prefix}_all", F.greatest(_total([F.col(prefix + n) for n in CLASSES]), F.lit(1)))
+        told = told.withColumn(f"{prefix}_of", F.greatest(F.col(prefix + "n_words"), F.lit(1)))
+        other = F.col(f"{prefix}_of") - _total([F.col(prefix + n) for n in WORDS])
+        told = told.withColumn(f"{prefix}other", F.greatest(other, F.lit(0)))
+        told = told.withColumns({
+            prefix + n: F.col(prefix + n) / F.col(prefix + of)
+            for names, of in ((CLASSES, "_all"), ((*WORDS, "other"), "_of")) for n in names
+        })
     times, limit = SHARE_REPEATED
     failed = (F.col("n_words") < LEAST_WORDS) | (times * F.col("n_repeat_words") > limit * F.col("n_words"))
+    told = told.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        F.when(F.col("chars") >= CHARS_GUARD, distance(CLASSES)).alias("chars_distance"),
+        F.when(F.col("listed") & (F.col("n_words") >= WORDS_GUARD), distance((*WORDS, "other")))
+        .alias("words_distance"),
+    )
     near = (F.coalesce("chars_distance", F.lit(0.0)) <= CHARS_LIMIT) & (
         F.coalesce("words_distance", F.lit(0.0)) <= WORDS_LIMIT
     )
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & near).alias("kept"), "chars_distance", "words_distance",
-    )
+    kept = (~F.col("base_failed") & near).alias("kept")
+    return told.select(*told.columns[:7], kept, "chars_distance", "words_distance")
