@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, pii, quality, simhash, tokens, toxicity, warc
+from solvenza.llm import packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,16 @@ def op5_packing(spark, root):
     return packing.packed(read_table(spark, root, "documents"), VOCABULARY)
 
 
+@query
+def op7_suffix_array(spark, root):
+    cut = suffixes.deduplicated(read_table(spark, root, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return cut.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_pii(spark, root):
     return pii.detected(read_table(spark, root, "documents")).drop("base", "added")
