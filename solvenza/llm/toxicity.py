@@ -13,6 +13,7 @@ documents are scored, whole, in tasks that share nothing but the model.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from solvenza.llm.common import map_rows
 
-SAMPLE_ROWS = 8000
-SAMPLE_BYTES = 48 << 20
+SAMPLE_ROWS = 6000
+SAMPLE_BYTES = 20 << 20
 FOLDS, HELD_OUT = 5, 0      # crc32 of doc_id modulo FOLDS; the fold HELD_OUT is never learned from
 LEAST_ROWS = 5              # sampled documents that hold a word of the model
 LEAST_Z = 2.5               # standard errors between its rates in toxic and other documents
@@ -59,12 +60,21 @@ class Model:
         return float(-np.expm1(clean)), marked
 
 
-def _vocabulary(docs: list[list[set[str]]], toxic: np.ndarray) -> list[str]:
-    """Words whose rate in toxic documents differs clearly from that in the others."""
+def _sentences(text: str | None) -> list[set[str]]:
+    return [set(_WORD.findall(s.lower())) for s in _SENTENCE.findall(text or "")] or [set()]
+
+
+def _vocabulary(texts: list[str | None], toxic: np.ndarray) -> list[str]:
+    """Words whose rate in toxic documents differs clearly from that in the others.
+    Only words of toxic documents are held."""
     inside, outside = Counter(), Counter()
-    for sentences, label in zip(docs, toxic):
-        (inside if label else outside).update(set().union(*sentences))
-    a, b = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    for text, label in zip(texts, toxic):
+        if label:
+            inside.update(set().union(*_sentences(text)))
+    for text, label in zip(texts, toxic):
+        if not label:
+            outside.update(inside.keys() & set().union(*_sentences(text)))
+    a, b = toxic.sum(), (1 - toxic).sum()
     clear = []
     for word, n in inside.items():
         m = outside[word]
@@ -85,23 +95,24 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     if not 0 < toxic.sum() < len(toxic):
         return Model(float(np.log(prior / (1 - prior))))
-    docs = [[set(_WORD.findall(s.lower())) for s in _SENTENCE.findall(t or "")] or [set()] for t in texts]
-    words = _vocabulary(docs, toxic)
+    words = _vocabulary(texts, toxic)
     place = {w: i for i, w in enumerate(words)}
     # One entry per (sentence, word of the vocabulary); sentences without one count only.
-    of_doc, rows, columns, plain = [], [], [], np.zeros(len(docs))
-    for d, sentences in enumerate(docs):
-        for s in sentences:
-            found = [place[w] for w in s if w in place]
+    docs, sizes = range(len(texts)), np.zeros(len(texts))
+    of_doc, rows, columns, plain = array("q"), array("q"), array("q"), np.zeros(len(texts))
+    for d, text in enumerate(texts):
+        for s in _sentences(text):
+            sizes[d] += 1
+            found = place.keys() & s
             if found:
-                rows += [len(of_doc)] * len(found)
-                columns += found
+                rows.extend([len(of_doc)] * len(found))
+                columns.extend(sorted(place[w] for w in found))
                 of_doc.append(d)
             else:
                 plain[d] += 1
     of_doc, rows, columns = (np.array(x, np.int64) for x in (of_doc, rows, columns))
     # theta[0] is the bias, a low one at first: most sentences are clean.
-    theta = np.concatenate([[np.log(prior / max(1.0, np.mean([len(d) for d in docs])))], np.zeros(len(words))])
+    theta = np.concatenate([[np.log(prior / max(1.0, sizes.mean()))], np.zeros(len(words))])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         z = theta[0] + np.bincount(rows, theta[1:][columns], len(of_doc))
