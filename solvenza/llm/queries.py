@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
+from solvenza.llm import neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op5_packing(spark, root):
     return packing.packed(read_table(spark, root, "documents"), VOCABULARY)
 
 
+@query
+def op6_nn_descent(spark, root):
+    return neighbours.nearest_neighbours(read_table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op7_suffix_array(spark, root):
     cut = suffixes.deduplicated(read_table(spark, root, "documents").select("doc_id", "text"))
