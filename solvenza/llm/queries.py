@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
+from solvenza.llm import licenses, neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
 from solvenza.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op8_pii(spark, root):
     return pii.detected(read_table(spark, root, "documents")).drop("base", "added")
 
 
+@query
+def op9_licenses(spark, root):
+    return licenses.scanned(read_table(spark, root, "documents"))
+
+
 @query
 def op10_simhash(spark, root):
     found = simhash.near_duplicates(read_table(spark, root, "documents"))
