@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
-import numpy as np
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +33,9 @@ END_OF_TEXT = 1         # id after every document
 POOL = 4096             # documents whose rest waits in a task
 STEP_TOKENS = 16_384    # tokens of a step group
 
-# The library's time grows with the square of such runs, and it recurses in them.
-_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+# The library's time may grow with the square of longer runs of one kind.
+LONG_RUN = 1000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
 
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -54,15 +54,24 @@ def library(spec: str) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=coder.special)
 
 
+def _long_run(text: str) -> bool:
+    """Whether a text has a long run without white space, or of it."""
+    lengths = list(map(len, text.split()))
+    if lengths and max(lengths) >= LONG_RUN:
+        return True
+    between = len(text) - sum(lengths) - len(lengths)
+    return between >= LONG_RUN - 2 and bool(_LONG_BLANK.search(text))
+
+
 def token_ids(text: str | None, spec: str) -> bytes:
     """Ids of a whole text as little-endian unsigned 32-bit integers, by the library
     where its time is linear, by the operator of ``tokens`` for the rest."""
     if not text:
         return b""
     fast = library(spec)
-    if fast is None or _LONG_RUN.search(text):
+    if fast is None or _long_run(text):
         return bpe(spec).encode(text)
-    return np.array(fast.encode(text, allowed_special="all"), "<u4").tobytes()
+    return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 class Piece(NamedTuple):
