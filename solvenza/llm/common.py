@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -18,6 +22,28 @@ BLANKS = " \t\n\x0b\x0c\r"
 ROWS_OUT = 4096
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per application, as ``--py-files`` does."""
+    context = spark.sparkContext
+    if getattr(context, "_solvenza_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="solvenza-"), "solvenza_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    context._solvenza_shipped = True
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

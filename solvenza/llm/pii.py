@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from solvenza.llm.common import map_rows, text_key, written
+from solvenza.llm.common import map_rows, text_key, unused, written
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -248,11 +248,14 @@ def masked(text: str | None, added: list | None) -> str | None:
 def sanitised(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
     """All rows and columns of ``docs`` with the text masked; NULL texts stay NULL."""
     seen = written(found(docs), "pii-found")
-    added = written(added_spans(docs, seen, at_once), "pii-added").withColumnRenamed("key", "_key")
+    key, extra = unused(docs, "_key"), unused(docs, "_added")
+    added = written(added_spans(docs, seen, at_once), "pii-added").select(
+        F.col("key").alias(key), F.col("added").alias(extra)
+    )
     # Texts without added spans are the most by far; where the added ones are few,
     # adaptive execution sends those and the texts stay where they are.
-    joined = docs.withColumn("_key", text_key()).join(added, "_key", "left").drop("_key")
-    names = [*docs.columns, "added"]
+    joined = docs.withColumn(key, text_key()).join(added, key, "left").drop(key)
+    names = [*docs.columns, extra]
     place = names.index("text")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:

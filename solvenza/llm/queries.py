@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from solvenza.llm import licenses, neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
-from solvenza.llm.common import read_table
+from solvenza.llm.common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -17,8 +18,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Query) -> Query:
-    _QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, root)
+
+    _QUERIES[fn.__name__] = run
+    return run
 
 
 def all_queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from solvenza.llm.common import map_rows, written
+from solvenza.llm.common import map_rows, text_key, unused, written
 from solvenza.llm.components import components
 
 SHINGLE = 3
@@ -167,7 +167,8 @@ def links(fps: DataFrame, most: int = MEET_MOST) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *extra: Column, most: int = MEET_MOST) -> DataFrame:
-    """doc_id, fp and component_id of every document, with ``extra`` columns.
+    """doc_id, fp, root and component_id of every document, with ``extra`` columns.
+    ``root`` is the smallest fingerprint of the component.
 
     Documents link when their fingerprints differ in at most 3 bits; component_id is
     the smallest doc_id that links reach, itself included. NULL, empty and blank texts
@@ -181,5 +182,18 @@ def near_duplicates(docs: DataFrame, *extra: Column, most: int = MEET_MOST) -> D
     roots = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = written(rooted.select("fp", "root").join(named, "root").drop("root"), "simhash-classes")
+    class_of = written(rooted.select("fp", "root").join(named, "root"), "simhash-classes")
     return marked.join(class_of, "fp")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that of the smallest
+    doc_id, a NULL one last; then the smallest key of id and text. Of rows equal in both
+    one stays."""
+    found = near_duplicates(docs, text_key().alias("key"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_chosen"))
+    key = unused(docs, "_key")
+    own = docs.withColumn(key, text_key())
+    kept = own.join(written(chosen, "simhash-chosen"), F.col(key) == F.col("_chosen"), "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

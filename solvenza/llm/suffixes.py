@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from solvenza.llm.common import map_rows, text_key, written
+from solvenza.llm.common import map_rows, text_key, unused, written
 
 LENGTH = 400
 TASK_BYTES = 2 << 20        # bytes of an anchor's stretches that are sorted in a task
@@ -377,18 +377,34 @@ def deduplicated(
     so equal results. NULL doc_ids come last. An empty table gives an empty result.
     """
     mine = {"none": "anywhere", "first": "earlier"}[keep]
-    found = repeated_windows(docs, length, task_bytes, sort_bytes).select(F.col("key").alias("_key"), F.col(mine).alias("_w"))
-    names = docs.columns
-    joined = docs.withColumn("_own", text_key()).join(found, F.col("_own") == F.col("_key"), "left")
+    found = repeated_windows(docs, length, task_bytes, sort_bytes).select("key", F.col(mine).alias("w"))
+    names, own, windows = docs.columns, unused(docs, "_own"), unused(docs, "_windows")
+    found = found.select(F.col("key").alias(f"{own}_key"), F.col("w").alias(windows))
+    joined = docs.withColumn(own, text_key()).join(found, F.col(own) == F.col(f"{own}_key"), "left")
     place = names.index("text")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for batch in batches:
-            for *row, windows in zip(*batch):
-                data, spans = (row[place] or "").encode(), _spans(windows, length)
+            for *row, found in zip(*batch):
+                data, spans = (row[place] or "").encode(), _spans(found, length)
                 yield (*row, kept_bytes(data, spans), spans)
 
     span = T.StructType().add("start", "integer").add("end", "integer")
     schema = T.StructType(list(docs.schema)).add("kept", T.BinaryType()).add("removed", T.ArrayType(span))
-    return map_rows(joined.select(*names, "_w"), schema, rows)
+    return map_rows(joined.select(*names, windows), schema, rows)
 
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """The rows and columns of ``docs`` with the repeats cut out of the text. A character
+    of which a byte is removed goes whole; NULL texts stay NULL."""
+    cut = deduplicated(docs, length, keep)
+    place, kept = docs.columns.index("text"), len(docs.columns)
+
+    def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in zip(*batch):
+                text = None if row[place] is None else row[kept].decode("utf-8", "ignore")
+                yield (*row[:place], text, *row[place + 1:kept])
+
+    return map_rows(cut, docs.schema, rows)

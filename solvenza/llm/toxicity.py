@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from solvenza.llm.common import map_rows
@@ -188,3 +189,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         "offending array<struct<start: int, end: int, score: double>>"
     )
     return map_rows(docs.select("doc_id", held_out().alias("held_out"), "text"), schema, rows)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and columns of ``docs`` whose text scores below the threshold."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array([model.sentences(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
