@@ -79,6 +79,11 @@ def variants(fps: DataFrame, blocks: int) -> DataFrame:
     return each.select(F.col("fp").bitwiseOR(F.col("m.o")).bitwiseXOR(F.col("m.f")).alias("variant"), "fp")
 
 
+def _close(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    # Of a signed number the bits of its absolute value would be counted.
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+
+
 def _spanning(group: np.ndarray) -> Iterator[tuple[int, int]]:
     """Verified links that connect what all links of the group connect."""
     left = group
@@ -86,7 +91,7 @@ def _spanning(group: np.ndarray) -> Iterator[tuple[int, int]]:
         edge, left = [left[0]], left[1:]
         while edge and left.size:
             at = edge.pop()
-            near = np.bitwise_count(left ^ at) <= RADIUS
+            near = _close(left, at)
             if near.any():
                 for other in left[near]:
                     yield int(at), int(other)
@@ -133,7 +138,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         last, starts, sizes = starts[-1], starts[:-1], sizes[:-1]
         held, crowded = fps[last:], len(fps) - last > most
         two = starts[sizes == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS
+        near = _close(fps[two], fps[two + 1])
         yield out(fps[two][near], fps[two + 1][near])
         more = [(s, n) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
         found = list(links([fps[s:s + n] for s, n in more if n <= most]))

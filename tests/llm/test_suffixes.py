@@ -1,0 +1,101 @@
+"""Repeated windows against brute force, sorted and counted; the suffix order itself."""
+
+import random
+
+import numpy as np
+import pytest
+
+from solvenza.llm import suffixes
+
+from .conftest import EDGES
+
+LENGTH = 40
+
+
+def plain(texts, length, keep):
+    data = [(t or "").encode() for t in texts]
+    seen, out = {}, []
+    for d in data:
+        for i in range(len(d) - length + 1):
+            seen[d[i:i + length]] = seen.get(d[i:i + length], 0) + 1
+    before = set()
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            w = d[i:i + length]
+            if (seen[w] > 1) if keep == "none" else (w in before):
+                gone[i:i + length] = b"\1" * length
+            before.add(w)
+        out.append(bytes(x for x, g in zip(d, gone) if not g))
+    return out
+
+
+def corpus():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    shared, other = prose(20), prose(12)
+    texts = [prose(rng.randint(3, 60)) for _ in range(30)]
+    texts += [prose(5) + " " + shared + " " + prose(8) for _ in range(12)]
+    texts += [shared[:60], other + " " + other, "ab" * 200, "a" * 300, prose(9) + other + shared]
+    texts += [texts[3], texts[3], texts[4][:-1] + "#", "é" * 100, "日本語" * 30 + shared]
+    return texts
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("task_bytes", [suffixes.TASK_BYTES, 150])
+def test_removes_what_brute_force_removes(documents, keep, task_bytes):
+    texts = corpus()
+    docs = documents(list(enumerate(texts)))
+    found = suffixes.deduplicated(docs, LENGTH, keep, task_bytes, sort_bytes=2000)
+    assert found.columns == [*docs.columns, "kept", "removed"]
+    rows = sorted(found.collect(), key=lambda r: r.doc_id)
+    for r, text, kept in zip(rows, texts, plain(texts, LENGTH, keep), strict=True):
+        assert bytes(r.kept) == kept, (r.doc_id, text)
+        data = text.encode()
+        assert suffixes.kept_bytes(data, [(s.start, s.end) for s in r.removed]) == kept
+        assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
+
+
+def test_edges(documents):
+    rows = suffixes.deduplicated(documents(EDGES), LENGTH).collect()
+    assert len(rows) == len(EDGES)
+    long = next(r for r in rows if r.doc_id == 7)
+    assert len(long.kept) == 0 and len(long.removed) == 1
+    assert all(bytes(r.kept) == (r.text or "").encode() for r in rows if r.doc_id != 7)
+    assert suffixes.deduplicated(documents([]), LENGTH).collect() == []
+
+
+def test_characters_go_whole(documents):
+    docs = documents([(1, "x" + "é" * 40), (2, "yé" + "é" * 39), (3, None)])
+    out = suffixes.without_repeats(docs, 21, "first")
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and texts[3] is None and set(texts[2]) <= {"y", "é"}
+
+
+def test_window_ranks_are_suffix_order():
+    data = np.frombuffer(b"banana bandana banana band" * 3, np.uint8)
+    for length in (1, 3, 8, 13, 20):
+        ranks = suffixes.window_ranks(data, length)
+        n = len(data) - length + 1
+        whole = [bytes(data[i:i + length]) for i in range(n)]
+        for i in range(n):
+            for j in range(n):
+                assert (ranks[i] < ranks[j]) == (whole[i] < whole[j])
+
+
+def test_stretches_cover_every_window_once_and_blocks_change_nothing(monkeypatch):
+    data = np.frombuffer(b"some text that is not long but long enough " * 9, np.uint8)
+    _, _, starts, counts = suffixes.stretches(data, LENGTH)
+    assert np.array_equal(np.repeat(starts, counts) + np.concatenate([np.arange(c) for c in counts]),
+                          np.arange(len(data) - LENGTH + 1))
+    anchors = np.repeat(suffixes.stretches(data, LENGTH)[0], counts)
+    monkeypatch.setattr(suffixes, "BLOCK", 50)
+    again = suffixes.stretches(data, LENGTH)
+    assert np.array_equal(np.repeat(again[0], again[3]), anchors)
+
+
+def test_sliding_minimum():
+    x = np.random.default_rng(0).integers(0, 1 << 60, 100, np.uint64)
+    for w in (1, 2, 7, 100):
+        assert np.array_equal(suffixes.sliding_min(x, w), [x[i:i + w].min() for i in range(101 - w)])
