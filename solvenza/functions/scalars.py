@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from solvenza.schemas import GRADE_SCALE, HELD, LOWERED, NO_VALUE, RAISED
@@ -75,6 +77,19 @@ def epoch_seconds(ts: Column) -> Column:
     )
 
 
+def moment(ts: str, number: str) -> Column:
+    """Time and then number as one DECIMAL(38,0), to order rows by both.
+
+    A fixed-width value: aggregates that order by it keep hash buffers, those that
+    order by a struct sort all rows first.
+    """
+    day, second = F.col(ts), F.extract(F.lit("SECOND"), F.col(ts))
+    minutes = F.unix_date(day.cast("date")).cast("long") * 1440 + F.hour(day) * 60 + F.minute(day)
+    micros = minutes * 60_000_000 + (second * 1_000_000).cast("long")
+    place = F.col(number).cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    return (micros.cast("decimal(18,0)") * F.lit(Decimal(2**64)) + place).cast("decimal(38,0)")
+
+
 def bucket_start(ts: Column, minutes: int = 3) -> Column:
     """Start of the bucket that holds ``ts``; ``minutes`` has to divide an hour."""
     if minutes <= 0 or 60 % minutes:
@@ -132,8 +147,7 @@ def full_time_label(ts: Column) -> Column:
 # --- grades ---------------------------------------------------------------
 
 def _scale() -> Column:
-    """The scale as an array; the planner folds it into one literal."""
-    return F.split(F.lit(",".join(GRADE_SCALE)), ",")
+    return F.array(*map(F.lit, GRADE_SCALE))
 
 
 def grade_index(grade: Column) -> Column:
@@ -157,9 +171,15 @@ def direction(before: Column, now: Column) -> Column:
 
 # --- numbers and percentages -----------------------------------------------
 
+# A decimal number with optional exponent; a cast alone also takes "1d" and "1f".
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def to_number(text: Column) -> Column:
-    """Double, or NULL when the text is not a finite number."""
-    number = text.try_cast("double")
+    """Double, or NULL when the text is not a finite number. Spaces around it do not
+    count, and blank text is 0."""
+    bare = trim_spaces(text)
+    number = F.when(bare == "", F.lit(0.0)).when(bare.rlike(_NUMBER), bare.try_cast("double"))
     return F.when(is_finite(number), number)
 
 
@@ -172,8 +192,14 @@ def round_half_up(number: Column) -> Column:
     return F.floor(number + 0.5)
 
 
+# From here on doubles lie further apart than the four decimals that are kept, and
+# ten thousand times the value nears the end of BIGINT.
+_COARSE = 9e13
+
+
 def basis_points(number: Column) -> Column:
-    """The fraction in hundredths of a percent, ties away from zero, as BIGINT."""
+    """The fraction in hundredths of a percent, ties away from zero, as BIGINT. Of
+    fractions below 9e13 only."""
     return (F.signum(number) * F.floor(F.abs(number) * 10000 + 0.5)).cast("long")
 
 
@@ -189,23 +215,30 @@ def to_percentage(number: Column, missing: str = "zero") -> Column:
         F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
         F.floor(points / 100).cast("string"), F.lit("."), _two(points % 100), F.lit("%"),
     )
-    return F.when(is_finite(value), text).otherwise(F.lit(NO_VALUE))
+    exact = (F.abs(value).try_cast("decimal(34,2)") * 100).cast("decimal(38,2)").cast("string")
+    large = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
+        F.coalesce(exact, F.abs(value * 100).cast("string")), F.lit("%"),
+    )
+    shown = F.when(F.abs(value) < _COARSE, text).otherwise(large)
+    return F.when(is_finite(value), shown).otherwise(F.lit(NO_VALUE))
 
 
 def parse_percentage(text: Column) -> Column:
     """Fraction from percentage text; ``-`` is NULL, plain numbers stay as they are."""
     bare = F.regexp_replace(text, "%$", "")
     return (
-        F.when(F.endswith(text, F.lit("%")), bare.try_cast("double") / 100)
+        F.when(F.endswith(text, F.lit("%")), to_number(bare) / 100)
         .when(text == NO_VALUE, F.lit(None).cast("double"))
-        .otherwise(text.try_cast("double"))
+        .otherwise(to_number(text))
     )
 
 
 def stored_ratio(number: Column, missing: str = "zero") -> Column:
     """What parsing the printed percentage gives back, without the text in between."""
     value = F.coalesce(number, F.lit(0.0)) if missing == "zero" else number
-    return F.when(is_finite(value), basis_points(value) / 100.0 / 100.0)
+    rounded = F.when(F.abs(value) < _COARSE, basis_points(value) / 100.0 / 100.0).otherwise(value)
+    return F.when(is_finite(value), rounded)
 
 
 def displayed_count(ratio: Column, total: Column) -> Column:

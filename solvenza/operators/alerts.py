@@ -48,11 +48,14 @@ def news_warnings(
     last negative article. The window runs over the weeks of a company.
     """
     negative = F.col("sentiment") == "negative"
-    article = F.when(negative, F.struct("published_at", "id", "title"))
+    last = F.when(negative, S.moment("published_at", "id"))
     weeks = (
         items.withColumn("week_start", F.window("published_at", "7 days").getField("start"))
         .groupBy("company", "week_start")
-        .agg(F.count_if(negative).alias("_n"), F.max(article).alias("_article"))
+        .agg(
+            F.count_if(negative).alias("_n"), F.max_by("id", last).alias("id"),
+            F.max_by("published_at", last).alias("ts"),
+        )
     )
     week_number = F.unix_date(F.col("week_start").cast("date"))
     before = F.first("_n").over(
@@ -62,14 +65,19 @@ def news_warnings(
         F.try_divide(F.col("_n") - F.col("_before"), F.col("_before")) >= growth
     )
     moved = grades.moved_weeks(observations)
-    return rising.join(moved, ["company", "week_start"], "left_anti").select(
-        F.col("_article.id").alias("id"),
+    warned = rising.join(moved, ["company", "week_start"], "left_anti").select("company", "id", "ts")
+    # The headline is text, which would make the aggregate sort; it is fetched for the
+    # few weeks that warn.
+    headlines = items.filter(negative).select(
+        "company", "id", F.col("published_at").alias("ts"), F.col("title").alias("news_keywords")
+    )
+    return warned.join(headlines, ["company", "id", "ts"]).select(
+        "id",
         F.lit("warning").alias("type"),
         "company",
         F.lit(_WARNING_TITLE).alias("title"),
         F.lit(None).cast("string").alias("rating_change"),
-        F.col("_article.title").alias("news_keywords"),
-        F.col("_article.published_at").alias("ts"),
+        "news_keywords", "ts",
     )
 
 

@@ -33,8 +33,6 @@ def search_flagged(catalog: DataFrame, watchlist: DataFrame, query: str) -> Data
 
 
 _LONGEST_GRAM = 3
-# Terms up to this number are sent to every task instead of shuffling the index.
-BROADCAST_TERMS = 100_000
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -52,9 +50,7 @@ def _grams_of_sizes(text: Column, sizes: Column) -> Column:
     return F.array_distinct(F.concat(*per_size))
 
 
-def search_bulk(
-    catalog: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS
-) -> DataFrame:
+def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     """Every (term, company) pair that ``search`` would find, for many terms at once.
 
     An equi-join in place of comparing all pairs: names are indexed by their
@@ -62,28 +58,28 @@ def search_bulk(
     rarest sequence in the catalog, and the candidates are verified. Terms shorter
     than three characters are a whole sequence themselves, so no pair is missed.
 
-    The terms are counted first. Up to ``broadcast_terms`` they go to every task, one
-    short row each, and the index is used where it is made. Beyond that the index is
-    shuffled by sequence; both inputs of that join come straight from a shuffle, so
-    adaptive execution splits the partition of a sequence most names have.
+    The index holds only sequences that a term has, so it is narrow before anything of
+    it is counted or shuffled. How the terms reach it is left to adaptive execution:
+    few of them go to every task, many are shuffled, and then the partition of a
+    sequence that most names have is split.
     """
     wanted = terms.filter(~S.is_blank(F.col("term"))).select("term").distinct()
-    few = wanted.limit(broadcast_terms + 1).count() <= broadcast_terms
     wanted = wanted.withColumn("_needle", F.lower("term"))
     size = F.least(F.length("_needle"), F.lit(_LONGEST_GRAM))
     # At most three numbers: the index holds no sequences shorter than it has to.
     sizes = wanted.agg(F.collect_set(size)).scalar()
     names = catalog.select("name", F.lower("name").alias("_low"))
-    index = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
+    every = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
+    asked = wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
+    index = every.join(asked.select("_gram").distinct(), "_gram", "left_semi")
     frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
-        .join(frequency, "_gram", "left")
+        asked.join(frequency, "_gram", "left")
         .groupBy("term", "_needle")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
     return (
-        index.join(F.broadcast(rarest) if few else rarest, "_gram")
+        every.join(rarest, "_gram")
         .filter(F.contains("_low", "_needle"))
         .select("term", "name")
     )
@@ -101,19 +97,19 @@ def classify_requests(
     one name are neither sorted nor joined in one task.
     """
     first = requests.groupBy("name").agg(
-        F.min(F.struct("request_ts", "request_id")).getField("request_id").alias("_first_id")
+        F.min_by("request_id", S.moment("request_ts", "request_id")).alias("_first_id"),
+        F.count(F.lit(1)).alias("n"),
     )
     listed = watchlist.select("name").distinct().withColumn("_listed", F.lit(True))
     known = catalog.select("name").distinct().withColumn("_known", F.lit(True))
-    rules = first.join(listed, "name", "left").join(known, "name", "left")
+    rules = first.drop("n").join(listed, "name", "left").join(known, "name", "left")
     outcome = (
         F.when(F.col("_listed"), F.lit("already_added"))
         .when(F.col("_known").isNull(), F.lit("unknown"))
         .when(F.col("request_id") == F.col("_first_id"), F.lit("added"))
         .otherwise(F.lit("already_added"))
     )
-    counts = requests.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    decided = join_split(requests, rules, counts, "name", F.col("request_id"), split_rows)
+    decided = join_split(requests, rules, first, "name", F.col("request_id"), split_rows)
     return decided.select("request_id", "request_ts", "name", outcome.alias("outcome"))
 
 
@@ -138,8 +134,14 @@ def append_new(watchlist: DataFrame, requests: DataFrame, catalog: DataFrame) ->
 
 
 def add_to_managed(stored: Column, name: Column) -> Column:
-    """The stored JSON list with ``name`` at its end unless it is in it already."""
-    names = F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
-    return F.to_json(
+    """The stored JSON list with ``name`` at its end unless it is in it already.
+
+    NULL and empty text are an empty list. Text that is no JSON list of texts stays as it
+    is: nothing is written over what can't be read.
+    """
+    empty = F.coalesce(S.trim_spaces(stored) == "", F.lit(True))
+    names = F.when(empty, F.array().cast("array<string>")).otherwise(F.from_json(stored, "array<string>"))
+    after = F.to_json(
         F.when(F.array_contains(names, name), names).otherwise(F.array_append(names, name))
     )
+    return F.when(names.isNull(), stored).otherwise(after)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from solvenza.functions import scalars as S
-from solvenza.operators import ordered
 from solvenza.schemas import RATIOS
 
 # What decides whether a row is saved again. News counts, ratios by class,
@@ -26,8 +26,11 @@ def rating_lookup(names: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def nonfinancial_scores(scores: DataFrame) -> DataFrame:
-    """Final scores that are numbers; anything else counts as missing."""
-    return scores.select("company", F.col("score.final_score").try_cast("double").alias("final_score"))
+    """Final scores that are numbers; anything else, also a number as text, counts as
+    missing."""
+    kind = scores.select("score.final_score").schema[0].dataType
+    number = F.col("score.final_score") if isinstance(kind, NumericType) else F.lit(None)
+    return scores.select("company", number.cast("double").alias("final_score"))
 
 
 def _rated(ratings: DataFrame) -> DataFrame:
@@ -83,19 +86,29 @@ def change_hash(columns: Sequence[str] = CHANGE_KEY) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def changed(
+def compared(
     snapshots: DataFrame, ts: str = "snapshot_ts", columns: Sequence[str] = CHANGE_KEY,
-    width: str = "30 days", kept: DataFrame | None = None,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
-    """Snapshots whose key differs from the company's snapshot before, with the key's
-    hash as ``change_hash``. ``kept`` holds ``company, change_hash`` saved earlier."""
+    """Snapshots with their key's hash as ``change_hash``, and ``is_changed`` where it
+    differs from the company's snapshot before.
+
+    ``kept`` holds ``company, change_hash`` from before the first snapshot. A company
+    has one snapshot a day, so the calendar bounds its rows and a plain window holds them.
+    """
     rows = snapshots.withColumn("change_hash", change_hash(columns))
     earliest = F.lit("0001-01-01 00:00:00").cast(snapshots.schema[ts].dataType)
     if kept is not None:
         past = kept.select("company", earliest.alias(ts), "change_hash")
         rows = rows.unionByName(past, allowMissingColumns=True)
-    compared = ordered.previous_value(
-        rows, ["company"], ts, [ts], F.col("change_hash"), "_previous", width
-    )
-    differs = ~F.col("change_hash").eqNullSafe(F.col("_previous"))
-    return compared.filter(differs & (F.col(ts) > earliest)).drop("_previous")
+    before = F.lag("change_hash").over(Window.partitionBy("company").orderBy(ts))
+    marked = rows.withColumn("is_changed", ~F.col("change_hash").eqNullSafe(before))
+    return marked.filter(F.col(ts) > earliest)
+
+
+def changed(
+    snapshots: DataFrame, ts: str = "snapshot_ts", columns: Sequence[str] = CHANGE_KEY,
+    kept: DataFrame | None = None,
+) -> DataFrame:
+    """Snapshots whose key differs from the company's snapshot before."""
+    return compared(snapshots, ts, columns, kept).filter("is_changed").drop("is_changed")

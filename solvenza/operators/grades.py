@@ -123,7 +123,7 @@ def moved_weeks(observations: DataFrame) -> DataFrame:
         .groupBy("company", "week_start")
         .agg(
             F.min("score").alias("_best"), F.max("score").alias("_worst"),
-            F.max_by("score", F.struct("ts", "id")).alias("_last"),
+            F.max_by("score", S.moment("ts", "id")).alias("_last"),
         )
     )
     before = F.lag("_last").over(Window.partitionBy("company").orderBy("week_start"))
@@ -141,15 +141,23 @@ def directions(observations: DataFrame) -> DataFrame:
     )
 
 
-def credit_buckets(observations: DataFrame, minutes: int = 3) -> DataFrame:
-    """The last observation of every company and bucket."""
-    points = on_scale(observations).withColumn("bucket_start", S.bucket_start(F.col("ts"), minutes))
-    last = F.max_by("score", F.struct("ts", "id")).alias("score")
-    return points.groupBy("company", "bucket_start").agg(last).withColumn(
+def last_of_buckets(observations: DataFrame, minutes: int = 3) -> DataFrame:
+    """The last observation of every company and bucket, with its time and id."""
+    points = on_scale(observations).select(
+        "company", S.bucket_start(F.col("ts"), minutes).alias("bucket_start"), "score", "ts", "id",
+        S.moment("ts", "id").alias("_moment"),
+    )
+    last = [F.max_by(c, "_moment").alias(c) for c in ("score", "ts", "id")]
+    return points.groupBy("company", "bucket_start").agg(*last).withColumn(
         "label", S.grade_label(F.col("score"))
     )
 
 
+def credit_buckets(observations: DataFrame, minutes: int = 3) -> DataFrame:
+    """The last grade of every company and bucket."""
+    return last_of_buckets(observations, minutes).drop("ts", "id")
+
+
 def in_time_order(points: DataFrame) -> DataFrame:
     return points.orderBy("company", "bucket_start")
 

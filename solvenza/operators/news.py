@@ -41,12 +41,24 @@ def sentiment_block(
     All sums are over integers, so a retried task gives the same doubles.
     """
     age = S.epoch_seconds(asof) - S.epoch_seconds(F.col("published_at"))
-    scored = recent(items, asof, days, limit).withColumn("_age", age)
+    return _blocks(recent(items, asof, days, limit).withColumn("_age", age), ["company"], days)
+
+
+def daily_blocks(items: DataFrame) -> DataFrame:
+    """The same per company and day, ``snapshot_ts``, over all articles of the day and as
+    of its end."""
+    daily = items.withColumn("snapshot_ts", F.window("published_at", "1 day").getField("start"))
+    end = S.epoch_seconds(F.col("snapshot_ts")) + _DAY_SECONDS
+    age = end - S.epoch_seconds(F.col("published_at"))
+    return _blocks(daily.withColumn("_age", age), ["company", "snapshot_ts"], 1)
+
+
+def _blocks(scored: DataFrame, keys: list[str], days: int) -> DataFrame:
     n, pos, neg = F.col("news_count"), F.col("positive"), F.col("negative")
     balance = pos - neg
     span = n * days * _DAY_SECONDS
     return (
-        scored.groupBy("company")
+        scored.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("news_count"),
             F.count_if(F.col("sentiment") == "positive").alias("positive"),
@@ -55,7 +67,7 @@ def sentiment_block(
             F.sum("_age").alias("_age"),
         )
         .select(
-            "company", "news_count",
+            *keys, "news_count",
             F.struct(
                 pos.alias("POSITIVE"), neg.alias("NEGATIVE"), F.col("neutral").alias("NEUTRAL"),
                 (pos / n).alias("positive_ratio"), (neg / n).alias("negative_ratio"),

@@ -82,27 +82,6 @@ def carry_over(
     return local.join(carried, [*keys, _CUT, _CHUNK], how).drop(_CUT, _CHUNK)
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    value: Column, into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
-) -> DataFrame:
-    """``lag(value)`` per key. ``order`` starts with ``ts`` and has no ties."""
-    w = chunk_window(keys, order)
-    boxed = F.struct(value.alias("v"))
-    local = in_chunks(df, keys, ts, width, frequent).select(
-        "*",
-        F.lag(boxed).over(w).alias("_before"),
-        F.when(F.lead(F.lit(1)).over(w).isNull(), boxed).alias("_tail"),
-    )
-    joined = carry_over(
-        local, keys, [F.max("_tail").alias("_chunk_tail")],
-        lambda s, over: s.select(*keys, _CUT, _CHUNK, F.lag("_chunk_tail").over(over).alias("_carried")),
-        frequent,
-    )
-    out = joined.withColumn(into, F.coalesce("_before", "_carried").getField("v"))
-    return out.drop("_before", "_tail", "_carried")
-
-
 def latest_known(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
     value: Column, into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,

@@ -106,7 +106,7 @@ _LATEST = """latest AS (
 
 
 def _points(value: str) -> str:
-    return f"CAST(floor(abs({value}) * 10000 + 0.5) AS BIGINT)"
+    return f"CAST(floor(abs({value}) * 10000 + 0.5) AS HUGEINT)"
 
 
 def _percent(value: str) -> str:
@@ -200,10 +200,15 @@ def _full_time(ts: str) -> str:
 _SNAPSHOTS = f"""{_SOURCES},
 daily AS (
   SELECT company, time_bucket(INTERVAL 1 DAY, published_at) AS snapshot_ts, count(*) AS news_count,
-         avg(CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) AS score
+         avg(CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) AS score,
+         stddev_pop(CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) AS volatility,
+         avg(CASE sentiment WHEN 'positive' THEN 1.0 ELSE 0.0 END) AS positive_ratio,
+         avg(CASE sentiment WHEN 'negative' THEN 1.0 ELSE 0.0 END) AS negative_ratio,
+         avg((epoch(date_trunc('second', published_at)) % 86400) / 86400.0) AS recency
   FROM items GROUP BY ALL),
 snaps AS (
   SELECT d.company, d.snapshot_ts, d.news_count, d.score AS news_score, r.rating, s.final_score,
+         d.volatility, d.positive_ratio, d.negative_ratio, d.recency,
          {', '.join(f'{_stored("l." + n)} AS {n}' for n in _NAMES)}
   FROM daily d JOIN latest l USING (company) JOIN ratings r USING (company) JOIN scores s USING (company)
   WHERE r.rating IS NOT NULL),
@@ -245,7 +250,8 @@ _ORACLES = {
         added AS (
           SELECT owner, names,
                  CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE n_name END AS name
-          FROM lists JOIN nation ON n_nationkey = owner)
+          FROM (SELECT n_nationkey AS owner, n_nationkey, n_name, coalesce(names, []) AS names
+                FROM nation LEFT JOIN lists ON owner = n_nationkey))
         SELECT owner, '[' || array_to_string(list_transform(
                  CASE WHEN list_contains(names, name) THEN names ELSE list_append(names, name) END,
                  lambda x: '"' || x || '"'), ',') || ']' AS stored
@@ -267,8 +273,8 @@ _ORACLES = {
                     || '%' END AS rate_text,
           CASE o_orderstatus WHEN 'F' THEN '정상' WHEN 'O' THEN '주의' WHEN 'P' THEN '연체' END
             AS delinquency_label,
-          ['부동산 담보', '주식 담보', '무담보', '미정'][o_custkey % 4 + 1] AS collateral,
-          ['김민수', '이지연', '박철수', '최영희', '정수진', '강동욱'][o_custkey % 6 + 1] AS rm,
+          ['토지', '채권', '예금', '없음'][o_custkey % 4 + 1] AS collateral,
+          '담당 ' || (o_custkey % 6 + 1) AS rm,
           ['등급 유지', '등급 상승', '등급 하락'][o_orderkey % 3 + 1] AS rating_change_label
         FROM orders""",
     "grade_index": f"""WITH {_OBSERVATIONS} SELECT id, grade, score,
@@ -383,7 +389,9 @@ _ORACLES = {
         WHERE rating IS NOT NULL""",
     "feature_changes": f"""WITH {_SNAPSHOTS}
         SELECT company, snapshot_ts, news_count, round(news_score, 6) AS news_sentiment_score,
-               rating AS public_credit_rating, debt_ratio,
+               round(volatility, 6) AS sentiment_volatility, round(positive_ratio, 6) AS positive_ratio,
+               round(negative_ratio, 6) AS negative_ratio, round(recency, 6) AS recency_weight_mean,
+               rating AS public_credit_rating, {', '.join(_NAMES)},
                round(final_score, 6) AS business_report_text_score
         FROM (SELECT *, lag(k) OVER (PARTITION BY company ORDER BY snapshot_ts) AS k0 FROM keyed)
         WHERE k IS DISTINCT FROM k0""",
@@ -416,6 +424,8 @@ _ORACLES = {
         WHERE type <> 'warning'""",
 }
 _ORACLES["stream_feature_changes"] = _ORACLES["feature_changes"]
+_ORACLES["stream_weekly_sentiment"] = _ORACLES["weekly_sentiment"]
+_ORACLES["feature_responses"] = _ORACLES["feature_assembly"]
 
 
 def all_oracles() -> dict[str, str]:

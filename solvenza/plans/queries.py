@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, catalog, features, financials, grades, news, portfolio
-from solvenza.schemas import RATIOS, SENTIMENTS
+from solvenza.schemas import FEATURE_TYPES, RATIOS, SENTIMENTS
 from solvenza.session import shared_dir
-from solvenza.sources import tables as T
+from solvenza.sources import responses, tables as T
+from solvenza.sources.sinks import feature_columns
 from solvenza.streaming import flows
-from solvenza.streaming.inputs import observation_stream
+from solvenza.streaming.inputs import item_stream, observation_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,7 +90,7 @@ def watchlist_union(spark, root):
 
 @query
 def managed_union(spark, root):
-    lists = T.managed_lists(spark, root).join(T.managed_additions(spark, root), "owner")
+    lists = T.managed_additions(spark, root).join(T.managed_lists(spark, root), "owner", "left")
     after = catalog.add_to_managed(F.col("stored"), F.col("name"))
     return lists.select("owner", after.alias("stored"))
 
@@ -297,27 +298,48 @@ def feature_ready(spark, root):
 
 @query
 def feature_assembly(spark, root):
+    return _assembled(_feature_sources(spark, root))
+
+
+def _assembled(sources: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
     return _rounded(
-        features.assemble(*_feature_sources(spark, root)),
+        features.assemble(*sources),
         "news_sentiment_score", "sentiment_volatility", "positive_ratio", "negative_ratio",
         "recency_weight_mean", "business_report_text_score",
     )
 
 
-def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """One feature row per company and day of news; only the news moves by day."""
-    value = F.when(F.col("sentiment") == "positive", 1).when(F.col("sentiment") == "negative", -1)
-    daily = (
-        T.news_items(spark, root)
-        .withColumn("snapshot_ts", F.window("published_at", "1 day").getField("start"))
-        .groupBy("company", "snapshot_ts")
-        .agg(
-            F.count(F.lit(1)).alias("news_count"),
-            F.avg(F.coalesce(value, F.lit(0))).alias("news_sentiment_score"),
-        )
+@query
+def feature_responses(spark, root):
+    """The assembly from response texts: written as the services send them, read back."""
+    def body(of: DataFrame, **fields: Column) -> DataFrame:
+        return of.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("body"))
+
+    metrics, ratings, block, scores = _feature_sources(spark, root)
+    code = F.col("company").cast("string")
+    metrics = body(metrics, data=F.array(F.struct(code.alias("stock_code"), *RATIOS)))
+    ratings = body(ratings.filter("company IS NOT NULL"), ratings=F.create_map(code, "rating"))
+    values = [c for c in block.columns if c != "company"]
+    block = body(block, results=F.array(F.struct(code.alias("query"), *values)))
+    scores = body(scores, results=F.array(F.struct(code.alias("company"), F.struct("final_score").alias("score"))))
+
+    def known(of: DataFrame, name: str) -> DataFrame:
+        return of.withColumn("company", F.col(name).try_cast("bigint"))
+
+    read = (
+        known(responses.first_metrics(metrics), "stock_code"),
+        known(responses.credit(ratings), "name").select("company", "rating"),
+        known(responses.news_blocks(block), "query"),
+        features.nonfinancial_scores(known(responses.nonfinancial(scores), "company")),
     )
+    return _assembled(read)
+
+
+def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """The 15 feature columns per company and day of news; only the news moves by day."""
+    daily = news.daily_blocks(T.news_items(spark, root))
     rated = _ratings(spark, root).filter("rating IS NOT NULL")
-    return (
+    joined = (
         _latest_metrics(spark, root)
         .select("company", *[S.stored_ratio(F.col(r)).alias(r) for r in RATIOS])
         .join(rated.withColumnRenamed("rating", "public_credit_rating"), "company")
@@ -325,8 +347,9 @@ def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
             _scores(spark, root).withColumnRenamed("final_score", "business_report_text_score"),
             "company",
         )
-        .join(daily, "company")
+        .join(daily.select("*", "aggregate.positive_ratio", "aggregate.negative_ratio"), "company")
     )
+    return joined.select("snapshot_ts", *FEATURE_TYPES)
 
 
 @query
@@ -335,11 +358,12 @@ def feature_changes(spark, root):
 
 
 def _feature_change_columns(kept: DataFrame) -> DataFrame:
-    shown = kept.select(
-        "company", "snapshot_ts", "news_count", "news_sentiment_score", "public_credit_rating",
-        "debt_ratio", "business_report_text_score",
+    """What is saved, in the sink's columns and types, with the snapshot's time."""
+    saved = feature_columns(kept, "snapshot_ts")
+    return _rounded(
+        saved, "news_sentiment_score", "sentiment_volatility", "positive_ratio", "negative_ratio",
+        "recency_weight_mean", "business_report_text_score",
     )
-    return _rounded(shown, "news_sentiment_score", "business_report_text_score")
 
 
 # --- alerts -----------------------------------------------------------------
@@ -393,18 +417,18 @@ def notification_ordinal(spark, root):
 
 @query
 def stream_credit_buckets(spark, root):
-    updates = flows.bucket_updates(observation_stream(spark, root))
-    rows = flows.run_available(updates, shared_dir(spark, "buckets"), "update")
-    return flows.served_buckets(spark, rows)
+    path = shared_dir(spark, "buckets")
+    rows = flows.run_available(observation_stream(spark, root), path, flows.BUCKETS)
+    return rows.select("company", "bucket_start", "score", S.grade_label(F.col("score")).alias("label"))
+
+
+@query
+def stream_weekly_sentiment(spark, root):
+    return flows.run_available(item_stream(spark, root), shared_dir(spark, "weeks"), flows.WEEKLY_SENTIMENT)
 
 
 def _followed(spark: SparkSession, root: str) -> DataFrame:
-    observed = flows.distinct_observations(observation_stream(spark, root))
-    rows = flows.run_available(
-        observed, shared_dir(spark, "followed"), "append", flows.follow_step, flows.follow_tail
-    )
-    stored = spark.read.parquet(rows).drop("batch_id")
-    return stored.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return flows.run_available(observation_stream(spark, root), shared_dir(spark, "followed"), flows.CHANGES)
 
 
 @query
@@ -426,7 +450,5 @@ def stream_feature_changes(spark, root):
     snapshots = feature_snapshots(spark, root)
     snapshots.write.parquet(path)
     arriving = spark.readStream.schema(snapshots.schema).parquet(path)
-    rows = flows.run_available(
-        arriving, shared_dir(spark, "features"), "append", flows.feature_step, flows.feature_tail
-    )
-    return _feature_change_columns(spark.read.parquet(rows))
+    rows = flows.run_available(arriving, shared_dir(spark, "features"), flows.FEATURES)
+    return _feature_change_columns(flows.changed_features(rows))

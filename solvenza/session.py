@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
 import tempfile
 import uuid
@@ -33,6 +35,14 @@ def build_session(app: str = "solvenza", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One folder per process for local sessions, removed at its end."""
+    folder = tempfile.TemporaryDirectory(prefix="solvenza-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
@@ -43,5 +53,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="solvenza-")
+        root = _own_folder()
     return os.path.join(root, "solvenza", f"{purpose}-{uuid.uuid4().hex}")

@@ -1,0 +1,72 @@
+"""Tables that a stream writes batch by batch and folds together now and then.
+
+``path`` holds one folder ``batch_id=N`` per micro-batch and, after a fold, one folder
+``upto=N`` with what the batches up to N come to. A reader takes the newest whole fold
+and the batches after it. A batch that runs again replaces its own folder; folders that
+a fold covers go after it is complete. All of it belongs on storage that every executor
+shares.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+Fold = Callable[[DataFrame], DataFrame]
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder_numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the complete folders ``kind=N`` below ``path``."""
+    files, where = _files(spark, path)
+    if not files.exists(where):
+        return []
+    found = []
+    for status in files.listStatus(where):
+        name, _, number = status.getPath().getName().partition("=")
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name == kind and number.isdigit() and files.exists(done):
+            found.append(int(number))
+    return sorted(found)
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
+def read_all(spark: SparkSession, path: str, skip: int | None = None) -> DataFrame | None:
+    """Rows of the newest fold and the batches after it, each with its ``batch_id``;
+    without batch ``skip``. None when nothing is written."""
+    folds = folder_numbers(spark, path, "upto")
+    found = None
+    if folds:
+        folded = spark.read.parquet(os.path.join(path, f"upto={folds[-1]}"))
+        found = folded.withColumn("batch_id", F.lit(-1).cast("long"))
+    for n in folder_numbers(spark, path, "batch_id"):
+        if n != skip and (not folds or n > folds[-1]):
+            rows = read_batch(spark, path, n).withColumn("batch_id", F.lit(n).cast("long"))
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def fold(spark: SparkSession, path: str, batch_id: int, folded: Fold) -> None:
+    """Replace the batches up to ``batch_id`` by what ``folded`` makes of them."""
+    rows = read_all(spark, path)
+    if rows is None:
+        return
+    folded(rows).drop("batch_id").write.mode("overwrite").parquet(os.path.join(path, f"upto={batch_id}"))
+    files, _ = _files(spark, path)
+    for kind, last in (("batch_id", batch_id), ("upto", batch_id - 1)):
+        for n in folder_numbers(spark, path, kind):
+            if n <= last:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"{kind}={n}")), True)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from solvenza.schemas import FEATURE_TYPES, FEATURES
+from solvenza.sources.batches import folder_numbers
 
 
-def feature_columns(rows: DataFrame) -> DataFrame:
-    """The 15 sink columns in their order and types."""
-    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in FEATURE_TYPES.items()])
+def feature_columns(rows: DataFrame, *beside: str) -> DataFrame:
+    """The 15 sink columns in their order and types, after the columns ``beside``."""
+    return rows.select(*beside, *[F.col(name).cast(kind).alias(name) for name, kind in FEATURE_TYPES.items()])
 
 
 def append_features(rows: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -28,19 +30,13 @@ def read_features(spark: SparkSession, path: str, file_format: str = "parquet")
     return reader.format(file_format).load(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch into its own folder; a repeated batch replaces itself."""
-    rows.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
-
-
-def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, f"batch_id={batch_id}"))
-
-
 def write_managed(lists: DataFrame, path: str) -> None:
-    """Save the stored lists as a new table; a path in use is refused."""
-    lists.select("owner", "stored").write.mode("errorifexists").parquet(path)
+    """Save the stored lists over what is there: each save is a folder of its own, and
+    readers take the newest whole one."""
+    version = f"version={time.time_ns()}"
+    lists.select("owner", "stored").write.mode("errorifexists").parquet(os.path.join(path, version))
 
 
 def read_managed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("owner INT, stored STRING").parquet(path)
+    newest = folder_numbers(spark, path, "version")[-1]
+    return spark.read.schema("owner INT, stored STRING").parquet(os.path.join(path, f"version={newest}"))

@@ -23,7 +23,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _choice(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.split(F.lit(",".join(values)), ","), (index + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
 def _customer_name(key: Column) -> Column:
@@ -139,12 +139,16 @@ def value_observations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def news_items(spark: SparkSession, root: str) -> DataFrame:
+    return items_of(table(spark, root, "events"))
+
+
+def items_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     sentiment = (
         F.when(kind.isin("purchase", "signup"), "positive").when(kind == "error", "negative")
         .otherwise("neutral")
     )
-    return table(spark, root, "events").select(
+    return events.select(
         F.col("user_id").alias("company"), F.col("event_id").alias("id"), kind.alias("title"),
         F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("press"),
         F.col("ts").alias("published_at"), F.col("props").alias("summary"),

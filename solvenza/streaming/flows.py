@@ -1,165 +1,234 @@
-"""Grade, alert and feature flows on streams.
+"""Grade, news, alert and feature flows on streams.
 
-Each flow computes what its batch operator computes, and reuses it: a micro-batch is
-one more stretch of every company's series, and the state is what the stretches
-before it hand over, one row per company. So a company with a third of a
-micro-batch's rows is split into chunks as in the batch operator, and no Python runs
-per row.
+Each flow gives what its batch operator gives over all rows that have arrived, for any
+layout of the files and any order of the rows. Nothing is dropped as late, and no state
+is held in the stream: micro-batches are written to tables (``sources.batches``), and
+what must be known of earlier rows is read from there.
 
-The flows differ from batch for late rows only: a row later than the watermark is
-dropped from buckets, and a row that arrives after a newer one of its company is
-compared with the newer one.
+* ``Latest`` keeps the newest row per key, ``Totals`` sums counts.
+* ``Follow`` continues an ordered comparison. A company's new rows are normally newer
+  than all before, and go through the batch operator with the state of its last row.
+  Where some are not, the rows from the earliest on are done again, with the state of
+  the last row before them; the newer version of a row stands.
+
+A company with a third of a micro-batch's rows is split as in the batch operator, and
+no Python runs per row.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from solvenza.functions import scalars as S
-from solvenza.operators import alerts, features, grades
-from solvenza.schemas import BUCKET, LOWERED, RAISED
-from solvenza.sources.sinks import read_batch, write_batch
-from solvenza.streaming.inputs import LATENESS, poll
+from solvenza.operators import alerts, features, grades, news
+from solvenza.schemas import LOWERED, RAISED, RETENTION_DAYS, SENTIMENTS
+from solvenza.sources.batches import fold, read_all, read_batch, write_batch
+from solvenza.streaming.inputs import poll
 
-# Turns a micro-batch and the state kept before it into the rows to write.
-Step = Callable[[DataFrame, DataFrame | None], DataFrame]
-# The state rows that written rows leave behind, one per company.
-Tail = Callable[[DataFrame], DataFrame]
+FOLD_EVERY = 10     # batches
 
 
-# --- buckets ----------------------------------------------------------------
+def _kept_days(rows: DataFrame, ts: str, days: int | None) -> DataFrame:
+    """Without rows older than ``days`` before the newest one."""
+    if days is None:
+        return rows
+    newest = rows.agg(F.max(ts).alias("_newest")).scalar()
+    return grades.retained(rows, ts, newest, days)
 
-def bucket_updates(observations: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Last observation per company and bucket; state lives until the watermark.
 
-    Rows of a bucket are combined before the shuffle, and buckets of one company
-    spread over all tasks. Runs in update mode, or append for closed buckets only.
-    """
-    last = F.max_by("score", F.struct("ts", "id")).alias("score")
-    return (
-        grades.on_scale(observations)
-        .withWatermark("ts", lateness)
-        .groupBy("company", F.window("ts", BUCKET).alias("bucket"))
-        .agg(last)
-        .select("company", F.col("bucket.start").alias("bucket_start"), "score")
-    )
+@dataclass(frozen=True)
+class Latest:
+    """One row per key, that of the greatest ``order``."""
+    step: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    order: tuple[str, str]      # a time and a number
+    ts: str
+    days: int | None = RETENTION_DAYS
 
+    def served(self, rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in (*self.keys, "batch_id")]
+        newest = [F.max_by(c, S.moment(*self.order)).alias(c) for c in values]
+        return _kept_days(rows.groupBy(*self.keys).agg(*newest), self.ts, self.days)
 
-def served_buckets(spark: SparkSession, rows: str) -> DataFrame:
-    """The bucket table behind the written updates: the newest write of every bucket."""
-    log = spark.read.parquet(rows)
-    newest = log.groupBy("company", "bucket_start").agg(F.max_by("score", "batch_id").alias("score"))
-    return newest.select(
-        "company", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), "score",
-        S.grade_label(F.col("score")).alias("label"),
-    )
+    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
+        write_batch(self.step(batch), _rows(path), batch_id)
 
+    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
+        fold(spark, _rows(path), batch_id, self.served)
 
-def weekly_sentiment_updates(items: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Weekly counts per company and sentiment; ``published_at`` is the event time."""
-    kinds = ("positive", "negative", "neutral")
-    return (
-        items.withWatermark("published_at", lateness)
-        .groupBy("company", F.window("published_at", "7 days").alias("week"))
-        .agg(*[F.count_if(F.col("sentiment") == k).alias(k) for k in kinds])
-        .select("company", F.col("week.start").alias("week_start"), *kinds)
-    )
 
+@dataclass(frozen=True)
+class Totals:
+    """Counts per key, summed over the batches."""
+    step: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    counts: tuple[str, ...]
 
-# --- direction, last change and alerts ---------------------------------------
+    def served(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.counts])
 
-def distinct_observations(observations: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """A repeated observation id inside the watermark counts once."""
-    scored = observations.select("company", "id", "ts", "grade", "news_keywords")
-    return scored.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["id"])
+    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
+        write_batch(self.step(batch), _rows(path), batch_id)
 
+    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
+        fold(spark, _rows(path), batch_id, self.served)
 
-def follow_step(batch: DataFrame, kept: DataFrame | None) -> DataFrame:
-    return grades.follow(batch, kept=kept)
 
+@dataclass(frozen=True)
+class Follow:
+    """Rows compared with the one before them.
 
-def follow_tail(rows: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("score", "change"), F.struct("ts", "id")).alias("s")
-    return rows.groupBy("company").agg(last).select("company", "s.score", "s.change")
+    ``order`` places a company's rows and tells them apart; a row that comes again
+    counts once. ``step`` takes rows and what is ``carried`` from before them.
+    ``again`` turns written rows back into what ``step`` reads.
+    """
+    step: Callable[[DataFrame, DataFrame | None], DataFrame]
+    again: Callable[[DataFrame], DataFrame]
+    order: tuple[str, ...]
+    carried: tuple[str, ...]
+    days: int | None = RETENTION_DAYS
+
+    def place(self) -> Column:
+        return F.struct(*self.order)
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """The last row of each company, with what it carries."""
+        columns = F.struct(*self.order, *self.carried)
+        last = rows.groupBy("company").agg(F.max_by(columns, self.place()).alias("s"))
+        return last.select("company", "s.*")
+
+    def state(self, spark: SparkSession, path: str, skip: int | None = None) -> DataFrame | None:
+        rows = read_all(spark, _state(path), skip)
+        if rows is None:
+            return None
+        newest = F.struct(*self.order, "batch_id")
+        columns = F.struct(*self.order, *self.carried)
+        return rows.groupBy("company").agg(F.max_by(columns, newest).alias("s")).select("company", "s.*")
+
+    def served(self, rows: DataFrame) -> DataFrame:
+        """The newest version of every row, inside the retention."""
+        keys = ("company", *self.order)
+        values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s"))
+        return _kept_days(newest.select(*keys, "s.*"), self.order[0], self.days)
+
+    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Read more than once here; what is lost is computed again.
+        fresh = batch.dropDuplicates(["company", *self.order]).persist()
+        try:
+            if not fresh.isEmpty():
+                kept, todo = self.state(spark, path, batch_id), fresh
+                if kept is not None:
+                    todo, kept = self._with_late(spark, path, batch_id, fresh, kept)
+                write_batch(self.step(todo, kept), _rows(path), batch_id)
+                # From the written rows, so the step runs once; changed companies only.
+                write_batch(self._last(read_batch(spark, _rows(path), batch_id)), _state(path), batch_id)
+        finally:
+            fresh.unpersist()
 
+    def _with_late(
+        self, spark: SparkSession, path: str, batch_id: int, fresh: DataFrame, kept: DataFrame
+    ) -> tuple[DataFrame, DataFrame]:
+        carried = kept.select("company", *self.carried)
+        first = fresh.groupBy("company").agg(F.min(self.place()).alias("_first"))
+        known = kept.select("company", self.place().alias("_newest"))
+        late = first.join(known, "company").filter("_first <= _newest").select("company", "_first")
+        if late.isEmpty():
+            return fresh, carried
+        written = read_all(spark, _rows(path), batch_id)
+        history = self.served(written).join(late, "company")
+        before = self._last(history.filter(self.place() < F.col("_first"))).select("company", *self.carried)
+        after = self.again(history.filter(self.place() >= F.col("_first")).drop("_first"))
+        todo = fresh.unionByName(after.select(*fresh.columns)).dropDuplicates(["company", *self.order])
+        return todo, carried.join(late, "company", "left_anti").unionByName(before)
 
-def alerts_of(followed: DataFrame) -> DataFrame:
-    """``up`` and ``down`` alerts of followed observations. Warnings compare whole
-    weeks and are left to the batch operator."""
-    moved = grades.described(followed).filter(F.col("direction").isin(RAISED, LOWERED))
-    return alerts.alert_columns(moved)
+    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
+        fold(spark, _rows(path), batch_id, self.served)
+        fold(spark, _state(path), batch_id, lambda rows: self.state(spark, path))
 
 
-# --- features ---------------------------------------------------------------
+Flow = Latest | Totals | Follow
 
-def feature_step(batch: DataFrame, kept: DataFrame | None) -> DataFrame:
-    return features.changed(batch, kept=kept)
 
+def _rows(path: str) -> str:
+    return os.path.join(path, "rows")
 
-def feature_tail(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("company").agg(F.max_by("change_hash", "snapshot_ts").alias("change_hash"))
 
+def _state(path: str) -> str:
+    return os.path.join(path, "state")
 
-# --- running ----------------------------------------------------------------
 
-def _plain(path: str) -> Callable[[DataFrame, int], None]:
-    return lambda batch, batch_id: write_batch(batch, os.path.join(path, "rows"), batch_id)
+# --- flows --------------------------------------------------------------------
 
+def _bucket_rows(observations: DataFrame) -> DataFrame:
+    return grades.last_of_buckets(observations).drop("label")
 
-def _carrying(path: str, step: Step, tail: Tail) -> Callable[[DataFrame, int], None]:
-    rows, state = os.path.join(path, "rows"), os.path.join(path, "state")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kept = read_batch(spark, state, batch_id - 1) if batch_id else None
-        # The step reads the batch more than once; what is lost is computed again.
-        held = batch.persist()
-        try:
-            if kept is not None and held.isEmpty():
-                write_batch(kept, state, batch_id)
-                return
-            write_batch(step(held, kept), rows, batch_id)
-        finally:
-            held.unpersist()
-        # The state comes from the written rows, so the step runs once.
-        after = tail(read_batch(spark, rows, batch_id))
-        if kept is not None:
-            untouched = kept.join(after.select("company"), "company", "left_anti")
-            after = after.unionByName(untouched)
-        write_batch(after, state, batch_id)
+BUCKETS = Latest(_bucket_rows, ("company", "bucket_start"), ("ts", "id"), "bucket_start")
 
-    return each
+WEEKLY_SENTIMENT = Totals(news.weekly_sentiment, ("company", "week_start"), SENTIMENTS)
 
 
+def _observed_again(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("grade", S.grade_label(F.col("score")))
+
+
+CHANGES = Follow(
+    lambda rows, kept: grades.follow(rows, kept=kept), _observed_again, ("ts", "id"), ("score", "change")
+)
+
+# Snapshots without a change are kept too: a late one may come before them.
+FEATURES = Follow(
+    lambda rows, kept: features.compared(rows, kept=kept),
+    lambda rows: rows.drop("change_hash", "is_changed"), ("snapshot_ts",), ("change_hash",),
+)
+
+
+def alerts_of(followed: DataFrame) -> DataFrame:
+    """``up`` and ``down`` alerts of followed observations."""
+    moved = grades.described(followed).filter(F.col("direction").isin(RAISED, LOWERED))
+    return alerts.alert_columns(moved)
+
+
+def changed_features(rows: DataFrame) -> DataFrame:
+    return rows.filter("is_changed").drop("is_changed", "change_hash")
+
+
+# --- running ------------------------------------------------------------------
+
 def start(
-    stream: DataFrame, path: str, mode: str = "append",
-    step: Step | None = None, tail: Tail | None = None, available_now: bool = False,
+    stream: DataFrame, path: str, flow: Flow, available_now: bool = False, fold_every: int = FOLD_EVERY
 ) -> StreamingQuery:
-    """Write every micro-batch to its own folder below ``path``/rows.
+    """Write every micro-batch below ``path`` and fold the tables every few batches.
 
-    With ``step`` and ``tail`` the batch continues from the state in ``path``/state,
-    one snapshot per batch, of which only the last is needed. A batch that is run
-    again reads the same snapshot and overwrites its own folders, so each batch
-    counts once and a failed write leaves the state as it was. All of ``path``,
-    with the checkpoint, belongs on storage that every executor shares.
+    A batch that is run again gives the same rows: it replaces its own folders, and
+    rows that a fold has taken in already count once.
     """
-    each = _plain(path) if step is None else _carrying(path, step, tail)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        flow.write(batch, path, batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            flow.fold(batch.sparkSession, path, batch_id)
+
     return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", os.path.join(path, "checkpoint"))
+        stream.writeStream.option("checkpointLocation", os.path.join(path, "checkpoint"))
         .trigger(**poll(available_now))
         .foreachBatch(each)
         .start()
     )
 
 
-def run_available(
-    stream: DataFrame, path: str, mode: str = "append", step: Step | None = None, tail: Tail | None = None
-) -> str:
-    """Process what the source holds now; returns the folder of the written rows."""
-    start(stream, path, mode, step, tail, available_now=True).awaitTermination()
-    return os.path.join(path, "rows")
+def run_available(stream: DataFrame, path: str, flow: Flow, fold_every: int = FOLD_EVERY) -> DataFrame | None:
+    """Process what the source holds now; returns what the flow serves, None if nothing."""
+    start(stream, path, flow, available_now=True, fold_every=fold_every).awaitTermination()
+    return served(stream.sparkSession, path, flow)
+
+
+def served(spark: SparkSession, path: str, flow: Flow) -> DataFrame | None:
+    rows = read_all(spark, _rows(path))
+    return None if rows is None else flow.served(rows)

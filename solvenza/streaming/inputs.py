@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,29 +11,29 @@ from solvenza.schemas import TABLES
 from solvenza.sources import tables
 
 POLL = "3 minutes"
-LATENESS = "10 minutes"
 
 
 def event_stream(
     spark: SparkSession, root: str, pattern: str = "events*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Event files as they arrive, at most ``files_per_trigger`` to a micro-batch."""
+    """Event files as they arrive, at most ``files_per_trigger`` to a micro-batch.
+
+    What matches ``pattern`` may be a file or a folder of part files. Files may hold
+    rows of any time and come in any order.
+    """
     return (
         spark.readStream.schema(TABLES["events"])
-        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(root)
+        .parquet(os.path.join(root, pattern))
     )
 
 
 def observation_stream(spark: SparkSession, root: str, **options: Any) -> DataFrame:
-    """Grade observations with an event time that watermarks accept.
+    return tables.observations_of(event_stream(spark, root, **options))
 
-    The stored times have no zone and are read in the session's zone; keep that at
-    UTC, where every clock reading exists once.
-    """
-    observed = tables.observations_of(event_stream(spark, root, **options))
-    return observed.withColumn("ts", F.col("ts").cast("timestamp"))
+
+def item_stream(spark: SparkSession, root: str, **options: Any) -> DataFrame:
+    return tables.items_of(event_stream(spark, root, **options))
 
 
 def poll(available_now: bool = False) -> dict[str, Any]:

@@ -40,10 +40,9 @@ def test_search_flagged_matches_names_exactly(companies, spark):
     assert {r.name: r.is_added for r in rows} == {"AKB48": True, "KB금융": False}
 
 
-@pytest.mark.parametrize("broadcast_terms", [0, 100])
-def test_search_bulk_has_no_all_pairs_join(companies, spark, broadcast_terms):
+def test_search_bulk_has_no_all_pairs_join(companies, spark):
     terms = spark.createDataFrame([("kb",)], "term STRING")
-    plan = catalog.search_bulk(companies, terms, broadcast_terms)._jdf.queryExecution().toString()
+    plan = catalog.search_bulk(companies, terms)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -56,9 +55,8 @@ def test_search_bulk_equals_single_searches(spark, names, terms):
     df = spark.createDataFrame([(n,) for n in names], "name STRING")
     wanted = spark.createDataFrame([(t,) for t in terms], "term STRING")
     expected = {(t, n) for t in terms if t.strip() for n in names if t.lower() in n.lower()}
-    for broadcast_terms in (0, 100):
-        got = catalog.search_bulk(df, wanted, broadcast_terms).collect()
-        assert len(got) == len(expected) and {(r.term, r.name) for r in got} == expected
+    got = catalog.search_bulk(df, wanted).collect()
+    assert len(got) == len(expected) and {(r.term, r.name) for r in got} == expected
 
 
 def requests_of(spark, names):
@@ -104,7 +102,8 @@ def test_semi_and_anti(companies, spark):
 
 
 def test_managed_list(spark):
-    rows = [('["a","b"]', "b"), ('["a"]', "c"), (None, "x"), ("[]", "y")]
+    broken = ['["A","B"', '{"x":1}', "no list"]
+    rows = [('["a","b"]', "b"), ('["a"]', "c"), (None, "x"), ("[]", "y"), (" ", "z"), *((b, "n") for b in broken)]
     df = spark.createDataFrame(rows, "stored STRING, name STRING")
     out = [r[0] for r in df.select(catalog.add_to_managed(F.col("stored"), F.col("name"))).collect()]
-    assert out == ['["a","b"]', '["a","c"]', '["x"]', '["y"]']
+    assert out == ['["a","b"]', '["a","c"]', '["x"]', '["y"]', '["z"]', *broken]

@@ -87,10 +87,9 @@ def days(rows):
     return sorted((r.company, (r.snapshot_ts - dt.datetime(2024, 1, 1)).days) for r in rows)
 
 
-@pytest.mark.parametrize("width", ["1 day", "30 days"])
-def test_changed(spark, width):
+def test_changed(spark):
     """News counts alone do not change a row; going back to old values and to NULL does."""
-    got = features.changed(snapshots(spark, SNAPSHOTS), width=width).collect()
+    got = features.changed(snapshots(spark, SNAPSHOTS)).collect()
     assert days(got) == CHANGED
 
 
@@ -115,6 +114,9 @@ def test_managed_store(spark, tmp_path):
     lists = spark.createDataFrame([(1, '["a"]')], "owner INT, stored STRING")
     sinks.write_managed(lists, str(tmp_path / "m"))
     assert sinks.read_managed(spark, str(tmp_path / "m")).collect() == lists.collect()
+    after = spark.createDataFrame([(1, '["a","b"]')], "owner INT, stored STRING")
+    sinks.write_managed(after, str(tmp_path / "m"))
+    assert sinks.read_managed(spark, str(tmp_path / "m")).collect() == after.collect()
 
 
 def bodies(spark, *texts):
@@ -148,6 +150,14 @@ def test_news_responses(spark):
 
 
 def test_nonfinancial_responses(spark):
-    body = '{"results":[{"company":"a","score":{"final_score":0.5}},{"company":"b","score":{"final_score":"x"}},{"company":"c"}]}'
+    scores = {"a": "0.5", "b": '"x"', "d": '"0.7"', "e": "null", "f": "7", "g": "{}"}
+    results = ",".join(f'{{"company":"{n}","score":{{"final_score":{v}}}}}' for n, v in scores.items())
+    body = f'{{"results":[{results},{{"company":"c"}}]}}'
     rows = features.nonfinancial_scores(responses.nonfinancial(bodies(spark, body))).collect()
-    assert {r.company: r.final_score for r in rows} == {"a": 0.5, "b": None, "c": None}
+    found = {r.company: r.final_score for r in rows}
+    assert found == {"a": 0.5, "b": None, "c": None, "d": None, "e": None, "f": 7.0, "g": None}
+
+
+def test_numbers_as_text_are_no_scores(spark):
+    text = spark.createDataFrame([("a", ("0.7",))], "company STRING, score STRUCT<final_score: STRING>")
+    assert features.nonfinancial_scores(text).first().final_score is None

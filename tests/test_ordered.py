@@ -45,15 +45,6 @@ def test_frequent_keys(rows):
     assert frequent(rows, 10_000).count() == 0
 
 
-@CUTS
-@WIDTHS
-def test_previous_value(rows, width, split_rows):
-    got = ordered.previous_value(
-        rows, ["k"], "ts", ["ts", "id"], F.col("v"), "p", width, frequent(rows, split_rows)
-    )
-    same(got.select("k", "id", "p"), rows.select("k", "id", F.lag("v").over(plain()).alias("p")))
-
-
 @CUTS
 @WIDTHS
 def test_latest_known(rows, width, split_rows):

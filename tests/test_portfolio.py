@@ -4,10 +4,10 @@ from solvenza.operators import portfolio
 from solvenza.schemas import PORTFOLIO
 
 ROWS = [
-    ("a", "AAA", 1234, 3.0, "정상", "무담보", "김민수", "유지"),
-    ("b", "AA", 0, 0.0, "주의", "미정", "이지연", "하락"),
-    ("c", "A", 4999, 4.5, "연체", "미정", "이지연", "상승"),
-    ("d", "A", 1000, 3.1, "보류", "미정", "이지연", "하락"),
+    ("a", "AAA", 1234, 3.0, "정상", "없음", "담당 1", "유지"),
+    ("b", "AA", 0, 0.0, "주의", "예금", "담당 2", "하락"),
+    ("c", "A", 4999, 4.5, "연체", "예금", "담당 2", "상승"),
+    ("d", "A", 1000, 3.1, "보류", "예금", "담당 2", "하락"),
 ]
 
 

@@ -63,6 +63,15 @@ def test_plan_scales(spark, name):
             assert "Aggregate" in lines[i + 1] and "partial_" in lines[i + 1]
 
 
+@pytest.mark.parametrize("name", [
+    "credit_buckets", "credit_retention", "grade_asof", "rating_alerts", "news_warnings", "watchlist_add",
+    "feature_changes", "notification_mark_read", "notification_summary", "notification_view",
+])
+def test_rows_are_combined_by_hash(spark, name):
+    """No aggregate sorts the rows it reads."""
+    assert "SortAggregate" not in plan_of(spark, name)
+
+
 @pytest.mark.parametrize("name,columns", [
     ("company_search", "c_name:string,c_mktsegment:string"),
     ("nonfin_score", "doc_id:bigint,source:string"),

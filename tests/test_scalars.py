@@ -158,3 +158,26 @@ def test_basis_points_agree_with_exact_rounding(spark, values):
         exact = (Decimal(r.v) * 10000).quantize(Decimal(1), ROUND_HALF_UP)
         # Doubles next to a tie may fall to either side.
         assert abs(int(exact) - r.p) <= (1 if abs(abs(Decimal(r.v) * 10000) % 1 - Decimal("0.5")) < Decimal("1e-5") else 0)
+
+
+def test_numbers_follow_the_whole_text(one):
+    texts = ["", " ", "1d", "1f", "1e3", " 2.5 ", ".5", "5.", "+1", "-", "abc", "NaN", "Infinity", "1e999", None]
+    assert one(S.to_number, texts) == [0, 0, None, None, 1000, 2.5, 0.5, 5, 1, None, None, None, None, None, None]
+    assert one(S.parse_percentage, ["12.5%", "%", "1d", "1d%", "-", "0.3", ""]) == [0.125, 0, None, None, None, 0.3, 0]
+
+
+def test_large_ratios_do_not_saturate(one):
+    values = [1e14, -1e15, 1e15, 12345.678, 1e30]
+    assert one(S.to_percentage, values, "double") == [
+        "10000000000000000.00%", "-100000000000000000.00%", "100000000000000000.00%", "1234567.80%",
+        "100000000000000000000000000000000.00%",
+    ]
+    assert one(S.stored_ratio, values, "double") == [1e14, -1e15, 1e15, 12345.678, 1e30]
+
+
+def test_moments_order_by_time_and_number(spark):
+    rows = [("1969-12-31 23:59:59.5", 1), ("1970-01-01", -5), ("1970-01-01", 3), ("2024-01-01 00:00:00.000001", -9),
+            ("2024-01-01 00:00:00.000002", 2**62), ("9999-12-31 23:59:59.999999", 2**63 - 1)]
+    df = spark.createDataFrame(rows, "t STRING, id BIGINT").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    found = [r.m for r in df.select(S.moment("ts", "id").alias("m")).collect()]
+    assert found == sorted(set(found)) and None not in found

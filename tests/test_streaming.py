@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solvenza.operators import alerts, features, grades, news
-from solvenza.sources import tables as T
+from solvenza.sources import batches, tables as T
 from solvenza.streaming import flows, inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,120 +36,145 @@ def deliver(arrivals, inbox, i):
                 to.write(source.read())
 
 
-def run_in_parts(spark, arrivals, tmp_path, flow, mode="append", step=None, tail=None):
+def run_in_parts(spark, arrivals, tmp_path, flow, order=range(PARTS), source=inputs.observation_stream, fold_every=2):
     """One restart of the stream for each arriving file."""
     inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
     os.makedirs(inbox)
-    for i in range(PARTS):
+    for i in order:
         deliver(arrivals, inbox, i)
-        stream = flow(inputs.observation_stream(spark, inbox))
-        rows = flows.run_available(stream, out, mode, step, tail)
+        rows = flows.run_available(source(spark, inbox), out, flow, fold_every)
     return rows
 
 
-def ntz(df, column="ts"):
-    return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+CHANGE_COLUMNS = ["company", "id", "ts", "grade", "score", "direction", "last_change"]
 
 
-def test_buckets_in_update_mode_equal_batch(spark, arrivals, tmp_path):
-    rows = run_in_parts(spark, arrivals, tmp_path, flows.bucket_updates, "update")
-    expected = grades.credit_buckets(T.grade_observations(spark, FOLDER))
-    assert sorted(flows.served_buckets(spark, rows).collect()) == sorted(expected.collect())
-
-
-def test_buckets_in_append_mode_withhold_open_ones(spark, arrivals, tmp_path):
-    rows = run_in_parts(spark, arrivals, tmp_path, flows.bucket_updates, "append")
-    got = {(r.company, r.bucket_start, r.score) for r in flows.served_buckets(spark, rows).collect()}
-    expected = {
-        (r.company, r.bucket_start, r.score)
-        for r in grades.credit_buckets(T.grade_observations(spark, FOLDER)).collect()
-    }
-    last = max(b for _, b, _ in expected)
-    assert got < expected
-    assert all((last - b).total_seconds() < 900 for _, b, _ in expected - got)
-
-
-def test_changes_equal_batch(spark, arrivals, tmp_path):
-    rows = run_in_parts(
-        spark, arrivals, tmp_path, flows.distinct_observations, "append", flows.follow_step, flows.follow_tail
-    )
-    columns = ["company", "id", "ts", "grade", "score", "direction", "last_change"]
-    followed = ntz(spark.read.parquet(rows)).drop("batch_id")
-    got = grades.described(followed).select(columns)
-    expected = grades.with_changes(T.grade_observations(spark, FOLDER)).select(columns)
+def same_changes(spark, followed):
+    got = grades.described(followed).select(CHANGE_COLUMNS)
+    expected = grades.with_changes(T.grade_observations(spark, FOLDER)).select(CHANGE_COLUMNS)
     assert sorted(got.collect()) == sorted(expected.collect())
+
+
+def same_buckets(spark, rows):
+    expected = grades.credit_buckets(T.grade_observations(spark, FOLDER))
+    got = rows.select("company", "bucket_start", "score")
+    assert sorted(got.collect()) == sorted(expected.drop("label").collect())
+
+
+ORDERS = pytest.mark.parametrize("order", [range(PARTS), range(PARTS - 1, -1, -1), (2, 0, 4, 1, 3)])
+
+
+@ORDERS
+def test_buckets_equal_batch_in_any_order(spark, arrivals, tmp_path, order):
+    same_buckets(spark, run_in_parts(spark, arrivals, tmp_path, flows.BUCKETS, order))
+
+
+@ORDERS
+def test_changes_equal_batch_in_any_order(spark, arrivals, tmp_path, order):
+    followed = run_in_parts(spark, arrivals, tmp_path, flows.CHANGES, order)
+    same_changes(spark, followed)
     ups_and_downs = alerts.grade_alerts(T.grade_observations(spark, FOLDER))
     assert sorted(flows.alerts_of(followed).collect()) == sorted(ups_and_downs.collect())
 
 
+def test_weekly_sentiment_equals_batch(spark, arrivals, tmp_path):
+    got = run_in_parts(spark, arrivals, tmp_path, flows.WEEKLY_SENTIMENT, (3, 1, 0, 2, 4), inputs.item_stream)
+    assert sorted(got.collect()) == sorted(news.weekly_sentiment(T.news_items(spark, FOLDER)).collect())
+
+
+@pytest.fixture(scope="module")
+def by_user(spark, tmp_path_factory):
+    """The event table as a folder of part files, cut by user."""
+    root = str(tmp_path_factory.mktemp("by_user"))
+    events = T.table(spark, FOLDER, "events")
+    for i in range(PARTS):
+        events.filter(F.col("user_id") % PARTS == i).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+    return root
+
+
+def test_a_folder_table_one_file_a_batch(spark, by_user, tmp_path):
+    stream = inputs.observation_stream(spark, by_user, files_per_trigger=1)
+    same_buckets(spark, flows.run_available(stream, str(tmp_path / "b"), flows.BUCKETS, fold_every=3))
+    stream = inputs.observation_stream(spark, by_user, files_per_trigger=1)
+    same_changes(spark, flows.run_available(stream, str(tmp_path / "c"), flows.CHANGES, fold_every=3))
+
+
 def test_a_repeated_batch_counts_once(spark, tmp_path):
-    """Running one micro-batch again, as after a failure, changes nothing."""
-    each = flows._carrying(str(tmp_path), flows.follow_step, flows.follow_tail)
-    seen = T.grade_observations(spark, FOLDER)
+    """Running one micro-batch again, as after a failure, changes nothing, before a fold
+    and after it."""
+    path, seen = str(tmp_path), T.grade_observations(spark, FOLDER)
     middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    each(seen.filter(F.col("ts") < middle), 0)
-    each(seen.filter(F.col("ts") >= middle), 1)
-    each(seen.filter(F.col("ts") >= middle), 1)
-    rows = spark.read.parquet(str(tmp_path / "rows")).drop("batch_id")
-    assert sorted(grades.described(rows).select("id", "last_change").collect()) == sorted(
-        grades.with_changes(seen).select("id", "last_change").collect()
-    )
+    late = seen.filter(F.col("ts") >= middle)
+    flows.CHANGES.write(seen.filter(F.col("ts") < middle), path, 0)
+    flows.CHANGES.write(late, path, 1)
+    flows.CHANGES.write(late, path, 1)
+    same_changes(spark, flows.served(spark, path, flows.CHANGES))
+    flows.CHANGES.fold(spark, path, 1)
+    flows.CHANGES.write(late, path, 1)
+    flows.CHANGES.write(late, path, 2)
+    same_changes(spark, flows.served(spark, path, flows.CHANGES))
 
 
-def test_a_repeated_observation_counts_once(spark, arrivals, tmp_path):
-    inbox = str(tmp_path / "inbox")
-    os.makedirs(inbox)
-    deliver(arrivals, inbox, 0)
-    stored = spark.read.parquet(os.path.join(inbox, "events-0.parquet"))
-    stored.coalesce(1).write.mode("append").parquet(str(tmp_path / "copy"))
-    for name in os.listdir(tmp_path / "copy"):
-        if name.endswith(".parquet"):
-            with open(tmp_path / "copy" / name, "rb") as source, open(os.path.join(inbox, "events-copy.parquet"), "wb") as to:
-                to.write(source.read())
-    stream = flows.distinct_observations(inputs.observation_stream(spark, inbox))
-    rows = flows.run_available(stream, str(tmp_path / "out"), "append", flows.follow_step, flows.follow_tail)
-    on_scale = grades.on_scale(T.observations_of(stored))
-    assert spark.read.parquet(rows).count() == on_scale.count()
+KINDS = "company BIGINT, id BIGINT, ts TIMESTAMP_NTZ, grade STRING, news_keywords STRING"
+
 
+def observed(spark, *rows):
+    made = spark.createDataFrame([(c, i, None, g, "k", t) for c, i, t, g in rows], KINDS + ", t STRING")
+    return made.withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
 
-def test_late_row_is_compared_with_what_arrived_before_it(spark, tmp_path):
-    kinds = "company BIGINT, id BIGINT, ts TIMESTAMP_NTZ, grade STRING, news_keywords STRING"
 
-    def batch(i, time, grade):
-        return spark.createDataFrame([(1, i, None, grade, "k")], kinds).withColumn("ts", F.lit(time).cast("timestamp_ntz"))
+def test_a_late_row_is_put_in_its_place(spark, tmp_path):
+    path = str(tmp_path)
+    for n, (i, time, grade) in enumerate([(1, "10:00", "AA"), (2, "09:00", "A"), (3, "11:00", "AA"), (4, "09:30", "NR")]):
+        flows.CHANGES.write(observed(spark, (1, i, f"2024-01-01 {time}:00", grade)), path, n)
+    rows = grades.described(flows.served(spark, path, flows.CHANGES)).orderBy("ts").collect()
+    assert [(r.id, r.direction, r.last_change) for r in rows] == [
+        (2, "유지", ""), (1, "상향", "A → AA"), (3, "유지", "A → AA")
+    ]
 
-    each = flows._carrying(str(tmp_path), flows.follow_step, flows.follow_tail)
-    each(batch(1, "2024-01-01 10:00:00", "AA"), 0)
-    each(batch(2, "2024-01-01 09:00:00", "A"), 1)  # late
-    each(batch(3, "2024-01-01 11:00:00", "AA"), 2)
-    rows = grades.described(spark.read.parquet(str(tmp_path / "rows")).drop("batch_id")).orderBy("id").collect()
-    assert [(r.direction, r.last_change) for r in rows] == [("유지", ""), ("하향", "AA → A"), ("상향", "A → AA")]
+
+def test_state_and_files_stay_bounded(spark, tmp_path):
+    """Each batch writes the state of its own companies; folds leave few folders."""
+    path = str(tmp_path)
+    for n in range(20):
+        rows = [(c, 100 * n + c, f"2024-01-01 {n:02}:00:00", "AA" if n % 2 else "A") for c in (n % 5, 9)]
+        flows.CHANGES.write(observed(spark, *rows), path, n)
+        assert batches.read_batch(spark, f"{path}/state", n).count() == 2
+        if n % 4 == 3:
+            flows.CHANGES.fold(spark, path, n)
+        for table in ("rows", "state"):
+            assert len(os.listdir(f"{path}/{table}")) <= 5
+    assert flows.CHANGES.state(spark, path).count() == 6
+    assert flows.served(spark, path, flows.CHANGES).count() == 40
+
+
+def test_old_points_go(spark, tmp_path):
+    path = str(tmp_path)
+    rows = [(1, 1, "2024-01-01 00:00:00", "A"), (1, 2, "2024-07-01 00:00:00", "AA"), (1, 3, "2024-06-30 00:00:00", "A")]
+    flows.BUCKETS.write(observed(spark, *rows), path + "/b", 0)
+    flows.CHANGES.write(observed(spark, *rows), path + "/c", 0)
+    assert {r.id for r in flows.served(spark, path + "/b", flows.BUCKETS).collect()} == {2, 3}
+    assert {r.id for r in flows.served(spark, path + "/c", flows.CHANGES).collect()} == {2, 3}
+
+
+def test_an_empty_source_serves_nothing(spark, tmp_path):
+    T.table(spark, FOLDER, "events").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    stream = inputs.observation_stream(spark, str(tmp_path))
+    assert flows.run_available(stream, str(tmp_path / "out"), flows.CHANGES) is None
 
 
 def test_features_are_written_when_their_key_changes(spark, tmp_path):
     from test_features import CHANGED, SNAPSHOTS, days, snapshots
 
     inbox = str(tmp_path / "inbox")
-    for part in (SNAPSHOTS[:2], SNAPSHOTS[2:5], SNAPSHOTS[5:]):
+    for part in (SNAPSHOTS[2:5], SNAPSHOTS[:2], SNAPSHOTS[5:]):   # the second comes late
         snapshots(spark, part).coalesce(1).write.mode("append").parquet(inbox)
         arriving = spark.readStream.schema(snapshots(spark, SNAPSHOTS).schema).parquet(inbox)
-        rows = flows.run_available(
-            arriving, str(tmp_path / "out"), "append", flows.feature_step, flows.feature_tail
-        )
-    assert days(spark.read.parquet(rows).collect()) == CHANGED
+        rows = flows.run_available(arriving, str(tmp_path / "out"), flows.FEATURES)
+    assert days(flows.changed_features(rows).collect()) == CHANGED
     assert days(features.changed(snapshots(spark, SNAPSHOTS)).collect()) == CHANGED
 
 
-def test_weekly_sentiment_equals_batch(spark, tmp_path):
-    items = T.news_items(spark, FOLDER)
-    items.write.parquet(str(tmp_path / "items"))
-    arriving = spark.readStream.schema(items.schema).parquet(str(tmp_path / "items"))
-    arriving = arriving.withColumn("published_at", F.col("published_at").cast("timestamp"))
-    rows = flows.run_available(flows.weekly_sentiment_updates(arriving), str(tmp_path / "out"), "update")
-    got = ntz(spark.read.parquet(rows).drop("batch_id"), "week_start")
-    assert sorted(got.collect()) == sorted(news.weekly_sentiment(items).collect())
-
-
 def test_poll_interval():
     assert inputs.poll() == {"processingTime": "3 minutes"}
     assert inputs.poll(available_now=True) == {"availableNow": True}
