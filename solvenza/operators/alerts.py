@@ -122,12 +122,12 @@ def summary(notifications: DataFrame) -> DataFrame:
     )
 
 
-def with_ordinal(notifications: DataFrame, inbox: str = "inbox", width: str = "1 hour") -> DataFrame:
+def with_ordinal(notifications: DataFrame, inbox: str = "inbox") -> DataFrame:
     """Number each inbox from 1, the oldest notification first.
 
-    All inboxes are cut: there are few, and counting would make the feed once more.
+    There are few inboxes, so all are sliced, which makes the feed once.
     """
-    return ordered.position(notifications, [inbox], "ts", ["ts", "id"], "ordinal", width)
+    return ordered.position(notifications, [inbox], ["ts", "id"], "ordinal")
 
 
 def newest_first(notifications: DataFrame) -> DataFrame:

@@ -18,22 +18,21 @@ def on_scale(observations: DataFrame) -> DataFrame:
 
 
 def follow(
-    observations: DataFrame, width: str = ordered.CHUNK_WIDTH,
-    split_rows: int = ordered.SPLIT_ROWS, kept: DataFrame | None = None,
+    observations: DataFrame, split_rows: int = ordered.SPLIT_ROWS, kept: DataFrame | None = None,
 ) -> DataFrame:
     """Each observation's score with the one before it and the latest change.
 
     A change is one integer, ``before * 20 + after``; the ``grade`` text is dropped.
-    So rows and chunk summaries stay narrow, and summaries aggregate in fixed-width
+    So rows and slice summaries stay narrow, and summaries aggregate in fixed-width
     hash buffers. ``kept`` holds ``company, score, change`` from before the first row.
     """
     scored = on_scale(observations).drop("grade")
     rows = scored.withColumn("_kept", F.lit(None).cast("int"))
     if kept is not None:
         rows = rows.unionByName(_past(kept, scored), allowMissingColumns=True)
-    frequent = ordered.frequent_keys(observations, ["company"], split_rows)
-    w = ordered.chunk_window(["company"], _ORDER)
-    local = ordered.in_chunks(rows, ["company"], "ts", width, frequent).select(
+    parts, cut = ordered.in_slices(rows, ["company"], _ORDER, split_rows)
+    w = ordered.slice_window(["company"], _ORDER)
+    local = parts.select(
         "*", F.lag("score").over(w).alias("_before"), F.lead("score").over(w).alias("_after")
     )
     change = F.coalesce("_kept", _change_code(F.col("_before"), F.col("score")))
@@ -44,11 +43,9 @@ def follow(
     def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
         handed = summaries.withColumn("_carried_score", F.lag("_last").over(over))
         handed = handed.withColumn("_entry", _change_code(F.col("_carried_score"), F.col("_opening")))
-        earlier = F.last(F.coalesce("_chunk_change", "_entry"), ignorenulls=True)
-        return handed.select(
-            "company", "_cut", "_chunk", "_carried_score",
-            F.coalesce(F.col("_entry"), earlier.over(ordered.before_here(over))).alias("_carried_change"),
-        )
+        earlier = F.last(F.coalesce("_slice_change", "_entry"), ignorenulls=True)
+        change = F.coalesce(F.col("_entry"), earlier.over(ordered.before_here(over)))
+        return handed.withColumn("_carried_change", change)
 
     ends = F.col("_after").isNull()
     joined = ordered.carry_over(
@@ -56,10 +53,9 @@ def follow(
         [
             F.max(F.when(ends, F.col("_first"))).alias("_opening"),
             F.max(F.when(ends, F.col("score"))).alias("_last"),
-            F.max(F.when(ends, F.col("_change"))).alias("_chunk_change"),
+            F.max(F.when(ends, F.col("_change"))).alias("_slice_change"),
         ],
-        carry,
-        frequent,
+        carry, {"_carried_score": "int", "_carried_change": "int"}, cut,
     )
     if kept is not None:
         joined = joined.filter(F.col("ts") > _before_all(scored))
@@ -93,9 +89,7 @@ def described(followed: DataFrame) -> DataFrame:
     )
 
 
-def with_changes(
-    observations: DataFrame, width: str = ordered.CHUNK_WIDTH, split_rows: int = ordered.SPLIT_ROWS
-) -> DataFrame:
+def with_changes(observations: DataFrame, split_rows: int = ordered.SPLIT_ROWS) -> DataFrame:
     """Compare every observation with the one before it.
 
     Adds ``prev_score`` (NULL for a company's first observation), ``direction`` and
@@ -103,7 +97,7 @@ def with_changes(
     any change. The comparison is with the last observation, also one of the same
     bucket, and reaches back without limit.
     """
-    return described(follow(observations, width, split_rows))
+    return described(follow(observations, split_rows))
 
 
 def _change_code(before: Column, now: Column) -> Column:
@@ -185,15 +179,11 @@ def retained_buckets(
     return retained(credit_buckets(recent, minutes), "bucket_start", asof, days)
 
 
-def grade_asof(
-    probes: DataFrame, points: DataFrame, width: str = ordered.CHUNK_WIDTH,
-    split_rows: int = ordered.SPLIT_ROWS,
-) -> DataFrame:
+def grade_asof(probes: DataFrame, points: DataFrame, split_rows: int = ordered.SPLIT_ROWS) -> DataFrame:
     """The grade in force at each probe: the last point at or before it.
 
     ``probes`` has ``company, id, ts``; ``points`` has ``company, bucket_start,
-    score``. A probe before the first point has no grade and score -1. Probes decide which
-    companies are cut; a company's points are bounded by time.
+    score``. A probe before the first point has no grade and score -1.
     """
     both = points.select(
         "company", F.lit(None).cast("long").alias("id"), F.col("bucket_start").alias("ts"),
@@ -203,9 +193,8 @@ def grade_asof(
             "company", "id", "ts", F.lit(1).alias("side"), F.lit(None).cast("int").alias("score")
         )
     )
-    frequent = ordered.frequent_keys(probes, ["company"], split_rows)
     known = ordered.latest_known(
-        both, ["company"], "ts", ["ts", "side", "id"], F.col("score"), "score_asof", width, frequent
+        both, ["company"], ["ts", "side", "id"], F.col("score"), "score_asof", split_rows
     )
     return known.filter("side = 1").select(
         "company", "id", "ts", F.coalesce("score_asof", F.lit(-1)).alias("score_asof"),

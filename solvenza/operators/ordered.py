@@ -1,17 +1,16 @@
 """Ordered per-key operators that never hold a frequent key in one task.
 
 A plain window over ``partitionBy(key)`` sends every row of a key to one task, so
-a key with a third of the rows decides the run time. The operators here cut a
-frequent key into time chunks: the window runs inside ``(key, chunk)``, one summary
-row per chunk is carried forward over the chunks of its key, and the carried state is
-joined back. Other keys stay whole, in a chunk that is NULL; they need no summary and
-cost what the plain window costs.
-
-``frequent`` names the keys to cut, see ``frequent_keys``; without it every key is
-cut, which spares counting rows that are expensive to make. The summaries of a key
-are bounded by its time span over the chunk width (25,920 ten-minute chunks in 180
-days), not by its number of rows. The state across chunks is exact: results equal
-those of the plain window. Every row needs a key and a time.
+a key with a third of the rows decides the run time. The operators here cut the rows of
+frequent keys into slices: a range partition over key and order, of about ``split_rows``
+rows each, however the rows lie in time. The window runs inside ``(key, slice)``, one
+summary row per slice is carried forward over the slices of its key, and the carried
+state is joined back. Results equal those of the plain window. Every row needs a key, and
+``order`` has no ties within it.
+
+Keys are counted first, which is one map-side combined job; a slice must be the same
+wherever it is read, so sliced rows are written to the shared folder. Where no key is
+frequent, nothing is cut, and the plan is that of the plain window.
 """
 
 from __future__ import annotations
@@ -20,38 +19,49 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-CHUNK_WIDTH = "10 minutes"
+from solvenza.session import shared_dir
+
 # Rows of one key that one task may hold.
 SPLIT_ROWS = 5_000_000
 
-# What a key's rows are cut by: whether at all, and into which chunk.
-_CUT, _CHUNK = "_cut", "_chunk"
+# The slice of a frequent key's row; NULL for the rows of other keys.
+_SLICE = "_slice"
 
 
 def frequent_keys(df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Keys with more than ``split_rows`` rows; at most one per ``split_rows`` rows."""
+    """Keys with more than ``split_rows`` rows, and how many; at most one key per
+    ``split_rows`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > split_rows).select(*keys)
-
-
-def in_chunks(
-    df: DataFrame, keys: Sequence[str], ts: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None
-) -> DataFrame:
-    timed = df.withColumn(_CHUNK, F.window(ts, width).getField("start"))
-    if frequent is None:
-        # Said here, the inner join in ``carry_over`` adds no filter to one of its
-        # sides, and both can read the same shuffle.
-        for column in (*keys, _CHUNK):
-            timed = timed.filter(F.col(column).isNotNull())
-        return timed.withColumn(_CUT, F.lit(True))
+    return counts.filter(F.col("n") > split_rows)
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """``df`` written in ranges of key and order, with the number of the range."""
+    ranges = [slices] if slices else []
+    placed = df.repartitionByRange(*ranges, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
+    spark = df.sparkSession
+    path = shared_dir(spark, "slices")
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def in_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], split_rows: int = SPLIT_ROWS
+) -> tuple[DataFrame, bool]:
+    """``df`` with the rows of frequent keys sliced, and whether there are any."""
+    frequent = frequent_keys(df, keys, split_rows)
+    rows = frequent.agg(F.sum("n")).first()[0]
+    if not rows:
+        return df.withColumn(_SLICE, F.lit(None).cast("int")), False
     # Small by construction: see ``frequent_keys``.
-    marked = F.broadcast(frequent.withColumn(_CUT, F.lit(True)))
-    chunk = F.when(F.col(_CUT), F.col(_CHUNK))
-    return timed.join(marked, list(keys), "left").withColumn(_CHUNK, chunk)
+    marked = df.join(F.broadcast(frequent.withColumnRenamed("n", "_many")), list(keys), "left")
+    cut = sliced(marked.filter("_many IS NOT NULL").drop("_many"), keys, order, -(-rows // max(1, split_rows)))
+    others = marked.filter("_many IS NULL").drop("_many").withColumn(_SLICE, F.lit(None).cast("int"))
+    return others.unionByName(cut), True
 
 
-def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, _CUT, _CHUNK).orderBy(*order)
+def slice_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, _SLICE).orderBy(*order)
 
 
 def up_to_here(window: WindowSpec) -> WindowSpec:
@@ -67,57 +77,53 @@ def carry_over(
     keys: Sequence[str],
     summary: Sequence[Column],
     carry: Callable[[DataFrame, WindowSpec], DataFrame],
-    frequent: DataFrame | None,
+    carried: dict[str, str],
+    cut: bool,
 ) -> DataFrame:
-    """Give every row what the earlier chunks of its key hand over, NULL if none do.
+    """Give every row what the earlier slices of its key hand over, NULL if none do.
 
-    ``summary`` aggregates one chunk; ``carry`` turns the summaries, given the
-    window over a key's chunks, into the columns to join back.
+    ``summary`` aggregates one slice; ``carry`` turns the summaries, given the window
+    over a key's slices, into the columns ``carried`` (name to type) to join back. There
+    is one summary per ``split_rows`` rows of a frequent key.
     """
-    # The filter passes the window and turns the marking join into an inner one, so
-    # only frequent keys are read for this.
-    summaries = local.filter(F.col(_CUT)).groupBy(*keys, _CUT, _CHUNK).agg(*summary)
-    carried = carry(summaries, Window.partitionBy(*keys).orderBy(_CHUNK))
-    how = "inner" if frequent is None else "left"
-    return local.join(carried, [*keys, _CUT, _CHUNK], how).drop(_CUT, _CHUNK)
+    if not cut:
+        return local.drop(_SLICE).withColumns({n: F.lit(None).cast(t) for n, t in carried.items()})
+    summaries = local.filter(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(*summary)
+    handed = carry(summaries, Window.partitionBy(*keys).orderBy(_SLICE))
+    return local.join(handed.select(*keys, _SLICE, *carried), [*keys, _SLICE], "left").drop(_SLICE)
 
 
 def latest_known(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    value: Column, into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, into: str,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Latest non-NULL ``value`` per key at or before each row."""
-    w = chunk_window(keys, order)
+    kind = df.select(value.alias("v")).schema[0].dataType.simpleString()
+    rows, cut = in_slices(df, keys, order, split_rows)
+    w = slice_window(keys, order)
     known = F.last(value, ignorenulls=True).over(up_to_here(w))
-    local = in_chunks(df, keys, ts, width, frequent).select(
-        "*", known.alias("_known"), F.lead(F.lit(1)).over(w).isNull().alias("_ends")
-    )
+    local = rows.select("*", known.alias("_known"), F.lead(F.lit(1)).over(w).isNull().alias("_ends"))
     joined = carry_over(
-        local, keys, [F.max(F.when(F.col("_ends"), F.col("_known"))).alias("_chunk_known")],
-        lambda s, over: s.select(
-            *keys, _CUT, _CHUNK,
-            F.last("_chunk_known", ignorenulls=True).over(before_here(over)).alias("_carried"),
+        local, keys, [F.max(F.when(F.col("_ends"), F.col("_known"))).alias("_slice_known")],
+        lambda s, over: s.withColumn(
+            "_carried", F.last("_slice_known", ignorenulls=True).over(before_here(over))
         ),
-        frequent,
+        {"_carried": kind}, cut,
     )
-    out = joined.withColumn(into, F.coalesce("_known", "_carried"))
-    return out.drop("_known", "_ends", "_carried")
+    return joined.withColumn(into, F.coalesce("_known", "_carried")).drop("_known", "_ends", "_carried")
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-    into: str, width: str = CHUNK_WIDTH, frequent: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str, slices: int | None = None
 ) -> DataFrame:
-    """1-based position per key, as BIGINT."""
-    w = chunk_window(keys, order)
-    local = in_chunks(df, keys, ts, width, frequent)
-    local = local.withColumn("_n", F.row_number().over(w).cast("long"))
-    joined = carry_over(
-        local, keys, [F.max("_n").alias("_chunk_n")],
-        lambda s, over: s.select(
-            *keys, _CUT, _CHUNK, F.sum("_chunk_n").over(before_here(over)).alias("_carried")
-        ),
-        frequent,
-    )
-    place = F.col("_n") + F.coalesce("_carried", F.lit(0))
-    return joined.withColumn(into, place).drop("_n", "_carried")
+    """1-based position per key, as BIGINT.
+
+    For few keys with many rows: all rows are sliced, without counting the keys before.
+    """
+    rows = sliced(df, keys, order, slices)
+    counts = rows.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = F.sum("_rows").over(before_here(Window.partitionBy(*keys).orderBy(_SLICE)))
+    ahead = counts.select(*keys, _SLICE, F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    local = rows.withColumn("_n", F.row_number().over(slice_window(keys, order)))
+    placed = local.join(ahead, [*keys, _SLICE])
+    return placed.withColumn(into, F.col("_ahead") + F.col("_n")).drop("_n", "_ahead", _SLICE)

@@ -23,12 +23,12 @@ def series(spark):
     return spark.createDataFrame(rows, GRADE_OBSERVATIONS)
 
 
-CUTS = pytest.mark.parametrize("width,split_rows", [("3 minutes", 0), ("1 hour", 0), ("3 minutes", 200), ("1 hour", 10**6)])
+CUTS = pytest.mark.parametrize("split_rows", [1, 7, 200, 10**6])
 
 
 @CUTS
-def test_direction_and_last_change(series, width, split_rows):
-    rows = grades.with_changes(series, width, split_rows).orderBy("id").collect()
+def test_direction_and_last_change(series, split_rows):
+    rows = grades.with_changes(series, split_rows).orderBy("id").collect()
     assert [(r.id, r.direction, r.last_change, r.prev_score) for r in rows] == [
         (1, "유지", "", None), (2, "하향", "AA → A", 2), (4, "유지", "AA → A", 5), (5, "상향", "A → AAA", 5),
     ]
@@ -92,9 +92,9 @@ def brute_changes(rows):
 
 
 @CUTS
-def test_changes_equal_brute_force(spark, width, split_rows):
+def test_changes_equal_brute_force(spark, split_rows):
     rows, df = random_observations(spark)
-    changes = grades.with_changes(df, width, split_rows)
+    changes = grades.with_changes(df, split_rows)
     got = {r.id: (r.direction, r.last_change) for r in changes.collect()}
     assert got == brute_changes(rows)
 
@@ -122,7 +122,7 @@ def test_moved_weeks_equal_weeks_with_a_change(spark):
 
 
 @CUTS
-def test_grade_asof(spark, width, split_rows):
+def test_grade_asof(spark, split_rows):
     rows, df = random_observations(spark, 600, 5)
     points = grades.credit_buckets(df)
     probes = spark.createDataFrame(
@@ -133,7 +133,7 @@ def test_grade_asof(spark, width, split_rows):
     series = {}
     for p in points.collect():
         series.setdefault(p.company, []).append((p.bucket_start, p.label))
-    got = {r.id: r.grade_asof for r in grades.grade_asof(probes, points, width, split_rows).collect()}
+    got = {r.id: r.grade_asof for r in grades.grade_asof(probes, points, split_rows).collect()}
     expected = {}
     for r in probes.collect():
         before = [p for p in series.get(r.company, []) if p[0] <= r.ts]
@@ -142,14 +142,14 @@ def test_grade_asof(spark, width, split_rows):
 
 
 @CUTS
-def test_following_in_stretches_equals_following_at_once(spark, width, split_rows):
+def test_following_in_stretches_equals_following_at_once(spark, split_rows):
     rows, df = random_observations(spark, 900, 21)
     cut = F.lit(DAY + dt.timedelta(days=2)).cast("timestamp_ntz")
-    first = grades.follow(df.filter(F.col("ts") < cut), width, split_rows)
+    first = grades.follow(df.filter(F.col("ts") < cut), split_rows)
     state = first.groupBy("company").agg(F.max_by(F.struct("score", "change"), F.struct("ts", "id")).alias("s"))
     kept = state.select("company", "s.score", "s.change").unionByName(
         spark.createDataFrame([(777, 3, None)], "company BIGINT, score INT, change INT")
     )
-    second = grades.follow(df.filter(F.col("ts") >= cut), width, split_rows, kept)
+    second = grades.follow(df.filter(F.col("ts") >= cut), split_rows, kept)
     got = grades.described(first.unionByName(second)).collect()
     assert {r.id: (r.direction, r.last_change) for r in got} == brute_changes(rows)
