@@ -18,12 +18,21 @@ from solvenza.session import shared_dir
 # What separates words: space and the five control characters from tab on.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-# Rows that a task hands back at a time.
+# Bytes that a task gets at a time, and rows that it hands back.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROWS_OUT = 4096
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once per application, as ``--py-files`` does."""
+    """Give the package to the executors, once per application, as ``--py-files`` does.
+
+    Also bounds the batches that Python gets by bytes: texts differ in length by orders
+    of magnitude, and a batch is held several times while it is read. A bound that is
+    set lower already stays.
+    """
+    if int(spark.conf.get(_BATCH_BYTES, "0").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_solvenza_shipped", False):
         return

@@ -17,7 +17,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -79,10 +79,7 @@ class Bpe:
         self.ids = [vocabulary[names[i]] for i in range(len(self.parts))]
         self.packed = [struct.pack("<I", i) for i in self.ids]
         self.sizes = [len(names[i]) for i in range(len(self.parts))]
-        self.automaton = ahocorasick.Automaton()
-        for name, i in age.items():
-            self.automaton.add_word(name, (i, len(name)))
-        self.automaton.make_automaton()
+        self._age = age
         self.texts = {vocabulary[names[i]]: names[i].encode("latin-1") for i in range(len(self.parts))}
         special = loaded.get("added_tokens") or []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in special):
@@ -98,6 +95,14 @@ class Bpe:
         self.piece_cache: dict[str, bytes] = {}
         self.word_cache: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for name, i in self._age.items():
+            made.add_word(name, (i, len(name)))
+        made.make_automaton()
+        return made
+
     def border_holds(self, left: int, right: int) -> bool:
         """Whether no merge ever crosses the border between two neighbouring tokens.
 
