@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     of magnitude, and a batch is held several times while it is read. A bound that is
     set lower already stays.
     """
-    if int(spark.conf.get(_BATCH_BYTES, "0").rstrip("b")) > BATCH_BYTES:
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_solvenza_shipped", False):
