@@ -13,7 +13,6 @@ from solvenza.llm.common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -31,28 +30,15 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def all_oracles() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 @query
 def op1_warc(spark, root):
     return warc.round_trip(read_table(spark, root, "pages")).drop("target_uri")
 
 
-_ORACLES["op1_warc"] = """
-SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
-       sha1(coalesce(html, '')) AS payload_digest,
-       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
-FROM (SELECT *, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000
-                THEN nullif(max(page_id) OVER (PARTITION BY html), page_id) END AS refers_to
-      FROM pages)
-"""
-
-
 @query
 def op2_quality(spark, root):
-    return quality.judged(read_table(spark, root, "documents"))
+    judged = quality.judged(read_table(spark, root, "documents"))
+    return judged.drop("chars_distance", "words_distance")
 
 
 @query
