@@ -293,14 +293,16 @@ def repeated_windows(
     windows that occur anywhere else, and that occur earlier by doc_id, key and start."""
     every = written(all_stretches(docs, length), "suffix-stretches")
     twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    shared = written(every.join(twice, "anchor", "left_semi"), "suffix-shared")
+    # Both sides of the joins by anchor are written tables, so that the stretches of a
+    # passage in very many texts are split.
+    shared = written(every.join(written(twice, "suffix-twice"), "anchor", "left_semi"), "suffix-shared")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
     distinct = shared.groupBy("anchor", "content", "windows").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first")
     )
     distinct = written(distinct, "suffix-distinct")
     several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    wanted = distinct.join(several, "anchor", "left_semi").select(
+    wanted = distinct.join(written(several, "suffix-several"), "anchor", "left_semi").select(
         F.col("first.key").alias("_key"), "anchor", "content", "first.start", "windows"
     )
     wanted = wanted.groupBy("_key").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("w"))
