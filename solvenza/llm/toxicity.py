@@ -5,6 +5,10 @@ of its words)``, a document the noisy-or of its sentences: it is toxic unless ev
 sentence is clean. The likelihood of the document labels under that rule trains the
 sentence model, which then tells which sentences offend.
 
+Length is no evidence. In a score only sentences with a word that speaks for toxicity
+count, and what sentences of clean labelled texts give on average is taken off for each
+sentence. A score is never below that of the worst sentence.
+
 The model is fitted on the driver from a bounded sample of labelled rows: at most
 ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` of text, the first by a hash of doc_id. All
 documents are scored, whole, in tasks that share nothing but the model.
@@ -32,6 +36,7 @@ LEAST_Z = 2.5               # standard errors between its rates in toxic and oth
 MOST_WORDS = 4096
 STEPS, RATE, SPARSITY = 300, 0.1, 2e-4
 THRESHOLD = 0.5
+LEAST = 1e-9                # score of a text without evidence
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -41,24 +46,31 @@ _WORD = re.compile(r"\w+")
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    background: float = 0.0     # evidence of a sentence of a clean text, on average
 
-    def sentences(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """A text's probability, and (start, end, probability) of the sentences that
-        have a word of the model. Texts without a sentence count as one empty one."""
-        marked, plain, clean = [], 0, 0.0   # clean: log probability that no sentence is toxic
+    def _evidence(self, text: str | None) -> tuple[int, float, list[tuple[int, int, float]]]:
+        """How many sentences a text has, their evidence (the negative log probability
+        that those with evidence are clean), and (start, end, probability) of the
+        sentences that have a word of the model."""
+        marked, n, evidence = [], 0, 0.0
         weights, known = self.weights, self.weights.keys()
         for found in _SENTENCE.finditer(text or ""):
+            n += 1
             words = _WORD.findall(found[0].lower())
             if known.isdisjoint(words):
-                plain += 1
                 continue
             z = self.bias + sum(map(weights.__getitem__, known & words))
-            clean -= np.logaddexp(0.0, z)
+            if z > self.bias:
+                evidence += np.logaddexp(0.0, z)
             marked.append((found.start(), found.end(), float(1 / (1 + np.exp(-z)))))
-        if not marked:
-            plain = max(plain, 1)
-        clean -= plain * np.logaddexp(0.0, self.bias)
-        return float(-np.expm1(clean)), marked
+        return n, evidence, marked
+
+    def sentences(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """A text's probability, and (start, end, probability) of the sentences that
+        have a word of the model. A text without evidence has the probability ``LEAST``."""
+        n, evidence, marked = self._evidence(text)
+        worst = max((p for *_, p in marked), default=0.0) if evidence else 0.0
+        return max(LEAST, worst, float(-np.expm1(n * self.background - evidence))), marked
 
 
 def _sentences(text: str | None) -> list[set[str]]:
@@ -90,7 +102,8 @@ def _vocabulary(texts: list[str | None], toxic: np.ndarray) -> list[str]:
 def train(texts: list[str | None], labels: list[int]) -> Model:
     """Maximum likelihood of the document labels under noisy-or, with sparse weights.
 
-    Without rows of both classes the model has the smoothed rate of label 1 and no words.
+    Without rows of both classes the model has the smoothed rate of label 1 and no words,
+    so that it finds no evidence in any text.
     """
     toxic = np.array(labels, float)
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
@@ -132,7 +145,10 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         theta = theta - rate * mean / (1 - 0.9 ** step) / scale
         shrink = rate * SPARSITY / scale[1:]
         theta[1:] = np.sign(theta[1:]) * np.maximum(np.abs(theta[1:]) - shrink, 0)
-    return Model(float(theta[0]), {w: float(v) for w, v in zip(words, theta[1:]) if v})
+    model = Model(float(theta[0]), {w: float(v) for w, v in zip(words, theta[1:]) if v})
+    clean = [model._evidence(text)[:2] for text, label in zip(texts, labels) if not label]
+    model.background = float(sum(e for _, e in clean) / max(1, sum(n for n, _ in clean)))
+    return model
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

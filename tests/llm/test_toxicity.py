@@ -77,3 +77,20 @@ def test_held_out_rows_are_never_learned_from(spark, fitted):
     rows, docs, model = fitted
     flipped = [(i, (1 - y) if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, _, y in rows]
     assert toxicity.fit(docs, spark.createDataFrame(flipped, "doc_id long, toxic int")) == model
+
+
+def test_length_is_no_evidence(spark, documents, fitted):
+    rows, _, model = fitted
+    clean = [s for _, text, y in rows if not y for s in text.split(".") if s]
+    long = ". ".join((clean * 10)[:10_000])
+    assert long.count(".") == 9_999
+    assert model.sentences(long)[0] < 0.5 and model.sentences("plain words. " * 10_000)[0] < 0.5
+    # One toxic sentence shows at any length.
+    docs = documents([(1, long), (2, long + ". vile scum.")])
+    assert [r.doc_id for r in toxicity.without_toxic(docs, model).collect()] == [1]
+
+
+def test_background_is_taken_off_by_sentence():
+    model = toxicity.Model(-3.0, {"rude": 1.0}, background=0.127)
+    assert model.sentences("rude. " * 10_000)[0] < 0.5
+    assert model.sentences("so rude. " * 6)[0] < toxicity.Model(-3.0, {"rude": 1.0}).sentences("so rude. " * 6)[0]
