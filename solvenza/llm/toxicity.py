@@ -30,6 +30,7 @@ from solvenza.llm.common import map_rows
 
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 20 << 20
+SHARE = 100
 FOLDS, HELD_OUT = 5, 0      # crc32 of doc_id modulo FOLDS; the fold HELD_OUT is never learned from
 LEAST_ROWS = 5              # sampled documents that hold a word of the model
 LEAST_Z = 2.5               # standard errors between its rates in toxic and other documents
@@ -161,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     """Learns from labelled documents outside the held-out fold.
 
     Rows without a label, text or id teach nothing. Repeated rows count as often as they
-    occur, within the bound. Only doc_id and toxic of the labels, doc_id and text of the
+    occur. An id that does not fit the bound any more is left out, not those after it; ids
+    with more than a ``SHARE``-th of the bytes come last, so that none displaces many. Only doc_id and toxic of the labels, doc_id and text of the
     documents are read.
     """
     usable = labels.select("doc_id", "toxic").dropna().filter(~held_out())
@@ -169,13 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     first = usable.orderBy(order, "doc_id", "toxic").limit(rows)
     # At most ``rows`` ids, so they can go to every task.
     chosen = docs.select("doc_id", "text").dropna().join(F.broadcast(first), "doc_id")
-    sized = chosen.select("doc_id", "toxic", order.alias("o"), F.octet_length("text").alias("n"))
-    taken, total = set(), 0
-    for r in sized.orderBy("o", "doc_id").limit(rows).collect():
-        total += r.n
-        if total > size:
-            break
-        taken.add(r.doc_id)
+    sized = chosen.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("n")
+    )
+    sized = sized.withColumn("large", F.col("n") * SHARE > size)
+    taken, left, room = set(), rows, size
+    for r in sized.orderBy("large", order, "doc_id").collect():
+        if r.rows <= left and r.n <= room:
+            taken.add(r.doc_id)
+            left, room = left - r.rows, room - r.n
     if not taken:
         return train([], [])
     ids = docs.sparkSession.createDataFrame([(i,) for i in taken], docs.select("doc_id").schema)

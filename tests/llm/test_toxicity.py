@@ -94,3 +94,23 @@ def test_background_is_taken_off_by_sentence():
     model = toxicity.Model(-3.0, {"rude": 1.0}, background=0.127)
     assert model.sentences("rude. " * 10_000)[0] < 0.5
     assert model.sentences("so rude. " * 6)[0] < toxicity.Model(-3.0, {"rude": 1.0}).sentences("so rude. " * 6)[0]
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1), (4, 1)]])
+def test_where_nothing_is_learned_nothing_goes(spark, documents, labels):
+    docs = documents([*EDGES, (50, "plain. words. " * 500)])
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.without_toxic(docs, model).count() == docs.count()
+
+
+def test_texts_that_do_not_fit_the_sample_are_skipped(spark):
+    rows = corpus(600, 5)
+    size = sum(len(text) for _, text, _ in rows)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    order = labels.filter(~toxicity.held_out()).selectExpr("doc_id", "xxhash64(cast(doc_id as string)) AS o")
+    first, second = [r.doc_id for r in order.orderBy("o").limit(2).collect()]
+    texts = {i: text for i, text, _ in rows} | {first: "long " * size, second: "x" * (size // 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, labels, size=size)
+    assert {"scum", "vile"} <= model.weights.keys()
+    assert model.sentences("vile scum")[0] > 0.5 > model.sentences("word1 word2")[0]
