@@ -7,19 +7,24 @@ information e itself carries,
 
     PMI(e; t) / IC(e),   PMI = log(N n_et / (n_e n_t)),   IC = log(N / n_e),
 
-which is 1 when t occurs with e only. A term near a mention of e, seen with it in at
-least ``SUPPORT`` different surroundings (copies of one text count once), is generalised
-to its kind from ``GENERALISE`` on and removed from ``REMOVE`` on. n_t counts all
-documents.
+which is 1 when t occurs with e only. All terms of a document that mentions e are
+looked at, and all counts are of documents. Few documents say little: in place of
+n_et / n_t stands the lower bound of its Wilson interval, at ``DEVIATIONS`` standard
+deviations, where documents with e in the same surroundings, as copies have, count once.
+A term is generalised to its kind from ``GENERALISE`` on and removed from ``REMOVE`` on,
+wherever it stands.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from solvenza.llm.common import map_rows, text_key, unused, written
@@ -35,9 +40,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NO_DIGITS = re.compile("[^0-9]+")
 
-NEAR = 8                # words on either side of a mention, on its line
+NEAR = 8                # words on either side of a mention, on its line, tell surroundings apart
 LEAST_CHARS = 3         # of a term
-SUPPORT = 3
+DEVIATIONS = 1.0
 GENERALISE, REMOVE = 0.9, 0.99
 COUNTED_AT_ONCE = 200_000   # terms that all tasks hold; more are counted by a join
 
@@ -98,51 +103,68 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int, bool]]:
-    """(entity, term, start, end, surroundings, first) of the words near each mention.
-
-    ``surroundings`` is a hash of the near words, ``first`` marks the first row of an
-    entity and term in the document. Words that touch any match are no terms.
-    """
-    rows, seen, stretch = [], set(), 32 * NEAR
-    taken = [(a, b) for a, _, b in spans]
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """Each entity of the text once, with a hash of the words near its first mention."""
+    found, stretch = {}, 32 * NEAR
+    taken = _reach(spans)
     for a, k, b in spans:
         entity = f"{KINDS[k]}:{text[a:b].lower()}"
+        if entity in found:
+            continue
         left = max(text.rfind("\n", 0, a) + 1, a - stretch)
         right = text.find("\n", b)
         right = min(len(text) if right < 0 else right, b + stretch)
         # A word that the stretch cuts is no word of the text.
         before = [m for m in _TERM.finditer(text, left, a) if m.start() > left or left == 0 or text[left - 1] == "\n"]
         after = [m for m in _TERM.finditer(text, b, right) if m.end() < right or right == len(text) or text[right] == "\n"]
-        near = [
-            m for m in (*before[-NEAR:], *after[:NEAR])
-            if m.end() - m.start() >= LEAST_CHARS and not any(m.start() < y and x < m.end() for x, y in taken)
-        ]
-        around = xxh64_intdigest(" ".join(m[0].lower() for m in near).encode()) >> 1
-        for m in near:
+        near = [m for m in (*before[-NEAR:], *after[:NEAR]) if not _touches(m, taken)]
+        found[entity] = xxh64_intdigest(" ".join(m[0].lower() for m in near).encode()) >> 1
+    return list(found.items())
+
+
+def _reach(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of the spans, and how far those up to each one reach."""
+    return [a for a, _, _ in spans], list(accumulate((b for *_, b in spans), max))
+
+
+def _touches(m: re.Match, reach: tuple[list[int], list[int]]) -> bool:
+    i = bisect_left(reach[0], m.end())
+    return i > 0 and reach[1][i - 1] > m.start()
+
+
+def places(text: str, spans: list[tuple[int, int, int]], wanted: Collection[str] | None = None) -> list[tuple]:
+    """(term, starts, ends) of the words of the text, or the wanted ones. Words that
+    touch any match are no terms."""
+    found: dict[str, tuple[list[int], list[int]]] = {}
+    taken = _reach(spans)
+    for m in _TERM.finditer(text):
+        if m.end() - m.start() >= LEAST_CHARS:
             term = m[0].lower()
-            rows.append((entity, term, m.start(), m.end(), around, (entity, term) not in seen))
-            seen.add((entity, term))
-    return rows
+            if (wanted is None or term in wanted) and not _touches(m, taken):
+                starts, ends = found.setdefault(term, ([], []))
+                starts.append(m.start())
+                ends.append(m.end())
+    return [(term, *at) for term, at in found.items()]
 
 
 FOUND = (
-    "key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
-    "spans array<struct<start: int, kind: int, `end`: int>>, entities array<string>, "
-    "contexts array<struct<entity: string, term: string, start: int, `end`: int, around: bigint, first: boolean>>"
+    "row bigint, key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
+    "spans array<struct<start: int, kind: int, `end`: int>>, "
+    "entities array<struct<entity: string, around: bigint>>, "
+    "terms array<struct<term: string, starts: array<int>, ends: array<int>>>"
 )
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Pattern matches of every document and the words near them."""
+    """Pattern matches of every document, and all terms of those that have any. ``row``
+    tells equal rows apart; it is random, so the table has to be written before use."""
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for keys, doc_ids, texts in batches:
             for key, doc_id, text in zip(keys, doc_ids, texts):
                 spans = base_spans(text)
                 counts = [sum(k == n for _, k, _ in spans) for n in range(len(KINDS))]
-                entities = list(dict.fromkeys(f"{KINDS[k]}:{text[a:b].lower()}" for a, k, b in spans))
-                near = contexts(text, spans) if spans else []
-                yield doc_id, key, *counts, spelled(spans), spans, entities, near
+                named, terms = (entities(text, spans), places(text, spans)) if spans else ([], [])
+                yield doc_id, uuid.uuid4().int >> 65, key, *counts, spelled(spans), spans, named, terms
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(docs.select(text_key().alias("key"), "doc_id", "text"), f"doc_id {kind}, {FOUND}", rows)
@@ -159,7 +181,7 @@ def _documents_with(docs: DataFrame, terms: DataFrame, at_once: int) -> DataFram
         for (texts,) in batches:
             for text in texts:
                 if text:
-                    words = set(_TERM.findall(text.lower()))
+                    words = {w.lower() for w in set(_TERM.findall(text))}
                     counts.update(words & wanted.value if wanted else words)
                 if len(counts) > at_once:
                     yield from counts.items()
@@ -171,34 +193,85 @@ def _documents_with(docs: DataFrame, terms: DataFrame, at_once: int) -> DataFram
     return counted if wanted else counted.join(terms, "term", "left_semi")
 
 
+def _log_lower(n_et: Column, n_t: Column, texts: Column) -> Column:
+    """Logarithm of the lower bound of n_et / n_t when ``texts`` of the n_et are independent."""
+    p, z2 = n_et / n_t, DEVIATIONS ** 2
+    n = texts / p
+    spread = F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))
+    return F.log((p + z2 / (2 * n) - spread) / (1 + z2 / n))
+
+
 def revealing(docs: DataFrame, seen: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
-    """(entity, term, share, action) of the terms that reveal an entity near them."""
-    near = seen.select(F.explode("contexts").alias("c")).select("c.*")
-    pairs = near.groupBy("entity", "term", "around").agg(F.count_if("first").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("support"))
-    pairs = written(pairs.filter(F.col("support") >= SUPPORT), "pii-pairs")
-    terms = written(pairs.select("term").distinct(), "pii-terms")
+    """(term, action, wider) of the terms that reveal an entity; ``wider`` tells those
+    that may also stand in documents without any entity."""
+    total = seen.count()
+    texts = seen.filter(F.size("entities") > 0).select(
+        F.col("row").alias("text"), "entities", F.transform("terms", lambda t: t["term"]).alias("terms")
+    )
+    mentions = written(texts.select("text", F.explode("entities").alias("e")).select("text", "e.*"), "pii-mentions")
+    counted = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.min("text").alias("only"))
+    # What the entities of one document alone reveal is the same for all: one stands for them.
+    lone = counted.filter("n_e = 1").groupBy("only").agg(F.min("entity").alias("entity"))
+    kept = counted.filter("n_e > 1").select("entity", "n_e").unionByName(
+        lone.select("entity", F.lit(1).cast("long").alias("n_e"))
+    ).filter(F.col("n_e") < total)
+    # The share cannot reach its limit where n_t exceeds n_e (N / n_e) ** (1 - limit).
+    most = F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    kept = written(kept.withColumn("most", most), "pii-entities")
+    mentions = written(mentions.join(kept, "entity"), "pii-kept")
+    bound = mentions.groupBy("text").agg(F.max("most").alias("most"))
+    held = written(texts.select("text", "terms").join(bound, "text"), "pii-terms-held")
+    held = held.select("text", F.explode("terms").alias("term"), "most")
+    inside = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_in"), F.max("most").alias("most"))
+    terms = written(inside.filter("n_in <= most"), "pii-terms")
     if terms.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"), F.lit("").alias("action"))
-    with_term = _documents_with(docs, terms, at_once)
-    with_entity = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_e")
+        return terms.select("term", F.lit("").alias("action"), F.lit(False).alias("wider"))
+    with_term = _documents_with(docs, terms.select("term"), at_once).join(terms, "term")
+    with_term = written(with_term.filter("n_t <= most").select("term", "n_t", "n_in"), "pii-counts")
+    rare = written(held.join(with_term, "term").filter("n_t <= most").select("text", "term", "n_t", "n_in"), "pii-rare")
+    pairs = rare.join(mentions.select("text", "entity", "around", "n_e"), "text")
+    around = pairs.groupBy("entity", "term", "n_e", "n_t", "n_in", "around").agg(F.count(F.lit(1)).alias("n"))
+    judged = around.groupBy("entity", "term", "n_e", "n_t", "n_in").agg(
+        F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")
     )
-    total = seen.count()
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
-    judged = pairs.join(with_entity, "entity").join(with_term, "term").filter(F.col("n_e") < total)
-    judged = judged.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
-    return judged.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise"))
+    information = F.log(total / F.col("n_e"))
+    share = 1 + _log_lower(F.col("n_et"), F.col("n_t"), F.col("texts")) / information
+    judged = judged.withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    best = judged.groupBy("term").agg(F.max("share").alias("share"), F.max(F.col("n_t") > F.col("n_in")).alias("wider"))
+    action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
+    return best.select("term", action.alias("action"), "wider")
+
+
+def _elsewhere(docs: DataFrame, flagged: DataFrame, at_once: int) -> DataFrame:
+    """(key, term, starts, ends) of the flagged terms in documents without any entity."""
+    few = flagged.count() <= at_once
+    wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in flagged.collect()}) if few else None
+
+    def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
+        for keys, texts in batches:
+            for key, text in zip(keys, texts):
+                if text and not base_spans(text):
+                    for found in places(text, [], wanted.value if wanted else None):
+                        yield key, *found
+
+    schema = "key bigint, term string, starts array<int>, ends array<int>"
+    found = map_rows(docs.select(text_key().alias("key"), "text"), schema, rows)
+    return found if few else found.join(flagged, "term", "left_semi")
 
 
 def added_spans(docs: DataFrame, seen: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
     """(key, added): the spans of revealing terms by document, start, end and action."""
     flagged = written(revealing(docs, seen, at_once), "pii-revealing")
-    near = seen.select("key", F.explode("contexts").alias("c")).select("key", "c.*")
-    hits = near.join(flagged, ["entity", "term"])
-    # One action a span: "remove" is the larger word.
-    spans = hits.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
-    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
+    places = seen.select("key", F.explode("terms").alias("t")).select("key", "t.*")
+    wider = flagged.filter("wider").select("term")
+    if not wider.isEmpty():
+        places = places.unionByName(_elsewhere(docs, wider, at_once))
+    hits = places.join(flagged.select("term", "action"), "term")
+    # Rows equal in id and text have one key.
+    hits = hits.dropDuplicates(["key", "term"])
+    spans = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.col("action")))
+    listed = hits.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("added"))
+    return listed.select("key", F.sort_array("added").alias("added"))
 
 
 def detected(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
@@ -211,7 +284,7 @@ def detected(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
     table gives an empty result.
     """
     seen = written(found(docs), "pii-found")
-    out = seen.drop("contexts", "entities").join(added_spans(docs, seen, at_once), "key", "left")
+    out = seen.drop("row", "terms", "entities").join(added_spans(docs, seen, at_once), "key", "left")
     struct = "array<struct<start: int, kind: int, `end`: int>>"
     terms = F.transform(F.coalesce("added", F.array().cast("array<struct<start:int,`end`:int,action:string>>")),
                         lambda s: F.struct(s["start"], F.lit(len(KINDS)).alias("kind"), s["end"]))

@@ -70,6 +70,28 @@ def test_copies_of_one_text_reveal_nothing(documents):
     assert not any("term" in r.spans for r in found)
 
 
+@pytest.mark.parametrize("at_once", [pii.COUNTED_AT_ONCE, 1])
+def test_a_revealing_term_is_masked_wherever_it_stands(documents, at_once):
+    far = "plain words in week\n" * 30
+    rows = [(i, f"{w} letter. Write to ann@mail.example about {w}\n{far}Quorvex agreed, quorvex said")
+            for i, w in enumerate(["red", "green", "blue", "white", "black", "brown"])]
+    rows += [(50, "plain words but Quorvex"), (51, None), *((100 + i, f"plain words in week {i}") for i in range(400))]
+    texts = {r.doc_id: r.text for r in pii.sanitised(documents(rows + rows[:1]), at_once).collect()}
+    assert all("uorvex" not in (texts[i] or "") for i in (*range(6), 50))
+    assert texts[50] == "plain words but [NAME]" and far in texts[0]
+    assert all(texts[i] == t for i, t in rows if i > 50)
+
+
+def test_an_entity_with_two_mentions_is_judged(documents):
+    rows = [(1, "Ask Brimvoll soon: 10.20.30.40 is up"), (2, "On 10.20.30.40 runs what Brimvoll made, they say")]
+    rows += [(100 + i, f"ask them soon on what they say is up number {i}") for i in range(400)]
+    found = {r.doc_id: r for r in pii.detected(documents(rows)).collect()}
+    named = {i: {t[a.start:a.end] for a in found[i].added} for i, t in rows[:2]}
+    assert all("Brimvoll" in n for n in named.values())
+    assert not any(n & {"Ask", "ask", "soon", "what", "they", "say"} for n in named.values())
+    assert all(found[i].spans == "" for i, _ in rows[2:])
+
+
 def test_sanitised(documents):
     docs = documents(SECRET + OTHER + [(900, None), (901, "")])
     out = pii.sanitised(docs)
