@@ -9,7 +9,8 @@ what must be known of earlier rows is read from there.
 * ``Follow`` continues an ordered comparison. A company's new rows are normally newer
   than all before, and go through the batch operator with the state of its last row.
   Where some are not, the rows from the earliest on are done again, with the state of
-  the last row before them; the newer version of a row stands.
+  the last row before them; the newer version of a row stands. Two rows of a company
+  from before the retention stay for that.
 
 A company with a third of a micro-batch's rows is split as in the batch operator, and
 no Python runs per row.
@@ -110,12 +111,41 @@ class Follow:
         columns = F.struct(*self.order, *self.carried)
         return rows.groupBy("company").agg(F.max_by(columns, newest).alias("s")).select("company", "s.*")
 
-    def served(self, rows: DataFrame) -> DataFrame:
-        """The newest version of every row, inside the retention."""
+    def versions(self, rows: DataFrame) -> DataFrame:
+        """The newest version of every row."""
         keys = ("company", *self.order)
         values = [c for c in rows.columns if c not in (*keys, "batch_id")]
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s"))
-        return _kept_days(newest.select(*keys, "s.*"), self.order[0], self.days)
+        return newest.select(*keys, "s.*")
+
+    def served(self, rows: DataFrame) -> DataFrame:
+        """The newest version of every row, inside the retention."""
+        return _kept_days(self.versions(rows), self.order[0], self.days)
+
+    def folded(self, rows: DataFrame) -> DataFrame:
+        """What is served, and what the comparison of late rows needs from before it.
+
+        That is each company's last row before the retention and the last one there that
+        differs from it: a row that comes late among those left out changes nothing after
+        these two but what it changes through them.
+        """
+        newest = self.versions(rows)
+        if self.days is None:
+            return newest
+        kept = _kept_days(newest, self.order[0], self.days)
+        asof = newest.agg(F.max(self.order[0]).alias("_newest")).scalar()
+        old = newest.filter(F.col(self.order[0]) < asof - F.make_dt_interval(F.lit(self.days)))
+
+        def last(of: DataFrame) -> DataFrame:
+            columns = F.struct(*[c for c in newest.columns if c != "company"])
+            found = of.groupBy("company").agg(F.max_by(columns, self.place()).alias("s"))
+            return found.select("company", "s.*").select(*newest.columns)
+
+        closing = last(old)
+        value = self.carried[0]
+        differing = old.join(closing.select("company", F.col(value).alias("_closing")), "company")
+        differing = differing.filter(~F.col(value).eqNullSafe(F.col("_closing")))
+        return kept.unionByName(closing).unionByName(last(differing))
 
     def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -142,14 +172,15 @@ class Follow:
         if late.isEmpty():
             return fresh, carried
         written = read_all(spark, _rows(path), batch_id)
-        history = self.served(written).join(late, "company")
+        # The row before may be older than the retention.
+        history = self.versions(written).join(late, "company")
         before = self._last(history.filter(self.place() < F.col("_first"))).select("company", *self.carried)
         after = self.again(history.filter(self.place() >= F.col("_first")).drop("_first"))
         todo = fresh.unionByName(after.select(*fresh.columns)).dropDuplicates(["company", *self.order])
         return todo, carried.join(late, "company", "left_anti").unionByName(before)
 
     def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
-        fold(spark, _rows(path), batch_id, self.served)
+        fold(spark, _rows(path), batch_id, self.folded)
         fold(spark, _state(path), batch_id, lambda rows: self.state(spark, path))
 
 

@@ -1,5 +1,6 @@
 """Streams over several files and restarts against the batch operators."""
 
+import datetime
 import os
 
 import pytest
@@ -157,6 +158,27 @@ def test_old_points_go(spark, tmp_path):
     assert {r.id for r in flows.served(spark, path + "/c", flows.CHANGES).collect()} == {2, 3}
 
 
+@pytest.mark.parametrize("order,fold_every", [("reverse", 100), ("mixed", 2)])
+def test_late_rows_over_more_than_the_retention(spark, tmp_path, order, fold_every):
+    """Every row served is as the batch operator has it over all 400 days."""
+    start = datetime.datetime(2023, 1, 1)
+    grade = ["A", "A", "AA", "B", "B", "AA", "AA", "AA", "A", "A", "BBB", "BBB", "A", "A"]
+    rows = [(c, 100 * c + i, str(start + datetime.timedelta(days=30 * i + c)), g)
+            for c in (1, 2) for i, g in enumerate(grade[c:] + grade[:c])]
+    files = [[r for r in rows if r[1] % 100 // 2 == n] for n in range(7)]
+    sequence = range(6, -1, -1) if order == "reverse" else (3, 6, 1, 0, 5, 2, 4)
+    for batch_id, n in enumerate(sequence):
+        flows.CHANGES.write(observed(spark, *files[n]), str(tmp_path), batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            flows.CHANGES.fold(spark, str(tmp_path), batch_id)
+    got = grades.described(flows.served(spark, str(tmp_path), flows.CHANGES)).select(CHANGE_COLUMNS)
+    every = grades.with_changes(observed(spark, *rows))
+    newest = every.agg(F.max("ts").alias("m")).scalar()
+    expected = grades.retained(every, "ts", newest).select(CHANGE_COLUMNS)
+    assert 0 < expected.count() < len(rows)
+    assert sorted(got.collect()) == sorted(expected.collect())
+
+
 def test_an_empty_source_serves_nothing(spark, tmp_path):
     T.table(spark, FOLDER, "events").limit(0).write.parquet(str(tmp_path / "events.parquet"))
     stream = inputs.observation_stream(spark, str(tmp_path))
