@@ -111,5 +111,71 @@ HAVING count(*) / any_value(n) >= {licenses.CONTAINED}
 """
 
 
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+langs AS (
+  SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS n
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + l.v) AS HUGEINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS HUGEINT) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM rows
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+REPEATED_WORDS = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS s FROM w),
+windows AS (
+  SELECT doc_id, s, words[s] AS word,
+         CASE WHEN s + 19 <= len(words) THEN array_to_string(words[s:s + 19], ' ') END AS content
+  FROM p),
+judged AS (
+  SELECT doc_id, s, word,
+         content IS NOT NULL AND row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1 AS again
+  FROM windows),
+marked AS (
+  SELECT doc_id, s, word,
+         bool_or(again) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged)
+SELECT w.doc_id, CAST(len(any_value(w.words)) AS BIGINT) AS n_words,
+       CAST(coalesce(count(*) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN marked m ON m.doc_id = w.doc_id
+GROUP BY w.doc_id
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_warc": WARC, "op2_quality": _quality(), "op9_licenses": _licenses()}
+    return {
+        "op1_warc": WARC, "op2_quality": _quality(), "op9_licenses": _licenses(),
+        "op11_divergence": DIVERGENCE, "op13_debruijn": REPEATED_WORDS,
+    }

@@ -8,7 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from solvenza.llm import licenses, neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc
+from solvenza.llm import (
+    debruijn, divergence, licenses, neighbours, packing, pii, quality, simhash, suffixes, tokens, toxicity, warc,
+    whitening,
+)
 from solvenza.llm.common import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +91,19 @@ def op10_simhash(spark, root):
     found = simhash.near_duplicates(read_table(spark, root, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op11_divergence(spark, root):
+    return divergence.audited(read_table(spark, root, "documents"))
+
+
+@query
+def op12_whitening(spark, root):
+    return whitening.whitened(read_table(spark, root, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+@query
+def op13_debruijn(spark, root):
+    cut = debruijn.deduplicated(read_table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,0 +1,106 @@
+"""Repeated word windows against brute force, and what their spans say."""
+
+import random
+import re
+
+import pytest
+
+from solvenza.llm import debruijn
+
+from .conftest import EDGES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LENGTH = 8
+
+
+def plain(rows, length):
+    """kept words per row, rows in order of doc_id."""
+    seen, out = set(), []
+    for text in rows:
+        words = WORD.findall(text or "")
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            window = tuple(words[i:i + length])
+            if window in seen:
+                gone[i:i + length] = [True] * length
+            seen.add(window)
+        out.append(" ".join(w for w, g in zip(words, gone) if not g))
+    return out
+
+
+def corpus():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    shared, other, short = prose(30), prose(11), prose(LENGTH - 1)
+    texts = [prose(rng.randint(0, 70)) for _ in range(30)]
+    texts += [prose(5) + "\n" + shared + "\t " + prose(9) for _ in range(10)]
+    texts += [shared.replace(" ", "\v"), other + " " + other + " " + other, short + " x " + short]
+    texts += ["ab " * 60, "a b " * 30, "a b c " * 30, "a " * LENGTH, prose(9) + " " + other + " " + shared]
+    texts += [texts[3], texts[12], texts[14] + " tail", "head " + texts[14], "é à " * 12, "é à " * 12]
+    # Branches: one beginning with many ends, many beginnings with one end.
+    stem = prose(12)
+    texts += [stem + " " + prose(3) for _ in range(6)] + [prose(3) + " " + stem for _ in range(6)]
+    return texts
+
+
+@pytest.mark.parametrize("seed_words", [1, 3, LENGTH])
+def test_removes_what_brute_force_removes(documents, seed_words):
+    texts = corpus()
+    docs = documents(list(enumerate(texts)))
+    found = debruijn.deduplicated(docs, LENGTH, seed_words)
+    assert found.columns == [*[c for c in docs.columns], "kept", "n_words", "n_removed", "repeats"]
+    for r, text, kept in zip(sorted(found.collect(), key=lambda r: r.doc_id), texts, plain(texts, LENGTH), strict=True):
+        assert r.kept == kept, (r.doc_id, text)
+        words = WORD.findall(text)
+        assert (r.n_words, r.n_removed) == (len(words), len(words) - len(WORD.findall(kept)))
+        for s in r.repeats:
+            source = WORD.findall(texts[s.source])
+            assert words[s.start:s.end] == source[s.source_start:s.source_start + s.end - s.start]
+            assert (s.source, s.source_start) < (r.doc_id, s.start)
+
+
+def test_long_spans_are_compacted(documents):
+    """A whole copy is one span, though it consists of many runs of several seeds."""
+    rng = random.Random(2)
+    text = " ".join(str(rng.randint(0, 10**6)) for _ in range(5000))
+    found = debruijn.deduplicated(documents([(1, text), (2, "before " + text + " after"), (3, text)]))
+    spans = {r.doc_id: [tuple(s) for s in r.repeats] for r in found.collect()}
+    assert spans == {1: [], 2: [(1, 5001, 1, 0)], 3: [(0, 5000, 1, 0)]}
+
+
+def test_edges(documents):
+    docs = documents(EDGES + [(9, "x " * 100), (None, "x " * 100), (10, "x " * 100 + "y")])
+    rows = debruijn.deduplicated(docs, LENGTH).collect()
+    assert len(rows) == len(EDGES) + 3
+    by = {(r.doc_id, r.text): r for r in rows}
+    assert by[1, None].kept == by[2, ""].kept == by[3, " \n\t "].kept == "" and by[1, None].n_words == 0
+    assert by[4, "one"].kept == "one" and by[8, "é日本 𝔸 <|endoftext|> x"].n_removed == 0
+    # The word stands 100 times, of which the first window stays; later documents lose all.
+    assert by[9, "x " * 100].n_removed == 99 and by[None, "x " * 100].n_removed == 100
+    assert by[10, "x " * 100 + "y"].kept == "x x x x x x x y"[14:]
+    empty = debruijn.deduplicated(documents([]))
+    assert empty.collect() == []
+
+
+def test_rows_equal_in_id_and_text_do_not_repeat_each_other(documents):
+    text = " ".join(map(str, range(40)))
+    rows = debruijn.deduplicated(documents([(5, text), (5, text), (6, text)]), LENGTH).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(5, 0), (5, 0), (6, 40)]
+
+
+def test_blocks_do_not_matter(documents, monkeypatch):
+    texts = corpus()
+    monkeypatch.setattr(debruijn, "BLOCK", 16)
+    monkeypatch.setattr(debruijn, "TEXT_BLOCK", 20)
+    found = debruijn.deduplicated(documents(list(enumerate(texts))), LENGTH, 3)
+    assert [r.kept for r in sorted(found.collect(), key=lambda r: r.doc_id)] == plain(texts, LENGTH)
+
+
+def test_columns_named_like_those_inside(documents):
+    names = {"key": "_own", "_key": "_runs", "fp": "runs", "added": "seed", "words": "place", "node": "kept", "n": "first"}
+    docs = documents([(1, "a b c"), (2, "a b c")])
+    for old, new in names.items():
+        docs = docs.withColumnRenamed(old, new)
+    found = debruijn.deduplicated(docs, 3, 2).collect()
+    assert sorted((r.doc_id, r.kept, r.seed) for r in found) == [(1, "a b c", "added0"), (2, "", "added1")]
