@@ -77,6 +77,18 @@ def epoch_seconds(ts: Column) -> Column:
     )
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def micros(ts: Column) -> Column:
+    """Whole microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), ts)
+
+
+def from_micros(at: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", at, F.lit(_EPOCH).cast("timestamp_ntz"))
+
+
 def moment(ts: str, number: str) -> Column:
     """Time and then number as one DECIMAL(38,0), to order rows by both.
 

@@ -71,7 +71,12 @@ def news_warnings(
     headlines = items.filter(negative).select(
         "company", "id", F.col("published_at").alias("ts"), F.col("title").alias("news_keywords")
     )
-    return warned.join(headlines, ["company", "id", "ts"]).select(
+    return warning_columns(warned.join(headlines, ["company", "id", "ts"]))
+
+
+def warning_columns(warned: DataFrame) -> DataFrame:
+    """Alerts of the articles that close a week that warns."""
+    return warned.select(
         "id",
         F.lit("warning").alias("type"),
         "company",

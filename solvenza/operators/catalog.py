@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators.skew import SPLIT_ROWS, join_split
+from solvenza.session import written
 
 
 def search(catalog: DataFrame, query: str) -> DataFrame:
@@ -71,7 +72,8 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     names = catalog.select("name", F.lower("name").alias("_low"))
     every = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
     asked = wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
-    index = every.join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    # Counted and joined: written once, or the names would be cut up twice.
+    index = written(every.join(asked.select("_gram").distinct(), "_gram", "left_semi"), "search-index")
     frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
         asked.join(frequency, "_gram", "left")
@@ -79,7 +81,7 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
         .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
     return (
-        every.join(rarest, "_gram")
+        index.join(rarest, "_gram")
         .filter(F.contains("_low", "_needle"))
         .select("term", "name")
     )
@@ -96,10 +98,10 @@ def classify_requests(
     minimum, and joined back with the requests of a frequent name split, so repeats of
     one name are neither sorted nor joined in one task.
     """
-    first = requests.groupBy("name").agg(
+    first = written(requests.groupBy("name").agg(
         F.min_by("request_id", S.moment("request_ts", "request_id")).alias("_first_id"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ), "request-names")
     listed = watchlist.select("name").distinct().withColumn("_listed", F.lit(True))
     known = catalog.select("name").distinct().withColumn("_known", F.lit(True))
     rules = first.drop("n").join(listed, "name", "left").join(known, "name", "left")

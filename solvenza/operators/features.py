@@ -42,24 +42,30 @@ def assemble(
 ) -> DataFrame:
     """The 15 feature columns of the companies all four sources know.
 
-    Ratios pass through their printed percentage, so they keep four decimals and
-    with ``missing="zero"`` a NULL ratio is stored as 0. Each input has one row per
-    company, so no key of these joins is hot.
+    Each input has one row per company, so no key of these joins is hot.
     """
-    return (
+    return feature_row(
         metrics.join(_rated(ratings), "company")
         .join(news, "company")
-        .join(scores.filter(F.col("final_score").isNotNull()), "company")
-        .select(
-            "company",
-            *[S.stored_ratio(F.col(r), missing).alias(r) for r in RATIOS],
-            "news_sentiment_score", "news_count", "sentiment_volatility",
-            F.col("aggregate.positive_ratio").alias("positive_ratio"),
-            F.col("aggregate.negative_ratio").alias("negative_ratio"),
-            "recency_weight_mean",
-            F.col("final_score").alias("business_report_text_score"),
-            F.col("rating").alias("public_credit_rating"),
-        )
+        .join(scores.filter(F.col("final_score").isNotNull()), "company"), missing
+    )
+
+
+def feature_row(joined: DataFrame, missing: str = "zero", beside: Sequence[str] = ()) -> DataFrame:
+    """The feature columns of rows that hold what all four sources say, and ``beside``.
+
+    Ratios pass through their printed percentage, so they keep four decimals and
+    with ``missing="zero"`` a NULL ratio is stored as 0.
+    """
+    return joined.select(
+        "company",
+        *[S.stored_ratio(F.col(r), missing).alias(r) for r in RATIOS],
+        "news_sentiment_score", "news_count", "sentiment_volatility",
+        F.col("aggregate.positive_ratio").alias("positive_ratio"),
+        F.col("aggregate.negative_ratio").alias("negative_ratio"),
+        "recency_weight_mean",
+        F.col("final_score").alias("business_report_text_score"),
+        F.col("rating").alias("public_credit_rating"), *beside,
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from solvenza.functions import labels, scalars as S
 from solvenza.schemas import RATIOS
+from solvenza.session import written
 
 
 def ratios(statements: DataFrame) -> DataFrame:
@@ -142,8 +143,12 @@ def unpivot(trend: DataFrame, keys: Sequence[str], series: Sequence[str]) -> Dat
 
 
 def risk_indicators(quarters: DataFrame) -> DataFrame:
-    """Latest value, change and direction of each company's indicators."""
-    values = with_dominance(quarters).select(
+    """Latest value, change and direction of each company's indicators.
+
+    The quarters are read twice, for the leaders and for all, and are one row per company
+    and quarter: they are written, so that the statements are summed up once.
+    """
+    values = with_dominance(written(quarters, "quarters")).select(
         "company", "quarter_start", _quarter(quarters),
         (F.try_divide("net_income", "sales") * 100).alias("operating_margin"),
         (F.try_divide("total_liabilities", "equity") * 100).alias("debt_ratio"),

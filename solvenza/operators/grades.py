@@ -35,14 +35,14 @@ def follow(
     local = parts.select(
         "*", F.lag("score").over(w).alias("_before"), F.lead("score").over(w).alias("_after")
     )
-    change = F.coalesce("_kept", _change_code(F.col("_before"), F.col("score")))
+    change = F.coalesce("_kept", change_code(F.col("_before"), F.col("score")))
     local = local.withColumn(
         "_change", F.last(change, ignorenulls=True).over(ordered.up_to_here(w))
     ).withColumn("_first", F.first("score").over(ordered.up_to_here(w)))
 
     def carry(summaries: DataFrame, over: WindowSpec) -> DataFrame:
         handed = summaries.withColumn("_carried_score", F.lag("_last").over(over))
-        handed = handed.withColumn("_entry", _change_code(F.col("_carried_score"), F.col("_opening")))
+        handed = handed.withColumn("_entry", change_code(F.col("_carried_score"), F.col("_opening")))
         earlier = F.last(F.coalesce("_slice_change", "_entry"), ignorenulls=True)
         change = F.coalesce(F.col("_entry"), earlier.over(ordered.before_here(over)))
         return handed.withColumn("_carried_change", change)
@@ -100,7 +100,7 @@ def with_changes(observations: DataFrame, split_rows: int = ordered.SPLIT_ROWS)
     return described(follow(observations, split_rows))
 
 
-def _change_code(before: Column, now: Column) -> Column:
+def change_code(before: Column, now: Column) -> Column:
     return F.when(before != now, before * _N + now)
 
 

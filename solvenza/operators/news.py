@@ -40,8 +40,13 @@ def sentiment_block(
 
     All sums are over integers, so a retried task gives the same doubles.
     """
+    return block_of(recent(items, asof, days, limit), asof, days)
+
+
+def block_of(recent_items: DataFrame, asof: Column, days: int = NEWS_DAYS) -> DataFrame:
+    """The block of articles that are cut to the days and the limit already."""
     age = S.epoch_seconds(asof) - S.epoch_seconds(F.col("published_at"))
-    return _blocks(recent(items, asof, days, limit).withColumn("_age", age), ["company"], days)
+    return _blocks(recent_items.withColumn("_age", age), ["company"], days)
 
 
 def daily_blocks(items: DataFrame) -> DataFrame:

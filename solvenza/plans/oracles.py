@@ -419,10 +419,31 @@ _ORACLES = {
     "stream_credit_buckets": f"WITH {_BUCKETS} SELECT company, bucket_start, score, label FROM buckets",
     "stream_grade_direction": f"""WITH {_CHANGES}
         SELECT company, id, ts, grade, score, direction, last_change FROM changes""",
-    "stream_rating_alerts": f"""WITH {_ALERTS}
-        SELECT id, type, company, title, rating_change, news_keywords, ts FROM alerts
-        WHERE type <> 'warning'""",
 }
+_ORACLES["link_base"] = "SELECT page_id, regexp_replace(url, '/$', '') AS base FROM pages"
+_ORACLES["company_search_indexed"] = _ORACLES["company_search"]
+_ORACLES["search_bulk_indexed"] = _ORACLES["search_bulk"]
+_ORACLES["rating_responses"] = _ORACLES["public_rating_lookup"]
+_ORACLES["metrics_years"] = f"""WITH {_RATIOS} SELECT company, fiscal_year, {_ROUNDED_RATIOS} FROM ratios
+  WHERE fiscal_year IN (SELECT year(o_orderdate) FROM orders
+                        WHERE starts_with(o_orderpriority, '1') AND o_orderdate >= DATE '1997-01-01')"""
+_ORACLES["metrics_requested"] = f"""WITH {_RATIOS} SELECT company, fiscal_year,
+         {', '.join(f'{_percent(n)} AS {n}' for n in _NAMES)}
+  FROM ratios SEMI JOIN (SELECT s_suppkey AS company FROM supplier WHERE s_acctbal < 0) USING (company)"""
+_ORACLES["ratio_readback"] = f"""WITH {_RATIOS} SELECT company, fiscal_year,
+         {', '.join(f'CASE WHEN {n} IS NOT NULL THEN {_stored(n)} END AS {n}' for n in _NAMES)} FROM ratios"""
+_ORACLES["unreadable_responses"] = f"""WITH {_SOURCES},
+bodies AS (
+  SELECT 'metrics' AS source, count(*) AS n FROM latest
+  UNION ALL SELECT 'rating', count(*) FROM ratings
+  UNION ALL SELECT 'news', count(*) FROM block
+  UNION ALL SELECT 'score', count(*) FROM scores)
+SELECT source, 'not JSON' AS reason, n AS n_read, n AS n_unreadable FROM bodies"""
+_ORACLES["stream_rating_alerts"] = _ORACLES["rating_alerts"]
+_ORACLES["stream_news_warnings"] = _ORACLES["news_warnings"]
+_ORACLES["stream_news_sentiment"] = _ORACLES["news_sentiment"]
+_ORACLES["stream_feature_rows"] = _ORACLES["feature_assembly"]
+_ORACLES["managed_saved"] = _ORACLES["managed_union"]
 _ORACLES["stream_feature_changes"] = _ORACLES["feature_changes"]
 _ORACLES["stream_weekly_sentiment"] = _ORACLES["weekly_sentiment"]
 _ORACLES["feature_responses"] = _ORACLES["feature_assembly"]

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, catalog, features, financials, grades, news, portfolio
-from solvenza.schemas import FEATURE_TYPES, RATIOS, SENTIMENTS
-from solvenza.session import shared_dir
-from solvenza.sources import responses, tables as T
-from solvenza.sources.sinks import feature_columns
+from solvenza.schemas import FEATURE_TYPES, FEATURES, RATIOS, SENTIMENTS
+from solvenza.session import shared_dir, written
+from solvenza.sources import feature_sink, metrics_store, polled, responses, search_index, tables as T
+from solvenza.sources.sinks import feature_columns, read_managed, write_managed
 from solvenza.streaming import flows
-from solvenza.streaming.inputs import item_stream, observation_stream
+from solvenza.streaming.inputs import item_stream, observation_stream, value_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,25 @@ def search_bulk(spark, root):
     return catalog.search_bulk(T.catalog(spark, root), T.search_terms(spark, root))
 
 
+def _index(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog's index, built of the first half of the names and extended by the rest."""
+    path, names = shared_dir(spark, "names"), T.catalog(spark, root)
+    late = F.xxhash64("name") % 2 == 0
+    search_index.extend(names.filter(~late), path)
+    search_index.extend(names.filter(late), path)
+    return search_index.read(spark, path)
+
+
+@query
+def company_search_indexed(spark, root):
+    return search_index.search(_index(spark, root), QUERY_TEXT)
+
+
+@query
+def search_bulk_indexed(spark, root):
+    return search_index.search_bulk(_index(spark, root), T.search_terms(spark, root))
+
+
 @query
 def watchlist_add(spark, root):
     return catalog.classify_requests(
@@ -90,11 +109,24 @@ def watchlist_union(spark, root):
 
 @query
 def managed_union(spark, root):
-    lists = T.managed_additions(spark, root).join(T.managed_lists(spark, root), "owner", "left")
+    return _with_additions(spark, root, T.managed_lists(spark, root))
+
+
+def _with_additions(spark: SparkSession, root: str, stored: DataFrame) -> DataFrame:
+    lists = T.managed_additions(spark, root).join(stored, "owner", "left")
     after = catalog.add_to_managed(F.col("stored"), F.col("name"))
     return lists.select("owner", after.alias("stored"))
 
 
+@query
+def managed_saved(spark, root):
+    """The same on lists that are stored, read, added to, saved over and read again."""
+    path = shared_dir(spark, "managed")
+    write_managed(T.managed_lists(spark, root), path)
+    write_managed(_with_additions(spark, root, read_managed(spark, path)), path)
+    return read_managed(spark, path)
+
+
 # --- portfolio --------------------------------------------------------------
 
 @query
@@ -167,7 +199,10 @@ def news_recent(spark, root):
 
 @query
 def news_sentiment(spark, root):
-    block = news.sentiment_block(T.news_items(spark, root), T.latest_event(spark, root))
+    return _sentiment_columns(news.sentiment_block(T.news_items(spark, root), T.latest_event(spark, root)))
+
+
+def _sentiment_columns(block: DataFrame) -> DataFrame:
     counts = [F.col(f"aggregate.{c.upper()}").alias(c) for c in SENTIMENTS]
     ratios = [f"aggregate.{c}_ratio" for c in SENTIMENTS]
     flat = block.select("*", *counts, *ratios).drop("aggregate")
@@ -216,6 +251,29 @@ def metrics_year(spark, root):
     return _rounded(financials.of_year(financials.ratios(statements), YEAR), *RATIOS)
 
 
+@query
+def metrics_years(spark, root):
+    """Ratios stored by year, for the years in which urgent orders were placed since 1997."""
+    path = shared_dir(spark, "metrics")
+    metrics_store.save(financials.ratios(T.yearly_statements(spark, root)), path)
+    rows = metrics_store.of_years(metrics_store.read(spark, path), T.order_years(spark, root, 1997))
+    return _rounded(rows.select("company", "fiscal_year", *RATIOS), *RATIOS)
+
+
+@query
+def metrics_requested(spark, root):
+    """All periods, as percentages, of the suppliers that owe money."""
+    ratios = financials.ratios(T.yearly_statements(spark, root))
+    return financials.request_metrics(ratios, T.owing_suppliers(spark, root), all_periods=True, percent_format=True)
+
+
+@query
+def ratio_readback(spark, root):
+    """Ratios read back from the percentages they are printed as."""
+    shown = financials.displayed(financials.ratios(T.yearly_statements(spark, root)), missing="null")
+    return shown.select("company", "fiscal_year", *[S.parse_percentage(F.col(r)).alias(r) for r in RATIOS])
+
+
 @query
 def ratio_display(spark, root):
     return financials.displayed(financials.ratios(T.yearly_statements(spark, root)))
@@ -264,6 +322,12 @@ def series_unpivot(spark, root):
     return _rounded(series, "value")
 
 
+@query
+def link_base(spark, root):
+    """Page addresses as bases to build request addresses on."""
+    return T.links(spark, root).select("page_id", S.strip_trailing_slash(F.col("link")).alias("base"))
+
+
 # --- features ---------------------------------------------------------------
 
 def _scores(spark: SparkSession, root: str) -> DataFrame:
@@ -282,6 +346,15 @@ def public_rating_lookup(spark, root):
     return features.rating_lookup(requests, T.public_ratings(spark, root).select("name", "rating"))
 
 
+@query
+def rating_responses(spark, root):
+    """The same from the rating service's answer to each request, looked up by name."""
+    requests = T.add_requests(spark, root).select("request_id", "name")
+    rated = requests.join(T.public_ratings(spark, root).select("name", "rating"), "name", "left")
+    answers = rated.select("request_id", "name", F.to_json(F.struct(F.create_map("name", "rating").alias("ratings"))).alias("body"))
+    return answers.select("request_id", "name", responses.rating_of(F.col("body"), F.col("name")).alias("public_rating"))
+
+
 def _ratings(spark: SparkSession, root: str) -> DataFrame:
     return T.public_ratings(spark, root).select("company", "rating")
 
@@ -302,37 +375,60 @@ def feature_assembly(spark, root):
 
 
 def _assembled(sources: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    return _rounded_features(features.assemble(*sources))
+
+
+def _rounded_features(rows: DataFrame) -> DataFrame:
     return _rounded(
-        features.assemble(*sources),
-        "news_sentiment_score", "sentiment_volatility", "positive_ratio", "negative_ratio",
+        rows, "news_sentiment_score", "sentiment_volatility", "positive_ratio", "negative_ratio",
         "recency_weight_mean", "business_report_text_score",
     )
 
 
-@query
-def feature_responses(spark, root):
-    """The assembly from response texts: written as the services send them, read back."""
+def _response_bodies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Response texts of the four services, a ``body`` each, as the services send them."""
     def body(of: DataFrame, **fields: Column) -> DataFrame:
         return of.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("body"))
 
     metrics, ratings, block, scores = _feature_sources(spark, root)
     code = F.col("company").cast("string")
-    metrics = body(metrics, data=F.array(F.struct(code.alias("stock_code"), *RATIOS)))
-    ratings = body(ratings.filter("company IS NOT NULL"), ratings=F.create_map(code, "rating"))
     values = [c for c in block.columns if c != "company"]
-    block = body(block, results=F.array(F.struct(code.alias("query"), *values)))
-    scores = body(scores, results=F.array(F.struct(code.alias("company"), F.struct("final_score").alias("score"))))
+    return {
+        "metrics": body(metrics, data=F.array(F.struct(code.alias("stock_code"), *RATIOS))),
+        "rating": body(ratings.filter("company IS NOT NULL"), ratings=F.create_map(code, "rating")),
+        "news": body(block, results=F.array(F.struct(code.alias("query"), *values))),
+        "score": body(scores, results=F.array(F.struct(code.alias("company"), F.struct("final_score").alias("score")))),
+    }
+
+
+@query
+def feature_responses(spark, root):
+    """The assembly from response texts: written as the services send them, read back."""
+    bodies = _response_bodies(spark, root)
 
     def known(of: DataFrame, name: str) -> DataFrame:
         return of.withColumn("company", F.col(name).try_cast("bigint"))
 
-    read = (
-        known(responses.first_metrics(metrics), "stock_code"),
-        known(responses.credit(ratings), "name").select("company", "rating"),
-        known(responses.news_blocks(block), "query"),
-        features.nonfinancial_scores(known(responses.nonfinancial(scores), "company")),
-    )
-    return _assembled(read)
+    return _assembled((
+        known(responses.first_metrics(bodies["metrics"]), "stock_code"),
+        known(responses.credit(bodies["rating"]), "name").select("company", "rating"),
+        known(responses.news_blocks(bodies["news"]), "query"),
+        features.nonfinancial_scores(known(responses.nonfinancial(bodies["score"]), "company")),
+    ))
+
+
+@query
+def unreadable_responses(spark, root):
+    """The same bodies with one cut off beside each: how many of each service can be read."""
+    whole = None
+    for source, bodies in _response_bodies(spark, root).items():
+        rows = bodies.select(F.lit(source).alias("source"), "body")
+        whole = rows if whole is None else whole.unionByName(rows)
+    cut = whole.withColumn("body", F.expr("left(body, length(body) - 1)"))
+    mixed = written(whole.unionByName(cut), "mixed-responses")
+    read = responses.readable(mixed).groupBy("source").agg(F.count(F.lit(1)).alias("n_read"))
+    broken = responses.unreadable(mixed).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n_unreadable"))
+    return read.join(broken, "source").select("source", "reason", "n_read", "n_unreadable")
 
 
 def feature_snapshots(spark: SparkSession, root: str) -> DataFrame:
@@ -417,18 +513,17 @@ def notification_ordinal(spark, root):
 
 @query
 def stream_credit_buckets(spark, root):
-    path = shared_dir(spark, "buckets")
-    rows = flows.run_available(observation_stream(spark, root), path, flows.BUCKETS)
+    rows = flows.run_available(flows.BUCKETS, shared_dir(spark, "buckets"), observation_stream(spark, root))
     return rows.select("company", "bucket_start", "score", S.grade_label(F.col("score")).alias("label"))
 
 
 @query
 def stream_weekly_sentiment(spark, root):
-    return flows.run_available(item_stream(spark, root), shared_dir(spark, "weeks"), flows.WEEKLY_SENTIMENT)
+    return flows.run_available(flows.WEEKLY_SENTIMENT, shared_dir(spark, "weeks"), item_stream(spark, root))
 
 
 def _followed(spark: SparkSession, root: str) -> DataFrame:
-    return flows.run_available(observation_stream(spark, root), shared_dir(spark, "followed"), flows.CHANGES)
+    return flows.run_available(flows.CHANGES, shared_dir(spark, "followed"), observation_stream(spark, root))
 
 
 @query
@@ -438,9 +533,28 @@ def stream_grade_direction(spark, root):
     )
 
 
+def _warned(spark: SparkSession, root: str, observations: DataFrame) -> DataFrame:
+    return flows.run_available(flows.WARNINGS, shared_dir(spark, "warned"), observations, item_stream(spark, root))
+
+
 @query
 def stream_rating_alerts(spark, root):
-    return flows.alerts_of(_followed(spark, root))
+    """All three types: moves from the followed grades, warnings from the weeks."""
+    warnings = _warned(spark, root, observation_stream(spark, root))
+    return flows.alerts_of(_followed(spark, root)).unionByName(warnings)
+
+
+@query
+def stream_news_warnings(spark, root):
+    """Warnings against a grade that moves seldom."""
+    return _warned(spark, root, value_stream(spark, root))
+
+
+@query
+def stream_news_sentiment(spark, root):
+    """The sentiment block at the last event, from the latest articles of each company."""
+    rows = flows.run_available(flows.NEWS_BLOCKS, shared_dir(spark, "news"), item_stream(spark, root))
+    return _sentiment_columns(rows)
 
 
 @query
@@ -450,5 +564,20 @@ def stream_feature_changes(spark, root):
     snapshots = feature_snapshots(spark, root)
     snapshots.write.parquet(path)
     arriving = spark.readStream.schema(snapshots.schema).parquet(path)
-    rows = flows.run_available(arriving, shared_dir(spark, "features"), flows.FEATURES)
-    return _feature_change_columns(flows.changed_features(rows))
+    flow = flows.features_flow(snapshots.schema)
+    return _feature_change_columns(flows.run_available(flow, shared_dir(spark, "features"), arriving))
+
+
+@query
+def stream_feature_rows(spark, root):
+    """Feature rows as soon as all four services have spoken: their responses are stored
+    by two polls, each polled once, and the rows that are ready go to the feature sink."""
+    stored, out = shared_dir(spark, "responses"), shared_dir(spark, "feature-rows")
+    bodies = _response_bodies(spark, root)
+    for number, sources in enumerate((("metrics", "score"), ("rating", "news"))):
+        rows = [bodies[s].select(F.lit(s).alias("source"), "body") for s in sources]
+        polled.store(rows[0].unionByName(rows[1]), stored, number)
+        ready = flows.ready_features(polled.stream(spark, stored))
+        feature_sink.start(ready, f"{out}/sink", f"{out}/checkpoint", available_now=True).awaitTermination()
+    schema = f"{FEATURES}, ready BOOLEAN, version BIGINT"
+    return _rounded_features(flows.served_features(feature_sink.read(spark, f"{out}/sink", schema)))

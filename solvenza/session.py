@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skewed shuffle partitions are split at run time and small sides become
 # broadcasts only after their real size is known, so no operator carries a hint
@@ -43,6 +45,23 @@ def _own_folder() -> str:
     return folder.name
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once per application, as ``--py-files``
+    does. The archive is the driver's own; Spark serves it to the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_solvenza_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.TemporaryDirectory(prefix="solvenza-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    path = os.path.join(folder.name, "solvenza_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    context._solvenza_shipped = True
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
@@ -55,3 +74,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _own_folder()
     return os.path.join(root, "solvenza", f"{purpose}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written below the shared folder and read again: what uses it more than once
+    computes it once, and lost executors lose none of it."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from solvenza.schemas import FEATURE_TYPES, FEATURES
-from solvenza.sources.batches import folder_numbers
 
 
 def feature_columns(rows: DataFrame, *beside: str) -> DataFrame:
@@ -30,13 +28,16 @@ def read_features(spark: SparkSession, path: str, file_format: str = "parquet")
     return reader.format(file_format).load(path)
 
 
+MANAGED = "owner INT, stored STRING, saved BIGINT"
+
+
 def write_managed(lists: DataFrame, path: str) -> None:
-    """Save the stored lists over what is there: each save is a folder of its own, and
-    readers take the newest whole one."""
-    version = f"version={time.time_ns()}"
-    lists.select("owner", "stored").write.mode("errorifexists").parquet(os.path.join(path, version))
+    """Save stored lists over what is there, per owner: rows are appended with the time of
+    the save, and readers take each owner's newest."""
+    saved = lists.select("owner", "stored", F.lit(time.time_ns()).alias("saved"))
+    saved.write.mode("append").parquet(path)
 
 
 def read_managed(spark: SparkSession, path: str) -> DataFrame:
-    newest = folder_numbers(spark, path, "version")[-1]
-    return spark.read.schema("owner INT, stored STRING").parquet(os.path.join(path, f"version={newest}"))
+    saves = spark.read.schema(MANAGED).parquet(path)
+    return saves.groupBy("owner").agg(F.max_by("stored", "saved").alias("stored"))

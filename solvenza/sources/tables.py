@@ -64,6 +64,17 @@ def add_requests(spark: SparkSession, root: str) -> DataFrame:
     return orders.unionByName(suppliers)
 
 
+def owing_suppliers(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("company"))
+
+
+def order_years(spark: SparkSession, root: str, first: int) -> DataFrame:
+    """The years from ``first`` on in which urgent orders were placed."""
+    urgent = F.col("o_orderpriority").startswith("1")
+    orders = table(spark, root, "orders").filter(urgent & (F.col("o_orderdate") >= _new_year(first)))
+    return orders.select(F.year("o_orderdate").alias("fiscal_year")).distinct()
+
+
 def search_terms(spark: SparkSession, root: str) -> DataFrame:
     """Part sizes as one- and two-digit terms, and supplier numbers as long ones."""
     sizes = table(spark, root, "part").select(F.col("p_size").cast("string").alias("term"))
@@ -131,9 +142,13 @@ def observations_of(events: DataFrame) -> DataFrame:
 
 
 def value_observations(spark: SparkSession, root: str) -> DataFrame:
+    return values_of(table(spark, root, "events"))
+
+
+def values_of(events: DataFrame) -> DataFrame:
     """Grades by event value: a series that moves seldom, as a company's grade does."""
     grade = F.when(F.col("value") < 200, "AA").otherwise("BBB")
-    return table(spark, root, "events").select(
+    return events.select(
         F.col("user_id").alias("company"), F.col("event_id").alias("id"), "ts", grade.alias("grade")
     )
 

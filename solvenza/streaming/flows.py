@@ -1,224 +1,127 @@
-"""Grade, news, alert and feature flows on streams.
+"""Grade, news, alert and feature flows on streams, on Spark's own state.
 
 Each flow gives what its batch operator gives over all rows that have arrived, for any
-layout of the files and any order of the rows. Nothing is dropped as late, and no state
-is held in the stream: micro-batches are written to tables (``sources.batches``), and
-what must be known of earlier rows is read from there.
-
-* ``Latest`` keeps the newest row per key, ``Totals`` sums counts.
-* ``Follow`` continues an ordered comparison. A company's new rows are normally newer
-  than all before, and go through the batch operator with the state of its last row.
-  Where some are not, the rows from the earliest on are done again, with the state of
-  the last row before them; the newer version of a row stands. Two rows of a company
-  from before the retention stay for that.
-
-A company with a third of a micro-batch's rows is split as in the batch operator, and
-no Python runs per row.
+layout of the files and any order of the rows.
+
+* Buckets and weekly counts are windowed aggregates in update mode. A window stays open
+  for late rows for 180 days of event time; then the watermark ends its state.
+* What compares a company's rows with each other keeps keyed state (``processors``) and
+  appends to Spark's file sink, which takes every micro-batch once.
+
+State, its versions, restarts and clean-up are the state store's and the checkpoint's. The
+tables that are written hold versions: a row that is told again, because a late one came
+before it, has a greater version, and ``served`` takes the greatest of each.
+
+A company is one key of the state, so its rows of a micro-batch go to one task; the files
+of a micro-batch are bounded (``inputs.event_stream``), and with them what a hot company
+brings at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, features, grades, news
-from solvenza.schemas import LOWERED, RAISED, RETENTION_DAYS, SENTIMENTS
-from solvenza.sources.batches import fold, read_all, read_batch, write_batch
+from solvenza.schemas import BUCKET, LOWERED, NEWS_DAYS, NEWS_LIMIT, RAISED, RETENTION_DAYS, SENTIMENTS, WARNING_GROWTH
+from solvenza.session import ship
+from solvenza.sources import responses
 from solvenza.streaming.inputs import poll
+from solvenza.streaming.processors import WEEK, Follow, LatestNews, NewsWeeks, Sources
 
-FOLD_EVERY = 10     # batches
-
-
-def _kept_days(rows: DataFrame, ts: str, days: int | None) -> DataFrame:
-    """Without rows older than ``days`` before the newest one."""
-    if days is None:
-        return rows
-    newest = rows.agg(F.max(ts).alias("_newest")).scalar()
-    return grades.retained(rows, ts, newest, days)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
-class Latest:
-    """One row per key, that of the greatest ``order``."""
-    step: Callable[[DataFrame], DataFrame]
-    keys: tuple[str, ...]
-    order: tuple[str, str]      # a time and a number
-    ts: str
-    days: int | None = RETENTION_DAYS
+class Flow:
+    """``online`` turns streams into rows of ``schema``, ``served`` the rows written so far
+    into the result. With ``updates`` the rows are a window's new values."""
+    online: Callable[..., DataFrame]
+    served: Callable[[DataFrame], DataFrame]
+    schema: str
+    updates: bool = False
 
-    def served(self, rows: DataFrame) -> DataFrame:
-        values = [c for c in rows.columns if c not in (*self.keys, "batch_id")]
-        newest = [F.max_by(c, S.moment(*self.order)).alias(c) for c in values]
-        return _kept_days(rows.groupBy(*self.keys).agg(*newest), self.ts, self.days)
 
-    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
-        write_batch(self.step(batch), _rows(path), batch_id)
+def keyed(rows: DataFrame, processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
+    """``rows`` through keyed state per company."""
+    ship(rows.sparkSession)
+    return rows.groupBy("company").transformWithStateInPandas(processor, processor.OUT, "Append", time_mode)
 
-    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
-        fold(spark, _rows(path), batch_id, self.served)
 
+def newest(rows: DataFrame, *keys: str, version: str = "version") -> DataFrame:
+    """The row of the greatest version of each key."""
+    values = [c for c in rows.columns if c not in (*keys, version)]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in values])
 
-@dataclass(frozen=True)
-class Totals:
-    """Counts per key, summed over the batches."""
-    step: Callable[[DataFrame], DataFrame]
-    keys: tuple[str, ...]
-    counts: tuple[str, ...]
 
-    def served(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.counts])
+def _retained(rows: DataFrame, ts: str, days: int) -> DataFrame:
+    return grades.retained(rows, ts, rows.agg(F.max(ts).alias("_newest")).scalar(), days)
 
-    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
-        write_batch(self.step(batch), _rows(path), batch_id)
 
-    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
-        fold(spark, _rows(path), batch_id, self.served)
+def _seen(rows: DataFrame, ts: str, days: int) -> DataFrame:
+    """With the clock time as an instant, late by ``days`` at most."""
+    return rows.withColumn("seen", F.timestamp_micros(S.micros(F.col(ts)))).withWatermark("seen", f"{days} days")
 
 
-@dataclass(frozen=True)
-class Follow:
-    """Rows compared with the one before them.
+def _clock(instant: str):
+    return S.from_micros(F.unix_micros(instant))
 
-    ``order`` places a company's rows and tells them apart; a row that comes again
-    counts once. ``step`` takes rows and what is ``carried`` from before them.
-    ``again`` turns written rows back into what ``step`` reads.
-    """
-    step: Callable[[DataFrame, DataFrame | None], DataFrame]
-    again: Callable[[DataFrame], DataFrame]
-    order: tuple[str, ...]
-    carried: tuple[str, ...]
-    days: int | None = RETENTION_DAYS
-
-    def place(self) -> Column:
-        return F.struct(*self.order)
-
-    def _last(self, rows: DataFrame) -> DataFrame:
-        """The last row of each company, with what it carries."""
-        columns = F.struct(*self.order, *self.carried)
-        last = rows.groupBy("company").agg(F.max_by(columns, self.place()).alias("s"))
-        return last.select("company", "s.*")
-
-    def state(self, spark: SparkSession, path: str, skip: int | None = None) -> DataFrame | None:
-        rows = read_all(spark, _state(path), skip)
-        if rows is None:
-            return None
-        newest = F.struct(*self.order, "batch_id")
-        columns = F.struct(*self.order, *self.carried)
-        return rows.groupBy("company").agg(F.max_by(columns, newest).alias("s")).select("company", "s.*")
-
-    def versions(self, rows: DataFrame) -> DataFrame:
-        """The newest version of every row."""
-        keys = ("company", *self.order)
-        values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s"))
-        return newest.select(*keys, "s.*")
-
-    def served(self, rows: DataFrame) -> DataFrame:
-        """The newest version of every row, inside the retention."""
-        return _kept_days(self.versions(rows), self.order[0], self.days)
-
-    def folded(self, rows: DataFrame) -> DataFrame:
-        """What is served, and what the comparison of late rows needs from before it.
-
-        That is each company's last row before the retention and the last one there that
-        differs from it: a row that comes late among those left out changes nothing after
-        these two but what it changes through them.
-        """
-        newest = self.versions(rows)
-        if self.days is None:
-            return newest
-        kept = _kept_days(newest, self.order[0], self.days)
-        asof = newest.agg(F.max(self.order[0]).alias("_newest")).scalar()
-        old = newest.filter(F.col(self.order[0]) < asof - F.make_dt_interval(F.lit(self.days)))
-
-        def last(of: DataFrame) -> DataFrame:
-            columns = F.struct(*[c for c in newest.columns if c != "company"])
-            found = of.groupBy("company").agg(F.max_by(columns, self.place()).alias("s"))
-            return found.select("company", "s.*").select(*newest.columns)
-
-        closing = last(old)
-        value = self.carried[0]
-        differing = old.join(closing.select("company", F.col(value).alias("_closing")), "company")
-        differing = differing.filter(~F.col(value).eqNullSafe(F.col("_closing")))
-        return kept.unionByName(closing).unionByName(last(differing))
-
-    def write(self, batch: DataFrame, path: str, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Read more than once here; what is lost is computed again.
-        fresh = batch.dropDuplicates(["company", *self.order]).persist()
-        try:
-            if not fresh.isEmpty():
-                kept, todo = self.state(spark, path, batch_id), fresh
-                if kept is not None:
-                    todo, kept = self._with_late(spark, path, batch_id, fresh, kept)
-                write_batch(self.step(todo, kept), _rows(path), batch_id)
-                # From the written rows, so the step runs once; changed companies only.
-                write_batch(self._last(read_batch(spark, _rows(path), batch_id)), _state(path), batch_id)
-        finally:
-            fresh.unpersist()
-
-    def _with_late(
-        self, spark: SparkSession, path: str, batch_id: int, fresh: DataFrame, kept: DataFrame
-    ) -> tuple[DataFrame, DataFrame]:
-        carried = kept.select("company", *self.carried)
-        first = fresh.groupBy("company").agg(F.min(self.place()).alias("_first"))
-        known = kept.select("company", self.place().alias("_newest"))
-        late = first.join(known, "company").filter("_first <= _newest").select("company", "_first")
-        if late.isEmpty():
-            return fresh, carried
-        written = read_all(spark, _rows(path), batch_id)
-        # The row before may be older than the retention.
-        history = self.versions(written).join(late, "company")
-        before = self._last(history.filter(self.place() < F.col("_first"))).select("company", *self.carried)
-        after = self.again(history.filter(self.place() >= F.col("_first")).drop("_first"))
-        todo = fresh.unionByName(after.select(*fresh.columns)).dropDuplicates(["company", *self.order])
-        return todo, carried.join(late, "company", "left_anti").unionByName(before)
-
-    def fold(self, spark: SparkSession, path: str, batch_id: int) -> None:
-        fold(spark, _rows(path), batch_id, self.folded)
-        fold(spark, _state(path), batch_id, lambda rows: self.state(spark, path))
-
-
-Flow = Latest | Totals | Follow
 
+# --- windows --------------------------------------------------------------------
 
-def _rows(path: str) -> str:
-    return os.path.join(path, "rows")
+def _bucket_updates(observations: DataFrame) -> DataFrame:
+    points = _seen(grades.on_scale(observations), "ts", RETENTION_DAYS)
+    last = points.groupBy("company", F.window("seen", BUCKET).alias("w")).agg(
+        F.max_by("score", S.moment("ts", "id")).alias("score"))
+    return last.select("company", _clock("w.start").alias("bucket_start"), "score")
 
 
-def _state(path: str) -> str:
-    return os.path.join(path, "state")
+def _served_buckets(rows: DataFrame) -> DataFrame:
+    return _retained(newest(rows, "company", "bucket_start", version="batch_id"), "bucket_start", RETENTION_DAYS)
 
 
-# --- flows --------------------------------------------------------------------
+def _week_updates(items: DataFrame) -> DataFrame:
+    counts = [F.count_if(F.col("sentiment") == kind).alias(kind) for kind in SENTIMENTS]
+    weeks = _seen(items, "published_at", RETENTION_DAYS).groupBy("company", F.window("seen", "7 days").alias("w"))
+    return weeks.agg(*counts).select("company", _clock("w.start").alias("week_start"), *SENTIMENTS)
 
-def _bucket_rows(observations: DataFrame) -> DataFrame:
-    return grades.last_of_buckets(observations).drop("label")
 
+BUCKETS = Flow(
+    _bucket_updates, _served_buckets, "company BIGINT, bucket_start TIMESTAMP_NTZ, score INT", updates=True)
+WEEKLY_SENTIMENT = Flow(
+    _week_updates, lambda rows: newest(rows, "company", "week_start", version="batch_id"),
+    "company BIGINT, week_start TIMESTAMP_NTZ, " + ", ".join(f"{s} BIGINT" for s in SENTIMENTS), updates=True)
 
-BUCKETS = Latest(_bucket_rows, ("company", "bucket_start"), ("ts", "id"), "bucket_start")
 
-WEEKLY_SENTIMENT = Totals(news.weekly_sentiment, ("company", "week_start"), SENTIMENTS)
+# --- comparisons ----------------------------------------------------------------
 
+def _followed(observations: DataFrame) -> DataFrame:
+    scored = grades.on_scale(observations).select(
+        "company", S.micros(F.col("ts")).alias("at"), "id", F.col("score").cast("string").alias("value"),
+        F.col("news_keywords").alias("payload"))
+    return keyed(scored, Follow(RETENTION_DAYS))
 
-def _observed_again(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("grade", S.grade_label(F.col("score")))
 
+def _served_changes(rows: DataFrame) -> DataFrame:
+    """Observations inside the retention as ``grades.follow`` has them."""
+    number = lambda c: F.col(c).cast("int")
+    found = newest(rows, "company", "at", "id").select(
+        "company", "id", S.from_micros(F.col("at")).alias("ts"), F.col("payload").alias("news_keywords"),
+        number("value").alias("score"), number("before").alias("prev_score"),
+        grades.change_code(number("change_from"), number("change_to")).alias("change"),
+    )
+    return _retained(found, "ts", RETENTION_DAYS)
 
-CHANGES = Follow(
-    lambda rows, kept: grades.follow(rows, kept=kept), _observed_again, ("ts", "id"), ("score", "change")
-)
 
-# Snapshots without a change are kept too: a late one may come before them.
-FEATURES = Follow(
-    lambda rows, kept: features.compared(rows, kept=kept),
-    lambda rows: rows.drop("change_hash", "is_changed"), ("snapshot_ts",), ("change_hash",),
-)
+CHANGES = Flow(_followed, _served_changes, Follow.OUT)
 
 
 def alerts_of(followed: DataFrame) -> DataFrame:
@@ -227,39 +130,128 @@ def alerts_of(followed: DataFrame) -> DataFrame:
     return alerts.alert_columns(moved)
 
 
-def changed_features(rows: DataFrame) -> DataFrame:
-    return rows.filter("is_changed").drop("is_changed", "change_hash")
+def features_flow(snapshots: T.StructType) -> Flow:
+    """Feature snapshots whose key differs from the one before; ``snapshots`` is their
+    schema."""
+    own = "company", "snapshot_ts"
+    kept = T.StructType([f for f in snapshots if f.name not in own])
+
+    def online(arriving: DataFrame) -> DataFrame:
+        values = F.struct(*kept.names)
+        return keyed(arriving.select(
+            "company", S.micros(F.col("snapshot_ts")).alias("at"), F.lit(0).cast("bigint").alias("id"),
+            features.change_hash().alias("value"), F.to_json(values).alias("payload"),
+        ), Follow(RETENTION_DAYS))
+
+    def served(rows: DataFrame) -> DataFrame:
+        found = newest(rows, "company", "at", "id").filter("NOT value <=> before")
+        return _retained(found.select(
+            "company", S.from_micros(F.col("at")).alias("snapshot_ts"), F.from_json("payload", kept).alias("v"),
+        ).select(*own, "v.*"), "snapshot_ts", RETENTION_DAYS)
+
+    return Flow(online, served, Follow.OUT)
+
+
+# --- news -----------------------------------------------------------------------
+
+def _weeks_that_warn(observations: DataFrame, items: DataFrame) -> DataFrame:
+    moves = grades.on_scale(observations).select(
+        "company", S.micros(F.col("ts")).alias("at"), "id", F.lit("grade").alias("kind"),
+        F.col("score").cast("string").alias("value"), F.lit(None).cast("string").alias("payload"))
+    articles = items.select(
+        "company", S.micros(F.col("published_at")).alias("at"), "id", F.lit("news").alias("kind"),
+        F.col("sentiment").alias("value"), F.col("title").alias("payload"))
+    return keyed(moves.unionByName(articles), NewsWeeks(WARNING_GROWTH, RETENTION_DAYS))
+
+
+def _served_warnings(rows: DataFrame) -> DataFrame:
+    warned = newest(rows, "company", "week").filter("warns").select(
+        "company", "id", S.from_micros(F.col("at")).alias("ts"), F.col("payload").alias("news_keywords"))
+    return alerts.warning_columns(warned)
+
+
+WARNINGS = Flow(_weeks_that_warn, _served_warnings, NewsWeeks.OUT)
+
+
+def _latest_news(items: DataFrame) -> DataFrame:
+    seen = _seen(items, "published_at", NEWS_DAYS)
+    return keyed(
+        seen.select("company", S.micros(F.col("published_at")).alias("at"), "id", "sentiment", "seen"),
+        LatestNews(NEWS_LIMIT), "EventTime")
+
+
+def _served_news(rows: DataFrame) -> DataFrame:
+    """The sentiment block of every company as of the newest article of all."""
+    items = newest(rows, "company").select("company", F.inline(F.arrays_zip("at", "sentiment")))
+    end = items.agg(F.max("at").alias("_asof")).scalar()
+    recent = items.filter((F.col("at") > end - NEWS_DAYS * WEEK // 7) & (F.col("at") <= end))
+    recent = recent.select("company", S.from_micros(F.col("at")).alias("published_at"), "sentiment")
+    return news.block_of(recent, S.from_micros(end))
+
+
+NEWS_BLOCKS = Flow(_latest_news, _served_news, LatestNews.OUT)
+
+
+# --- features on live data --------------------------------------------------------
+
+def ready_features(polled: DataFrame) -> DataFrame:
+    """Feature rows of the companies of which all four services have spoken, each as soon
+    as the last response is there and again when one changes, with ``ready`` and
+    ``version``."""
+    told = keyed(responses.said(polled), Sources(responses.SOURCES))
+    beside = "ready", "version"
+    return features.feature_row(responses.joined(told), beside=beside)
+
+
+def served_features(rows: DataFrame) -> DataFrame:
+    return newest(rows, "company").filter("ready").drop("ready")
 
 
 # --- running ------------------------------------------------------------------
 
-def start(
-    stream: DataFrame, path: str, flow: Flow, available_now: bool = False, fold_every: int = FOLD_EVERY
-) -> StreamingQuery:
-    """Write every micro-batch below ``path`` and fold the tables every few batches.
+@contextlib.contextmanager
+def _on_disk_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs a state store on disk; a query keeps the one it starts with."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+
+
+def _rows(path: str) -> str:
+    return os.path.join(path, "rows")
+
+
+def start(flow: Flow, path: str, *streams: DataFrame, available_now: bool = False) -> StreamingQuery:
+    """Run the flow, with its rows and its checkpoint below ``path``.
 
-    A batch that is run again gives the same rows: it replaces its own folders, and
-    rows that a fold has taken in already count once.
+    New values of windows are written per micro-batch, each to a folder of its own that a
+    batch that runs again replaces; appended rows go through the file sink.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        flow.write(batch, path, batch_id)
-        if batch_id % fold_every == fold_every - 1:
-            flow.fold(batch.sparkSession, path, batch_id)
-
-    return (
-        stream.writeStream.option("checkpointLocation", os.path.join(path, "checkpoint"))
-        .trigger(**poll(available_now))
-        .foreachBatch(each)
-        .start()
-    )
+    spark = streams[0].sparkSession
+    out = flow.online(*streams).writeStream.option("checkpointLocation", os.path.join(path, "checkpoint"))
+    out = out.trigger(**poll(available_now))
+    # Readers find the columns before the first row.
+    nothing = spark.createDataFrame([], flow.schema).coalesce(1)
+    nothing.write.mode("ignore").parquet(os.path.join(_rows(path), *(["batch_id=-1"] if flow.updates else [])))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(_rows(path), f"batch_id={batch_id}"))
+
+    with _on_disk_state(spark):
+        if flow.updates:
+            return out.outputMode("update").foreachBatch(write).start()
+        return out.outputMode("append").format("parquet").option("path", _rows(path)).start()
 
 
-def run_available(stream: DataFrame, path: str, flow: Flow, fold_every: int = FOLD_EVERY) -> DataFrame | None:
-    """Process what the source holds now; returns what the flow serves, None if nothing."""
-    start(stream, path, flow, available_now=True, fold_every=fold_every).awaitTermination()
-    return served(stream.sparkSession, path, flow)
+def served(spark: SparkSession, flow: Flow, path: str) -> DataFrame:
+    schema = flow.schema + (", batch_id BIGINT" if flow.updates else "")
+    return flow.served(spark.read.schema(schema).parquet(_rows(path)))
 
 
-def served(spark: SparkSession, path: str, flow: Flow) -> DataFrame | None:
-    rows = read_all(spark, _rows(path))
-    return None if rows is None else flow.served(rows)
+def run_available(flow: Flow, path: str, *streams: DataFrame) -> DataFrame:
+    """Process what the sources hold now; returns what the flow serves."""
+    start(flow, path, *streams, available_now=True).awaitTermination()
+    return served(streams[0].sparkSession, flow, path)

@@ -32,6 +32,10 @@ def observation_stream(spark: SparkSession, root: str, **options: Any) -> DataFr
     return tables.observations_of(event_stream(spark, root, **options))
 
 
+def value_stream(spark: SparkSession, root: str, **options: Any) -> DataFrame:
+    return tables.values_of(event_stream(spark, root, **options))
+
+
 def item_stream(spark: SparkSession, root: str, **options: Any) -> DataFrame:
     return tables.items_of(event_stream(spark, root, **options))
 
