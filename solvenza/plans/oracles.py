@@ -429,7 +429,7 @@ _ORACLES["metrics_years"] = f"""WITH {_RATIOS} SELECT company, fiscal_year, {_RO
                         WHERE starts_with(o_orderpriority, '1') AND o_orderdate >= DATE '1997-01-01')"""
 _ORACLES["metrics_requested"] = f"""WITH {_RATIOS} SELECT company, fiscal_year,
          {', '.join(f'{_percent(n)} AS {n}' for n in _NAMES)}
-  FROM ratios SEMI JOIN (SELECT s_suppkey AS company FROM supplier WHERE s_acctbal < 0) USING (company)"""
+  FROM ratios SEMI JOIN (SELECT s_suppkey AS company FROM supplier WHERE s_acctbal < 5000) USING (company)"""
 _ORACLES["ratio_readback"] = f"""WITH {_RATIOS} SELECT company, fiscal_year,
          {', '.join(f'CASE WHEN {n} IS NOT NULL THEN {_stored(n)} END AS {n}' for n in _NAMES)} FROM ratios"""
 _ORACLES["unreadable_responses"] = f"""WITH {_SOURCES},

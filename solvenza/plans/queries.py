@@ -262,9 +262,9 @@ def metrics_years(spark, root):
 
 @query
 def metrics_requested(spark, root):
-    """All periods, as percentages, of the suppliers that owe money."""
+    """All periods, as percentages, of the suppliers with small balances."""
     ratios = financials.ratios(T.yearly_statements(spark, root))
-    return financials.request_metrics(ratios, T.owing_suppliers(spark, root), all_periods=True, percent_format=True)
+    return financials.request_metrics(ratios, T.small_suppliers(spark, root), all_periods=True, percent_format=True)
 
 
 @query

@@ -64,8 +64,9 @@ def add_requests(spark: SparkSession, root: str) -> DataFrame:
     return orders.unionByName(suppliers)
 
 
-def owing_suppliers(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("company"))
+def small_suppliers(spark: SparkSession, root: str) -> DataFrame:
+    """Suppliers with a balance below 5,000."""
+    return table(spark, root, "supplier").filter("s_acctbal < 5000").select(F.col("s_suppkey").alias("company"))
 
 
 def order_years(spark: SparkSession, root: str, first: int) -> DataFrame:

@@ -102,3 +102,23 @@ def test_direction_is_one_shuffle_and_window_where_no_company_is_frequent(spark)
 def test_top_rows_are_cut_before_the_shuffle(spark, name):
     limits = [line for line in plan_of(spark, name).splitlines() if "WindowGroupLimit" in line]
     assert any("Partial" in line for line in limits)
+
+
+def test_chosen_years_prune_the_folders_at_run_time(spark):
+    assert "dynamicpruning" in plan_of(spark, "metrics_years")
+
+
+def test_indexed_search_does_not_read_the_catalog(spark):
+    for name in ("company_search_indexed", "search_bulk_indexed"):
+        plan = plan_of(spark, name)
+        assert "c_name" not in plan and "gram" in plan
+
+
+@pytest.mark.parametrize("name,columns,scans", [
+    ("watchlist_add", "o_custkey", 1), ("watchlist_add", "s_name", 1), ("risk_indicators", "l_suppkey", 0),
+    ("search_bulk", "c_name", 0),
+])
+def test_tables_are_read_once(spark, name, columns, scans):
+    """Beside the written summary, of which the plan starts."""
+    plan = plan_of(spark, name)
+    assert sum("ReadSchema" in line and columns in line for line in plan.splitlines()) == scans
