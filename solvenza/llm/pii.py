@@ -11,6 +11,12 @@ which is 1 when t occurs with e only. All terms of a document that mentions e ar
 looked at, and all counts are of documents. Few documents say little: in place of
 n_et / n_t stands the lower bound of its Wilson interval, at ``DEVIATIONS`` standard
 deviations, where documents with e in the same surroundings, as copies have, count once.
+
+A term that was seen with e in one surrounding only, so most words of any text, is no
+evidence by that, however large the corpus. It has to stand beside the mention in every
+document that it occurs in, and that must be no chance: in none of them may more than
+``BY_CHANCE`` of the words stand beside a mention.
+
 A term is generalised to its kind from ``GENERALISE`` on and removed from ``REMOVE`` on,
 wherever it stands.
 """
@@ -21,7 +27,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,9 +48,12 @@ _NO_DIGITS = re.compile("[^0-9]+")
 
 NEAR = 8                # words on either side of a mention, on its line, tell surroundings apart
 LEAST_CHARS = 3         # of a term
+LONGEST = 64            # characters of a term; a hash stands for a longer one
 DEVIATIONS = 1.0
-GENERALISE, REMOVE = 0.9, 0.99
-COUNTED_AT_ONCE = 200_000   # terms that all tasks hold; more are counted by a join
+GENERALISE, REMOVE = 0.9, 0.95
+BY_CHANCE = 1 / 16
+HELD = 200_000          # terms that a task counts at a time
+BITS = 1 << 26          # of the table of terms that every task holds, whatever their number
 
 _TERM = re.compile(r"\w+")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -103,14 +112,18 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def entities(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
-    """Each entity of the text once, with a hash of the words near its first mention."""
-    found, stretch = {}, 32 * NEAR
+def named(word: str) -> str:
+    """The term of a word, of bounded length."""
+    term = word.lower()
+    return term if len(term) <= LONGEST else f"#{xxh64_intdigest(term.encode()):016x}"
+
+
+def entities(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Each entity of the text once, with a hash of the words near its first mention; and
+    the words near any mention, as ends by start."""
+    found, beside, stretch = {}, {}, 32 * NEAR
     taken = _reach(spans)
     for a, k, b in spans:
-        entity = f"{KINDS[k]}:{text[a:b].lower()}"
-        if entity in found:
-            continue
         left = max(text.rfind("\n", 0, a) + 1, a - stretch)
         right = text.find("\n", b)
         right = min(len(text) if right < 0 else right, b + stretch)
@@ -118,8 +131,10 @@ def entities(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
         before = [m for m in _TERM.finditer(text, left, a) if m.start() > left or left == 0 or text[left - 1] == "\n"]
         after = [m for m in _TERM.finditer(text, b, right) if m.end() < right or right == len(text) or text[right] == "\n"]
         near = [m for m in (*before[-NEAR:], *after[:NEAR]) if not _touches(m, taken)]
-        found[entity] = xxh64_intdigest(" ".join(m[0].lower() for m in near).encode()) >> 1
-    return list(found.items())
+        beside.update((m.start(), m.end()) for m in near)
+        around = xxh64_intdigest(" ".join(m[0].lower() for m in near).encode()) >> 1
+        found.setdefault(f"{KINDS[k]}:{text[a:b].lower()}", around)
+    return list(found.items()), beside
 
 
 def _reach(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -132,14 +147,14 @@ def _touches(m: re.Match, reach: tuple[list[int], list[int]]) -> bool:
     return i > 0 and reach[1][i - 1] > m.start()
 
 
-def places(text: str, spans: list[tuple[int, int, int]], wanted: Collection[str] | None = None) -> list[tuple]:
-    """(term, starts, ends) of the words of the text, or the wanted ones. Words that
-    touch any match are no terms."""
+def places(text: str, spans: list[tuple[int, int, int]], wanted: "Table | None" = None) -> list[tuple]:
+    """(term, starts, ends) of the words of the text, or of those that may be wanted.
+    Words that touch any match are no terms."""
     found: dict[str, tuple[list[int], list[int]]] = {}
     taken = _reach(spans)
     for m in _TERM.finditer(text):
         if m.end() - m.start() >= LEAST_CHARS:
-            term = m[0].lower()
+            term = named(m[0])
             if (wanted is None or term in wanted) and not _touches(m, taken):
                 starts, ends = found.setdefault(term, ([], []))
                 starts.append(m.start())
@@ -150,47 +165,74 @@ def places(text: str, spans: list[tuple[int, int, int]], wanted: Collection[str]
 FOUND = (
     "row bigint, key bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
     "spans array<struct<start: int, kind: int, `end`: int>>, "
-    "entities array<struct<entity: string, around: bigint>>, "
-    "terms array<struct<term: string, starts: array<int>, ends: array<int>>>"
+    "entities array<struct<entity: string, around: bigint>>, chance double, "
+    "terms array<struct<term: string, starts: array<int>, ends: array<int>, near: boolean>>"
 )
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Pattern matches of every document, and all terms of those that have any. ``row``
+    """Pattern matches of every document, and all terms of those that have any, with
+    whether they stand beside a match; ``chance`` is the share of words that do. ``row``
     tells equal rows apart; it is random, so the table has to be written before use."""
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for keys, doc_ids, texts in batches:
             for key, doc_id, text in zip(keys, doc_ids, texts):
                 spans = base_spans(text)
                 counts = [sum(k == n for _, k, _ in spans) for n in range(len(KINDS))]
-                named, terms = (entities(text, spans), places(text, spans)) if spans else ([], [])
-                yield doc_id, uuid.uuid4().int >> 65, key, *counts, spelled(spans), spans, named, terms
+                known, terms, chance = [], [], 0.0
+                if spans:
+                    known, beside = entities(text, spans)
+                    terms = [(t, a, b, any(x in beside for x in a)) for t, a, b in places(text, spans)]
+                    chance = len(beside) / max(1, sum(len(a) for _, a, _, _ in terms))
+                yield (doc_id, uuid.uuid4().int >> 65, key, *counts, spelled(spans), spans, known, chance, terms)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(docs.select(text_key().alias("key"), "doc_id", "text"), f"doc_id {kind}, {FOUND}", rows)
 
 
-def _documents_with(docs: DataFrame, terms: DataFrame, at_once: int) -> DataFrame:
+class Table:
+    """Terms by one bit of a hash each: what is in has its bit set, and few others do."""
+
+    def __init__(self, bits: bytearray):
+        self.bits, self.mask = bits, 8 * len(bits) - 1
+
+    def __contains__(self, term: str) -> bool:
+        at = xxh64_intdigest(term.encode(), 42) & self.mask
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+
+def table_of(terms: DataFrame, bits: int) -> Table:
+    """The table of a ``term`` column. Its size is fixed: the more terms, the more others
+    pass, and a join tells those apart. Spark combines the bits by blocks of 4 KB."""
+    at = F.pmod(F.xxhash64("term"), F.lit(bits)) + 1
+    blocks = terms.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    found = bytearray(max(bits, 1 << 15) // 8)
+    for r in blocks.toLocalIterator():
+        start = (r.block - 1) << 12
+        found[start: start + len(r.bits)] = r.bits
+    return Table(found[: bits // 8])
+
+
+def _documents_with(docs: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
     """(term, n_t): documents, of all, that hold each of the terms."""
-    wanted = None
-    if terms.count() <= at_once:
-        wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()})
+    wanted = docs.sparkSession.sparkContext.broadcast(table_of(terms, bits))
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         counts: Counter = Counter()
+        table = wanted.value
         for (texts,) in batches:
             for text in texts:
                 if text:
-                    words = {w.lower() for w in set(_TERM.findall(text))}
-                    counts.update(words & wanted.value if wanted else words)
-                if len(counts) > at_once:
+                    counts.update({t for t in set(map(named, set(_TERM.findall(text)))) if t in table})
+                if len(counts) > HELD:
                     yield from counts.items()
                     counts.clear()
         yield from counts.items()
 
     partial = map_rows(docs.select("text"), "term string, n bigint", rows)
     counted = partial.groupBy("term").agg(F.sum("n").alias("n_t"))
-    return counted if wanted else counted.join(terms, "term", "left_semi")
+    return counted.join(terms, "term", "left_semi")
 
 
 def _log_lower(n_et: Column, n_t: Column, texts: Column) -> Column:
@@ -201,71 +243,84 @@ def _log_lower(n_et: Column, n_t: Column, texts: Column) -> Column:
     return F.log((p + z2 / (2 * n) - spread) / (1 + z2 / n))
 
 
-def revealing(docs: DataFrame, seen: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
+def revealing(docs: DataFrame, seen: DataFrame, bits: int = BITS) -> DataFrame:
     """(term, action, wider) of the terms that reveal an entity; ``wider`` tells those
-    that may also stand in documents without any entity."""
+    that may also stand in documents without any entity.
+
+    Entities of the same documents reveal and are revealed alike, so the smallest stands
+    for them, and so it is with terms of the same documents: a list of addresses that is
+    stored twice is one entity and one term.
+    """
     total = seen.count()
     texts = seen.filter(F.size("entities") > 0).select(
-        F.col("row").alias("text"), "entities", F.transform("terms", lambda t: t["term"]).alias("terms")
+        F.col("row").alias("text"), "entities", "chance",
+        F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["near"].alias("near"))).alias("terms"),
     )
+    same = F.sum(F.xxhash64("text").cast("decimal(38,0)")).alias("same")
     mentions = written(texts.select("text", F.explode("entities").alias("e")).select("text", "e.*"), "pii-mentions")
-    counted = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.min("text").alias("only"))
-    # What the entities of one document alone reveal is the same for all: one stands for them.
-    lone = counted.filter("n_e = 1").groupBy("only").agg(F.min("entity").alias("entity"))
-    kept = counted.filter("n_e > 1").select("entity", "n_e").unionByName(
-        lone.select("entity", F.lit(1).cast("long").alias("n_e"))
-    ).filter(F.col("n_e") < total)
+    counted = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), same)
+    kept = counted.groupBy("n_e", "same").agg(F.min("entity").alias("entity")).filter(F.col("n_e") < total)
     # The share cannot reach its limit where n_t exceeds n_e (N / n_e) ** (1 - limit).
     most = F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    kept = written(kept.withColumn("most", most), "pii-entities")
+    kept = written(kept.select("entity", "n_e", most.alias("most")), "pii-entities")
     mentions = written(mentions.join(kept, "entity"), "pii-kept")
     bound = mentions.groupBy("text").agg(F.max("most").alias("most"))
-    held = written(texts.select("text", "terms").join(bound, "text"), "pii-terms-held")
-    held = held.select("text", F.explode("terms").alias("term"), "most")
-    inside = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_in"), F.max("most").alias("most"))
-    terms = written(inside.filter("n_in <= most"), "pii-terms")
+    held = texts.join(bound, "text").select("text", "chance", "most", F.explode("terms").alias("t"))
+    held = written(held.select("text", "chance", "most", "t.*"), "pii-terms-held")
+    beside = F.min("near") & (F.max("chance") <= BY_CHANCE)
+    inside = held.groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_in"), F.max("most").alias("most"), beside.alias("beside"), same)
+    terms = written(inside.filter("n_in <= most AND (n_in > 1 OR beside)"), "pii-terms")
     if terms.isEmpty():
         return terms.select("term", F.lit("").alias("action"), F.lit(False).alias("wider"))
-    with_term = _documents_with(docs, terms.select("term"), at_once).join(terms, "term")
-    with_term = written(with_term.filter("n_t <= most").select("term", "n_t", "n_in"), "pii-counts")
-    rare = written(held.join(with_term, "term").filter("n_t <= most").select("text", "term", "n_t", "n_in"), "pii-rare")
+    with_term = _documents_with(docs, terms.select("term"), bits).join(terms, "term")
+    with_term = written(with_term.filter("n_t <= most AND (n_in > 1 OR n_t = 1)").drop("most"), "pii-counts")
+
+    several = with_term.filter("n_in > 1")
+    alike = ["n_in", "n_t", "same"]
+    first = written(several.groupBy(*alike).agg(F.min("term").alias("term")), "pii-classes")
+    rare = written(held.join(first, "term").filter("n_t <= most").select("text", *alike), "pii-rare")
     pairs = rare.join(mentions.select("text", "entity", "around", "n_e"), "text")
-    around = pairs.groupBy("entity", "term", "n_e", "n_t", "n_in", "around").agg(F.count(F.lit(1)).alias("n"))
-    judged = around.groupBy("entity", "term", "n_e", "n_t", "n_in").agg(
-        F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")
-    )
-    information = F.log(total / F.col("n_e"))
-    share = 1 + _log_lower(F.col("n_et"), F.col("n_t"), F.col("texts")) / information
-    judged = judged.withColumn("share", share).filter(F.col("share") >= GENERALISE)
-    best = judged.groupBy("term").agg(F.max("share").alias("share"), F.max(F.col("n_t") > F.col("n_in")).alias("wider"))
+    pair = ["entity", *alike, "n_e"]
+    around = pairs.groupBy(*pair, "around").agg(F.count(F.lit(1)).alias("n"))
+    judged = around.groupBy(*pair).agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
+    share = 1 + _log_lower(F.col("n_et"), F.col("n_t"), F.col("texts")) / F.log(total / F.col("n_e"))
+    # Copies of one text only, and always with the entity.
+    alone = (F.col("texts") == 1) & (F.col("n_et") == F.col("n_t"))
+    best = judged.groupBy(*alike).agg(
+        F.max(F.when(F.col("texts") > 1, share)).alias("share"), F.max(alone).alias("alone"))
+    best = best.filter((F.col("share") >= GENERALISE) | F.col("alone"))
+
+    flagged = several.join(best, alike).filter((F.col("share") >= GENERALISE) | (F.col("alone") & F.col("beside")))
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    return best.select("term", action.alias("action"), "wider")
+    flagged = flagged.select("term", action.alias("action"), (F.col("n_t") > F.col("n_in")).alias("wider"))
+    lone = with_term.filter("n_in = 1").select("term", F.lit("generalise").alias("action"), F.lit(False).alias("wider"))
+    return flagged.unionByName(lone)
 
 
-def _elsewhere(docs: DataFrame, flagged: DataFrame, at_once: int) -> DataFrame:
+def _elsewhere(docs: DataFrame, flagged: DataFrame, bits: int) -> DataFrame:
     """(key, term, starts, ends) of the flagged terms in documents without any entity."""
-    few = flagged.count() <= at_once
-    wanted = docs.sparkSession.sparkContext.broadcast({r.term for r in flagged.collect()}) if few else None
+    wanted = docs.sparkSession.sparkContext.broadcast(table_of(flagged, bits))
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for keys, texts in batches:
             for key, text in zip(keys, texts):
                 if text and not base_spans(text):
-                    for found in places(text, [], wanted.value if wanted else None):
+                    for found in places(text, [], wanted.value):
                         yield key, *found
 
     schema = "key bigint, term string, starts array<int>, ends array<int>"
     found = map_rows(docs.select(text_key().alias("key"), "text"), schema, rows)
-    return found if few else found.join(flagged, "term", "left_semi")
+    return found.join(flagged, "term", "left_semi")
 
 
-def added_spans(docs: DataFrame, seen: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
+def added_spans(docs: DataFrame, seen: DataFrame, bits: int = BITS) -> DataFrame:
     """(key, added): the spans of revealing terms by document, start, end and action."""
-    flagged = written(revealing(docs, seen, at_once), "pii-revealing")
-    places = seen.select("key", F.explode("terms").alias("t")).select("key", "t.*")
+    flagged = written(revealing(docs, seen, bits), "pii-revealing")
+    places = seen.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.starts", "t.ends")
     wider = flagged.filter("wider").select("term")
     if not wider.isEmpty():
-        places = places.unionByName(_elsewhere(docs, wider, at_once))
+        places = places.unionByName(_elsewhere(docs, wider, bits))
     hits = places.join(flagged.select("term", "action"), "term")
     # Rows equal in id and text have one key.
     hits = hits.dropDuplicates(["key", "term"])
@@ -274,7 +329,7 @@ def added_spans(docs: DataFrame, seen: DataFrame, at_once: int = COUNTED_AT_ONCE
     return listed.select("key", F.sort_array("added").alias("added"))
 
 
-def detected(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
+def detected(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, spans and added spans.
 
     ``base`` and ``spans`` are kind:start:end in code points, end exclusive, by start and
@@ -284,7 +339,7 @@ def detected(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
     table gives an empty result.
     """
     seen = written(found(docs), "pii-found")
-    out = seen.drop("row", "terms", "entities").join(added_spans(docs, seen, at_once), "key", "left")
+    out = seen.drop("row", "terms", "entities", "chance").join(added_spans(docs, seen, bits), "key", "left")
     struct = "array<struct<start: int, kind: int, `end`: int>>"
     terms = F.transform(F.coalesce("added", F.array().cast("array<struct<start:int,`end`:int,action:string>>")),
                         lambda s: F.struct(s["start"], F.lit(len(KINDS)).alias("kind"), s["end"]))
@@ -318,11 +373,11 @@ def masked(text: str | None, added: list | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, at_once: int = COUNTED_AT_ONCE) -> DataFrame:
+def sanitised(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """All rows and columns of ``docs`` with the text masked; NULL texts stay NULL."""
     seen = written(found(docs), "pii-found")
     key, extra = unused(docs, "_key"), unused(docs, "_added")
-    added = written(added_spans(docs, seen, at_once), "pii-added").select(
+    added = written(added_spans(docs, seen, bits), "pii-added").select(
         F.col("key").alias(key), F.col("added").alias(extra)
     )
     # Texts without added spans are the most by far; where the added ones are few,
