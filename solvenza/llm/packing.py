@@ -14,6 +14,7 @@ lengths) form step groups of equally many tokens.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from solvenza.llm.common import map_rows
-from solvenza.llm.tokens import PATTERN, bpe, read_spec
+from solvenza.llm.tokens import PATTERN, bpe, byte_letters, read_spec
 
 TIERS = (256, 512, 1024, 2048)
 END_OF_TEXT = 1         # id after every document
@@ -45,13 +46,18 @@ SCHEMA = (
 
 @lru_cache(maxsize=2)
 def library(spec: str) -> tiktoken.Encoding | None:
-    """The tokenizer library under the same vocabulary, if its ids follow the merges."""
-    coder = bpe(spec)
-    merged = coder.ids[256:]
+    """The tokenizer library under the same vocabulary, if its ids follow the merges. Made
+    from the file alone: the operator of ``tokens`` is built only where it is needed."""
+    loaded = json.loads(spec)
+    vocabulary, special = loaded["model"]["vocab"], {t["content"]: t["id"] for t in loaded.get("added_tokens") or []}
+    letters = byte_letters()
+    to_byte = {letter: b for b, letter in enumerate(letters)}
+    names = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in loaded["model"]["merges"]]
+    merged = [vocabulary[n] for n in names]
     if merged != sorted(merged):
         return None
-    ranks = {text: i for i, text in coder.texts.items() if i not in coder.special.values()}
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=coder.special)
+    ranks = {bytes(map(to_byte.__getitem__, n)): vocabulary[n] for n in (*letters, *names)}
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _long_run(text: str) -> bool:
@@ -100,13 +106,12 @@ class Packer:
         self.done: dict[int, list[list[Piece]]] = {}
 
     def add(self, doc_id: object, ids: bytes) -> Iterator[tuple]:
-        tokens, longest, start = len(ids) // 4, self.tiers[-1], 0
-        rest = Piece(tokens, self._next(), (doc_id, tokens), start, ids)
-        while rest.length >= longest:
-            head, rest = rest.cut(longest, self._next())
-            self._close([head], longest)
-        if rest.length:
-            insort(self.pool, rest)
+        tokens, longest = len(ids) // 4, self.tiers[-1]
+        doc, whole = (doc_id, tokens), tokens - tokens % longest
+        for start in range(0, whole, longest):
+            self._close([Piece(longest, self._next(), doc, start, ids[4 * start: 4 * (start + longest)])], longest)
+        if tokens > whole:
+            insort(self.pool, Piece(tokens - whole, self._next(), doc, whole, ids[4 * whole:]))
         if len(self.pool) >= self.limit or sum(map(len, self.done.values())) >= self.limit:
             self._fill()
             yield from self._steps(last=False)

@@ -141,10 +141,11 @@ class Bpe:
         found = self.piece_cache.get(piece)
         if found is None:
             raw = piece if piece.isascii() else piece.encode().decode("latin-1")
-            last, at, found = self.last_tokens(raw), len(raw) - 1, b""
+            last, at, back = self.last_tokens(raw), len(raw) - 1, []
             while at >= 0:
-                found = self.packed[last[at]] + found
+                back.append(self.packed[last[at]])
                 at -= self.sizes[last[at]]
+            found = b"".join(reversed(back))
             if len(piece) <= CACHED_CHARS:
                 if len(self.piece_cache) >= CACHED:
                     self.piece_cache.clear()

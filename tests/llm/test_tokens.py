@@ -126,3 +126,27 @@ def test_long_windows_take_shorter_documents_whole():
 def test_tiers_must_be_powers_of_two():
     with pytest.raises(ValueError):
         Packer(0, tiers=(100, 200))
+
+
+def seconds(fn):
+    import time
+    begin = time.perf_counter()
+    fn()
+    return time.perf_counter() - begin
+
+
+def test_a_long_piece_takes_linear_time(coder, library):
+    short, long = "xq" * 100_000, "xq" * 1_000_000
+    assert ids_of(coder.encode(short)) == library.encode(short, add_special_tokens=False).ids
+    first = min(seconds(lambda: coder.encode(short)) for _ in range(3))
+    assert seconds(lambda: coder.encode(long)) < 40 * first
+
+
+def test_a_long_document_packs_in_linear_time():
+    def pack(tokens):
+        packer = Packer(0)
+        return sum(1 for _ in [*packer.add(1, bytes(4 * tokens)), *packer.finish()])
+
+    assert pack(5 * 2048 + 3) == 7
+    first = min(seconds(lambda: pack(500_000)) for _ in range(3))
+    assert seconds(lambda: pack(5_000_000)) < 40 * max(first, 0.005)
