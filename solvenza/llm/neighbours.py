@@ -29,9 +29,9 @@ from solvenza.llm.common import written
 from solvenza.session import shared_dir
 
 NEAREST = 24        # neighbours of a vector in the graph
-BLOCK = 2048        # vectors compared with each other at the start
+BLOCK = 2048        # vectors compared with each other at the start, at most
+LEAST_BLOCK, PARTS = 64, 8      # and at most a part of all, unless they are very few
 PROJECTIONS = 4     # orders in which they are blocked
-ROUNDS = 4          # of improvement, at most
 ENOUGH = 0.02       # share of new links below which improvement ends
 BEAM, EXPANDED = 256, 64
 RESCORED = 64       # of a beam, by the original vectors
@@ -245,23 +245,25 @@ def _met(dimension: int):
     return run
 
 
-def build(nodes: DataFrame, n: int, dimension: int, nearest: int = NEAREST, block: int = BLOCK,
-          rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of the nodes (node, vec, code): node, ids, sims, fresh."""
+def build(nodes: DataFrame, n: int, dimension: int, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
+    """The neighbour graph of the nodes (node, vec, code): node, ids, sims, fresh.
+
+    Rounds go on until few links are new. Every round a link is either kept or gives way to
+    a closer one, so they end; usually after about as many as log2(n) / 2.
+    """
     codes = nodes.select("node", "code")
-    graph = _start(nodes, n, dimension, nearest, block)
-    for _ in range(rounds if n > block else 0):
+    graph = _start(nodes, n, dimension, nearest, min(block, max(LEAST_BLOCK, n // PARTS)))
+    while True:
         met = _members(graph, codes, nearest).repartition("at").sortWithinPartitions("at")
         better = met.mapInArrow(_met(dimension), GRAPH)
         old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
         dealt = old.unionByName(better).repartition("node").sortWithinPartitions("node")
         graph = written(dealt.mapInArrow(_merged(nearest), GRAPH), "nn-graph")
         share = graph.agg(
-            F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("ids"))
+            F.try_divide(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids")))
         ).first()[0]
         if not share or share < ENOUGH:
-            break
-    return graph
+            return graph
 
 
 # --- search ----------------------------------------------------------------------
@@ -370,7 +372,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dimension: in
 
 def nearest_neighbours(
     vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector: str = "embedding", top: int = TOP,
-    nearest: int = NEAREST, block: int = BLOCK, beam: int = BEAM, rounds: int = ROUNDS,
+    nearest: int = NEAREST, block: int = BLOCK, beam: int = BEAM,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest vectors found for each query.
 
@@ -401,13 +403,17 @@ def nearest_neighbours(
     nodes = written(keyed.select("node", "vec").mapInArrow(
         _code(dimension), "node bigint, vec array<double>, code binary"), "nn-nodes")
     n, codes = nodes.count(), nodes.select("node", "code")
-    graph = build(nodes, n, dimension, nearest, block, rounds)
+    graph = build(nodes, n, dimension, nearest, block)
     asked = every.filter(queries).select(F.col("vec_id").alias("query_id"), F.xxhash64("key").alias("node")).distinct()
     asked = written(asked, "nn-queries")
     state = search(graph, codes, codes.join(asked.select("node").distinct(), "node", "left_semi"), dimension, nearest, beam)
     # Score on the original vectors, the query's own class among the candidates.
     found = state.select("node", F.explode(F.concat(F.array("node"), F.slice("ids", 1, RESCORED))).alias("other"))
-    of = keyed.select("node", "vec", "members")
+    # Scaled by a power of two: the same digits, and squares that stay in range.
+    size = F.array_max(F.transform("vec", lambda x: F.abs(x)))
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(size)))
+    scaled = keyed.withColumn("s", scale).withColumn("vec", F.transform("vec", lambda x: x / F.col("s")))
+    of = scaled.select("node", "vec", "members")
     found = found.join(of.select(F.col("node").alias("other"), F.col("vec").alias("v"), "members"), "other")
     found = found.join(of.select("node", "vec"), "node")
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from solvenza.llm.neighbours import nearest_neighbours
 
-SCHEMA = "vec_id long, embedding array<float>, label int, node long, code string, key string"
+SCHEMA = "vec_id long, embedding array<{}>, label int, node long, code string, key string"
 
 
-def table(spark, rows):
-    return spark.createDataFrame([(i, v, 0, 1, "c", "k") for i, v in rows], SCHEMA)
+def table(spark, rows, kind="float"):
+    return spark.createDataFrame([(i, v, 0, 1, "c", "k") for i, v in rows], SCHEMA.format(kind))
 
 
 def answers(found):
@@ -68,3 +68,15 @@ def test_fewer_candidates_than_asked_for(spark):
     assert nearest_neighbours(table(spark, [(0, [1.0, 0.0])]), F.col("vec_id") == 0).collect() == []
     assert nearest_neighbours(table(spark, []), F.col("vec_id") == 0).collect() == []
     assert nearest_neighbours(table(spark, [(0, None)]), F.col("vec_id") == 0).collect() == []
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e-200, 2e-200]), (2, [3.0, 1.0]), (3, [1e200, -2e200]), (4, [5e-324, 0.0]), (5, [1.7e308, 1.7e308])]
+    found = answers(nearest_neighbours(table(spark, rows, "double"), F.col("vec_id") >= 0))
+    units = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    for q, near in found.items():
+        assert len(near) == 5
+        for i, s in near:
+            x, y = units[q], units[i]
+            assert s == pytest.approx(x @ y / np.sqrt((x @ x) * (y @ y)), abs=1e-12)
+    assert found[0][0][0] == 1 and found[0][-1] == (3, pytest.approx(-0.6))
