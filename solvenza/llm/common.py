@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import pathlib
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from solvenza import session
 from solvenza.session import shared_dir
 
 # What separates words: space and the five control characters from tab on.
@@ -33,16 +31,7 @@ def ship(spark: SparkSession) -> None:
     """
     if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
-    context = spark.sparkContext
-    if getattr(context, "_solvenza_shipped", False):
-        return
-    package = pathlib.Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="solvenza-"), "solvenza_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(path)
-    context._solvenza_shipped = True
+    session.ship(spark)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -107,3 +96,41 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+def bit_table(keys: DataFrame, key: str, bits: int) -> bytearray:
+    """A bit for every 64-bit ``key``, at its lowest bits. Spark combines them by blocks of
+    4 KB, so what reaches the driver has the size of the table, however many keys."""
+    bits = max(bits, 1 << 15)       # a power of two
+    at = F.pmod(key, F.lit(bits)) + 1
+    blocks = keys.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    found = bytearray(bits // 8)
+    for r in blocks.toLocalIterator():
+        found[(r.block - 1) << 12: r.block << 12] = r.bits
+    return found
+
+
+def maybe_repeated(df: DataFrame, key: str, bits: int) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``key`` occurs more than once, and few others, told
+    without a shuffle by a table of a fixed size. With very many keys most others pass."""
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return maybe_in(df, key, bit_table(twice, key, bits))
+
+
+def maybe_in(df: DataFrame, key: str, table: bytearray) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``key`` has its bit set."""
+    held, place = df.sparkSession.sparkContext.broadcast(bytes(table)), df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(bits_of(batch.column(place), held.value))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def bits_of(keys: pa.Array, table: bytes) -> pa.Array:
+    """Whether the bit of each key is set."""
+    at = keys.to_numpy().view(np.uint64) & np.uint64(8 * len(table) - 1)
+    found = np.frombuffer(table, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+    return pa.array(found.astype(bool))

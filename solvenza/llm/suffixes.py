@@ -5,14 +5,15 @@ shorter strings inside, so equal windows have equal anchors at the same place, a
 neighbouring windows mostly share one. A stretch is a run of windows with one anchor;
 there is one per about 150 bytes. Stretches are all that is shuffled:
 
-1. Stretches whose anchor occurs once hold no repeat and go.
+1. Stretches whose anchor occurs once hold no repeat; a table of bits tells most of them.
 2. Equal stretches become one; if there were several, every window of theirs repeats.
 3. The bytes of one of each are dealt by anchor. Each task sorts the windows of its
-   anchors in suffix order, by prefix doubling through ``length`` bytes. Windows equal
-   that far are neighbours and lie by position, so the neighbour before is the previous
-   smaller position, and the longest previous factor reaches ``length``.
-4. An anchor with more bytes than a task should hold is not sorted: its windows are
-   hashed, and Spark counts equal ones.
+   anchors in suffix order, by prefix doubling through ``length`` bytes, and finds the
+   nearest earlier positions before and after each window in that order. The longer
+   common prefix with one of the two is the window's longest previous factor; where it
+   reaches ``length`` the window is a copy, and the position found is its source.
+4. An anchor with more bytes than a task should hold is not dealt: its windows are
+   hashed, and Spark counts equal ones. What an anchor holds is summed up before.
 
 Every later copy of a window is removed, or every copy, and what remains is joined.
 """
@@ -26,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from solvenza.llm.common import map_rows, text_key, unused, written
+from solvenza.llm.common import map_rows, maybe_repeated, text_key, unused, written
 
 LENGTH = 400
-TASK_BYTES = 2 << 20        # bytes of an anchor's stretches that are sorted in a task
-SORT_BYTES = 1 << 20        # bytes sorted at a time
-BLOCK = 1 << 20             # windows of a text hashed at a time
+ANCHOR_BITS = 1 << 27        # of the table of anchors that occur twice
+TASK_BYTES = 1 << 20        # bytes of an anchor's stretches that are sorted in a task
+SORT_BYTES = 1 << 19        # bytes sorted at a time
+BLOCK = 1 << 16             # windows of a text hashed at a time
 RANGES = "array<struct<a: int, b: int>>"
 
 
@@ -145,39 +147,86 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length`` bytes from each position, equal for equal bytes, in
-    suffix order. The last ``length`` positions have no meaning."""
-    size = 1 << min(3, length.bit_length() - 1)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    ranks = np.zeros(len(data), np.uint64)
-    for i in range(size):
-        ranks = ranks << np.uint64(8) | padded[i: i + len(data)]
-    ranks = _ranked(ranks)
+def rank_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, ranks) for sizes 1, 2, 4, ... and ``length``: positions of equal ranks have
+    equal ``size`` bytes, and greater ranks greater ones. The last ``length`` positions
+    have no meaning."""
+    levels, size = [(1, data.astype(np.uint32))], 1
     while size < length:
         step = min(size, length - size)
-        beside = np.concatenate([ranks[step:], np.zeros(step, np.uint64)])
-        ranks = _ranked(ranks << np.uint64(32) | beside)
+        before = levels[-1][1].astype(np.uint64)
+        beside = np.concatenate([before[step:], np.zeros(step, np.uint64)])
+        joined = before << np.uint64(32) | beside
         size += step
-    return ranks
+        # Two and four bytes are numbers themselves.
+        short = size in (2, 4)
+        shift, low = np.uint64(8 * step), np.uint64(0xFFFFFFFF)
+        levels.append((size, ((joined >> np.uint64(32)) << shift | joined & low if short else _ranked(joined)).astype(np.uint32)))
+    return levels
+
+
+def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the ``length`` bytes from each position, equal for equal bytes, in
+    suffix order."""
+    return rank_levels(data, length)[-1][1]
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """Place of the nearest smaller number before each one, -1 where there is none. Every
+    round jumps from a place that is too large to the one that it points to itself: all
+    between them are larger still."""
+    found = np.arange(-1, len(x) - 1)
+    todo = np.arange(1, len(x))
+    while True:
+        todo = todo[found[todo] >= 0]
+        todo = todo[x[found[todo]] > x[todo]]
+        if not len(todo):
+            return found
+        found[todo] = found[found[todo]]
+
+
+def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the strings at positions a and b, at most the size of
+    the last level."""
+    length, whole = levels[-1]
+    at = np.zeros(len(a), np.int64)
+    last = len(whole) - 1
+    for size, ranks in reversed(levels[:-1]):
+        x, y = a + at, b + at
+        fits = (at + size <= length) & (x <= last) & (y <= last)
+        same = ranks[np.minimum(x, last)] == ranks[np.minimum(y, last)]
+        at += np.where(fits & same, size, 0)
+    at[whole[a] == whole[b]] = length
+    return at
+
+
+def longest_previous(levels: list[tuple[int, np.ndarray]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending positions ``at`` the longest previous factor, through the
+    last level's size, and the index of an earlier position that has it, or -1."""
+    order = np.argsort(levels[-1][1][at], kind="stable")    # suffix order, ties by position
+    turned = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
+    sides = []
+    for near in (nearest_smaller(order), np.where(turned < len(order), turned, -1)):
+        source = np.full(len(at), -1)
+        source[order] = np.where(near >= 0, order[near], -1)
+        reach = common_prefix(levels, at, at[source])
+        sides.append((np.where(source >= 0, reach, 0), source))
+    (a, i), (b, j) = sides
+    return np.maximum(a, b), np.where(a >= b, i, j)
 
 
 def repeats(slices: list[bytes], windows: list[int], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each slice, which of its windows occur anywhere else in the slices, and which
     occur earlier. Slices come in order of position."""
     data = np.frombuffer(b"".join(slices), np.uint8)
-    ranks = window_ranks(data, length)
     begin = np.concatenate([[0], np.cumsum([len(s) for s in slices])[:-1]])
     at = np.concatenate([np.arange(b, b + w) for b, w in zip(begin, windows)])
-    order = np.argsort(ranks[at], kind="stable")     # suffix order, ties by position
-    ordered = ranks[at][order]
-    same = ordered[1:] == ordered[:-1]               # common prefix of at least ``length``
-    earlier = np.empty(len(at), bool)
-    later = np.empty(len(at), bool)
-    earlier[order] = np.concatenate([[False], same])
-    later[order] = np.concatenate([same, [False]])
+    factors, source = longest_previous(rank_levels(data, length), at)
+    earlier = factors >= length
+    anywhere = earlier.copy()
+    anywhere[source[earlier]] = True    # the first of equal windows is the second one's source
     ends = np.cumsum(windows)[:-1]
-    return list(zip(np.split(earlier | later, ends), np.split(earlier, ends)))
+    return list(zip(np.split(anywhere, ends), np.split(earlier, ends)))
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -186,45 +235,29 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
 
 
-def _sorted_groups(length: int, task_bytes: int, sort_bytes: int):
+def _sorted_groups(length: int, sort_bytes: int):
     """Rows (anchor, content, doc_id, key, start, windows, bytes), sorted by anchor and
-    content, to (anchor, content, all, earlier, crowded)."""
-    def judge(groups: list[list[tuple]]) -> Iterator[tuple]:
-        rows = [r for g in groups for r in g]
+    content, to (anchor, content, anywhere, earlier)."""
+    def judge(rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: (r[2] is None, r[2] if r[2] is not None else 0, r[3], r[4]))
         found = repeats([r[6] for r in rows], [r[5] for r in rows], length)
         for r, (anywhere, earlier) in zip(rows, found):
             if anywhere.any():
-                yield r[0], r[1], runs(anywhere), runs(earlier), False
+                yield r[0], r[1], runs(anywhere), runs(earlier)
 
     def run(batches: Iterator[list[list]]) -> Iterator[tuple]:
-        ready, ready_bytes = [], 0
-        group, group_bytes, crowded = [], 0, False
+        held, held_bytes = [], 0
         for batch in batches:
             for row in zip(*batch):
-                if group and row[0] != group[-1][0]:
-                    if not crowded:
-                        ready.append(group)
-                        ready_bytes += group_bytes
-                    if ready_bytes >= sort_bytes:
-                        yield from judge(ready)
-                        ready, ready_bytes = [], 0
-                    group, group_bytes, crowded = [], 0, False
-                if group and group[-1][1] == row[1]:
+                if held and held[-1][:2] == row[:2]:
                     continue    # a repeated row of documents
-                if crowded:
-                    yield row[0], row[1], None, None, True
-                    group = [row[:2]]
-                    continue
-                group.append(row)
-                group_bytes += len(row[6])
-                if group_bytes > task_bytes:
-                    yield from ((r[0], r[1], None, None, True) for r in group)
-                    group, crowded = [row[:2]], True
-        if group and not crowded:
-            ready.append(group)
-        if ready:
-            yield from judge(ready)
+                if held_bytes >= sort_bytes and held[-1][0] != row[0]:
+                    yield from judge(held)
+                    held, held_bytes = [], 0
+                held.append(row)
+                held_bytes += len(row[6])
+        if held:
+            yield from judge(held)
 
     return run
 
@@ -286,48 +319,51 @@ def _runs_of(places: list[int]) -> list[tuple[int, int]]:
 
 # --- operator ---------------------------------------------------------------------
 
+def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted stretches, with their places."""
+    pieces = F.collect_list(F.struct("anchor", "content", "start", "windows"))
+    wanted = wanted.groupBy("_key").agg(pieces.alias("w"))
+    texts = docs.select(text_key().alias("key"), "doc_id", F.encode("text", "utf-8").alias("t"))
+    texts = texts.join(wanted, F.col("key") == F.col("_key")).select("key", "doc_id", "t", "w")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[list[list]]) -> Iterator[tuple]:
+        for batch in batches:
+            for key, doc_id, text, pieces in zip(*batch):
+                for p in pieces:
+                    a, n = p["start"], p["windows"]
+                    yield p["anchor"], p["content"], doc_id, key, a, n, text[a: a + n + length - 1]
+
+    schema = f"anchor bigint, content bigint, doc_id {kind}, key bigint, start int, windows int, bytes binary"
+    return map_rows(texts, schema, cut)
+
+
 def repeated_windows(
     docs: DataFrame, length: int = LENGTH, task_bytes: int = TASK_BYTES, sort_bytes: int = SORT_BYTES
 ) -> DataFrame:
     """(key, anywhere, earlier): by text key, the first windows and ends of runs of
     windows that occur anywhere else, and that occur earlier by doc_id, key and start."""
     every = written(all_stretches(docs, length), "suffix-stretches")
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     # Both sides of the joins by anchor are written tables, so that the stretches of a
     # passage in very many texts are split.
-    shared = written(every.join(written(twice, "suffix-twice"), "anchor", "left_semi"), "suffix-shared")
+    shared = written(maybe_repeated(every, "anchor", ANCHOR_BITS), "suffix-shared")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
     distinct = shared.groupBy("anchor", "content", "windows").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first")
     )
     distinct = written(distinct, "suffix-distinct")
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    wanted = distinct.join(written(several, "suffix-several"), "anchor", "left_semi").select(
-        F.col("first.key").alias("_key"), "anchor", "content", "first.start", "windows"
-    )
-    wanted = wanted.groupBy("_key").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("w"))
-    texts = docs.select(text_key().alias("key"), "doc_id", F.encode("text", "utf-8").alias("t"))
-    texts = texts.join(wanted, F.col("key") == F.col("_key")).select("key", "doc_id", "t", "w")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches: Iterator[list[list]]) -> Iterator[tuple]:
-        for batch in batches:
-            for key, doc_id, text, pieces in zip(*batch):
-                for p in pieces:
-                    a, n = p["start"], p["windows"]
-                    yield p["anchor"], p["content"], doc_id, key, a, n, text[a: a + n + length - 1]
-
-    schema = f"anchor bigint, content bigint, doc_id {kind}, key bigint, start int, windows int, bytes binary"
-    slices = map_rows(texts, schema, cut)
-    dealt = slices.repartition("anchor").sortWithinPartitions("anchor", "content")
-    judged = written(map_rows(
-        dealt, f"anchor bigint, content bigint, anywhere {RANGES}, earlier {RANGES}, crowded boolean",
-        _sorted_groups(length, task_bytes, sort_bytes),
+    size = F.sum((F.col("windows") + (length - 1)).cast("long"))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), size.alias("bytes"))
+    several = written(several.filter("c > 1").select("anchor", (F.col("bytes") > task_bytes).alias("crowded")), "suffix-several")
+    wanted = distinct.join(several, "anchor").select(
+        F.col("first.key").alias("_key"), "anchor", "content", "first.start", "windows", "crowded")
+    dealt = _slices(docs, wanted.filter("NOT crowded"), length).repartition("anchor")
+    found = written(map_rows(
+        dealt.sortWithinPartitions("anchor", "content"),
+        f"anchor bigint, content bigint, anywhere {RANGES}, earlier {RANGES}", _sorted_groups(length, sort_bytes),
     ), "suffix-judged")
-    found = judged.filter("NOT crowded").drop("crowded")
-    crowded = judged.filter("crowded").select("anchor", "content")
-    if not crowded.isEmpty():
-        many = slices.join(crowded, ["anchor", "content"], "left_semi").dropDuplicates(["anchor", "content"])
+    if not several.filter("crowded").isEmpty():
+        many = _slices(docs, wanted.filter("crowded"), length).dropDuplicates(["anchor", "content"])
         found = found.unionByName(_counted(written(many, "suffix-crowded"), length))
     known = distinct.filter("n > 1").join(found, ["anchor", "content"], "full").select(
         "anchor", "content", F.coalesce("n", F.lit(1)).alias("n"), "first", "anywhere", "earlier"
@@ -365,6 +401,15 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
+def _with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The columns of ``docs`` and, last, the windows found in each text."""
+    own = unused(docs, "_own")
+    key, windows = unused(docs, f"{own}_key"), unused(docs, f"{own}_windows")
+    found = found.select(F.col("key").alias(key), F.col("w").alias(windows))
+    joined = docs.withColumn(own, text_key()).join(found, F.col(own) == F.col(key), "left")
+    return joined.select(*docs.columns, windows)
+
+
 def deduplicated(
     docs: DataFrame, length: int = LENGTH, keep: str = "none", task_bytes: int = TASK_BYTES,
     sort_bytes: int = SORT_BYTES,
@@ -377,13 +422,12 @@ def deduplicated(
     NULL and empty texts keep nothing and lose nothing. Rows equal in doc_id and text are
     copies of each other: both lose all with "none"; with "first" they have one place and
     so equal results. NULL doc_ids come last. An empty table gives an empty result.
+    Columns named like the two results are replaced, others pass through.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("kept", "removed")])
     mine = {"none": "anywhere", "first": "earlier"}[keep]
     found = repeated_windows(docs, length, task_bytes, sort_bytes).select("key", F.col(mine).alias("w"))
-    names, own, windows = docs.columns, unused(docs, "_own"), unused(docs, "_windows")
-    found = found.select(F.col("key").alias(f"{own}_key"), F.col("w").alias(windows))
-    joined = docs.withColumn(own, text_key()).join(found, F.col(own) == F.col(f"{own}_key"), "left")
-    place = names.index("text")
+    place = docs.columns.index("text")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for batch in batches:
@@ -393,20 +437,24 @@ def deduplicated(
 
     span = T.StructType().add("start", "integer").add("end", "integer")
     schema = T.StructType(list(docs.schema)).add("kept", T.BinaryType()).add("removed", T.ArrayType(span))
-    return map_rows(joined.select(*names, windows), schema, rows)
-
+    return map_rows(_with_windows(docs, found), schema, rows)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """The rows and columns of ``docs`` with the repeats cut out of the text. A character
-    of which a byte is removed goes whole; NULL texts stay NULL."""
-    cut = deduplicated(docs, length, keep)
-    place, kept = docs.columns.index("text"), len(docs.columns)
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", least_words: int = 0) -> DataFrame:
+    """The rows and columns of ``docs`` with the repeats cut out of the text, those of at
+    least ``least_words`` words, as far as they lie inside. A character of which a byte is
+    removed goes whole; NULL texts stay NULL. Columns may have any names."""
+    mine = {"none": "anywhere", "first": "earlier"}[keep]
+    found = repeated_windows(docs, length).select("key", F.col(mine).alias("w"))
+    place = docs.columns.index("text")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for batch in batches:
-            for row in zip(*batch):
-                text = None if row[place] is None else row[kept].decode("utf-8", "ignore")
-                yield (*row[:place], text, *row[place + 1:kept])
+            for *row, found in zip(*batch):
+                if found:
+                    data = row[place].encode()
+                    spans = [(a, b) for a, b in _spans(found, length) if len(data[a:b].split()) >= least_words]
+                    row[place] = kept_bytes(data, spans).decode("utf-8", "ignore")
+                yield tuple(row)
 
-    return map_rows(cut, docs.schema, rows)
+    return map_rows(_with_windows(docs, found), docs.schema, rows)

@@ -11,6 +11,7 @@ import corpus_pipeline as pipeline
 from solvenza.llm import pii
 from solvenza.llm.packing import token_ids
 from solvenza.llm.simhash import fingerprint
+from solvenza.llm.suffixes import runs
 from solvenza.llm.tokens import read_spec
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert [n for n in (f"op{i}_" for i in range(1, 11)) if not any(q.startswith(n) for q in names)] == []
+    assert [n for n in (f"op{i}_" for i in range(1, 14)) if not any(q.startswith(n) for q in names)] == []
     assert "pipeline" in names and len(pipeline.STAGES) == 5
 
 
@@ -70,6 +71,9 @@ def test_passages_stay_once(stages):
             if data[i:i + size] in seen:
                 gone[i:i + size] = b"\1" * size
             seen.add(data[i:i + size])
+        for a, b in runs(np.frombuffer(bytes(gone), np.uint8) > 0):
+            if len(data[a:b].split()) < pipeline.PASSAGE_WORDS:
+                gone[a:b] = bytes(b - a)
         kept = bytes(x for x, g in zip(data, gone) if not g).decode("utf-8", "ignore")
         assert after[doc_id].text == kept and after[doc_id].n_chars == len(kept)
 
@@ -95,11 +99,19 @@ def test_packing_holds_every_token(stages):
 @pytest.mark.parametrize("position", range(5))
 def test_stages_take_nulls_repeats_and_nothing(spark, position):
     schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    clashing = ("kept", "removed", "repeats", "added", "_own", "_own_key", "key", "windows", "w")
     rng = random.Random(position)
     text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (None, "x", "en", "s", 1),
             (None, None, None, None, None), (3, "", "en", "s", 0)]
     _, stage = pipeline.STAGES[position]
     for data in (rows, []):
-        made = stage(spark, spark.createDataFrame(data, schema), FOLDER).collect()
+        docs = spark.createDataFrame(data, schema)
+        made = stage(spark, docs, FOLDER).collect()
         assert bool(made) == bool(data)
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit(name))
+    made = stage(spark, spark.createDataFrame([(*r, *clashing) for r in rows], docs.schema), FOLDER)
+    assert made.count() > 0
+    if position < 4:
+        assert made.columns == docs.columns and {tuple(r)[5:] for r in made.collect()} == {clashing}

@@ -99,3 +99,44 @@ def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 1 << 60, 100, np.uint64)
     for w in (1, 2, 7, 100):
         assert np.array_equal(suffixes.sliding_min(x, w), [x[i:i + w].min() for i in range(101 - w)])
+
+
+def test_longest_previous_factors():
+    """Every factor against all earlier positions, and its source."""
+    rng = random.Random(6)
+    for n in range(60):
+        length = rng.choice([1, 2, 3, 5, 8, 13, 40])
+        raw = bytes(rng.choices(b"ab" if n % 2 else b"abcdefgh", k=length + rng.randint(0, 80)))
+        at = np.arange(len(raw) - length + 1)
+        factors, source = suffixes.longest_previous(suffixes.rank_levels(np.frombuffer(raw, np.uint8), length), at)
+        for i in at:
+            common = lambda j: next((k for k in range(length) if raw[i + k] != raw[j + k]), length)
+            assert factors[i] == max(map(common, range(i)), default=0)
+            assert not factors[i] or (source[i] < i and common(source[i]) == factors[i])
+
+
+def test_nearest_smaller():
+    rng = np.random.default_rng(3)
+    for x in ([], [5], list(range(50)), list(range(50, 0, -1)), rng.permutation(300).tolist()):
+        expected = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert suffixes.nearest_smaller(np.array(x, int)).tolist() == expected
+
+
+def test_columns_named_like_those_inside(documents):
+    text = "".join(random.Random(1).choices("abcdef", k=90))
+    docs = documents([(1, text), (2, "x" + text)])
+    for old, new in zip(("key", "_key", "fp", "added"), ("_own", "_own_key", "kept", "removed")):
+        docs = docs.withColumnRenamed(old, new)
+    rows = suffixes.deduplicated(docs, LENGTH, "first").collect()
+    assert sorted((r.doc_id, bytes(r.kept), r._own_key) for r in rows) == [(1, text.encode(), "_key0"), (2, b"x", "_key1")]
+    out = suffixes.without_repeats(docs, LENGTH)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.kept, r.removed) for r in out.collect()) == [
+        (1, text, "fp0", "added0"), (2, "x", "fp1", "added1")]
+
+
+def test_short_repeats_stay(documents):
+    words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(words), " ".join(words[:15] + ["other"] + words[20:])
+    texts = {r.doc_id: r.text for r in suffixes.without_repeats(documents([(1, a), (2, b)]), 20, "first", 18).collect()}
+    assert texts[1] == a and texts[2].startswith("w0 w1") and not texts[2].endswith("w39")
