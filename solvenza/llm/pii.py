@@ -27,7 +27,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -147,7 +147,7 @@ def _touches(m: re.Match, reach: tuple[list[int], list[int]]) -> bool:
     return i > 0 and reach[1][i - 1] > m.start()
 
 
-def places(text: str, spans: list[tuple[int, int, int]], wanted: "Table | None" = None) -> list[tuple]:
+def places(text: str, spans: list[tuple[int, int, int]], wanted: Container[str] | None = None) -> list[tuple]:
     """(term, starts, ends) of the words of the text, or of those that may be wanted.
     Words that touch any match are no terms."""
     found: dict[str, tuple[list[int], list[int]]] = {}
@@ -214,6 +214,11 @@ def table_of(terms: DataFrame, bits: int) -> Table:
     return Table(found[: bits // 8])
 
 
+def _held_in(text: str, table: Table) -> set[str]:
+    """The terms of a text that may be in the table."""
+    return {t for t in set(map(named, set(_TERM.findall(text)))) if t in table}
+
+
 def _documents_with(docs: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
     """(term, n_t): documents, of all, that hold each of the terms."""
     wanted = docs.sparkSession.sparkContext.broadcast(table_of(terms, bits))
@@ -224,7 +229,7 @@ def _documents_with(docs: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
         for (texts,) in batches:
             for text in texts:
                 if text:
-                    counts.update({t for t in set(map(named, set(_TERM.findall(text)))) if t in table})
+                    counts.update(_held_in(text, table))
                 if len(counts) > HELD:
                     yield from counts.items()
                     counts.clear()
@@ -305,8 +310,8 @@ def _elsewhere(docs: DataFrame, flagged: DataFrame, bits: int) -> DataFrame:
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
         for keys, texts in batches:
             for key, text in zip(keys, texts):
-                if text and not base_spans(text):
-                    for found in places(text, [], wanted.value):
+                if text and (held := _held_in(text, wanted.value)) and not base_spans(text):
+                    for found in places(text, [], held):
                         yield key, *found
 
     schema = "key bigint, term string, starts array<int>, ends array<int>"
