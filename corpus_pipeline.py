@@ -13,8 +13,9 @@ from solvenza.llm import packing, pii, simhash, suffixes, toxicity
 from solvenza.llm.common import read_table, ship, written
 from solvenza.llm.queries import VOCABULARY
 
-# Bytes of a passage whose later copies go: fewer than 50 words have.
-PASSAGE = 256
+# Words of a passage whose later copies go, and the bytes that so many have at least.
+PASSAGE_WORDS = 51
+PASSAGE = 2 * PASSAGE_WORDS - 1
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later copies of passages; a text that only repeats others becomes empty."""
     ship(spark)
-    return _counted(suffixes.without_repeats(docs, PASSAGE, "first"))
+    return _counted(suffixes.without_repeats(docs, PASSAGE, "first", PASSAGE_WORDS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
