@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from solvenza.llm.common import map_rows, written
@@ -66,36 +65,34 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count, docs: occurrences and documents of every term of every
     group, and a row with the empty term for every group.
 
-    Tasks count before anything is shuffled, within a bound of terms and bytes. A text
-    longer than a block is counted by blocks, under a number of its own, so that it still
-    counts as one document.
+    Tasks count before anything is shuffled, within a bound of terms and bytes. A long text
+    is counted by blocks; its terms are held while it lasts, so that it counts once.
     """
     chosen = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         counts, within = defaultdict(Counter), defaultdict(Counter)
-        number, held, held_terms = TaskContext.get().partitionId() << 40, 0, 0
+        held, held_terms = 0, 0
 
         def flush() -> Iterator[tuple]:
-            for (lang, source, text), found in counts.items():
-                n_docs = within[lang, source, text]
+            for group, found in counts.items():
+                n_docs = within[group]
                 for term, n in found.items():
-                    yield lang, source, term, n, n_docs[term], text
+                    yield *group, term, n, n_docs[term]
             counts.clear(), within.clear()
 
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                data, whole = text.as_py(), None
-                if len(data) > TEXT_BLOCK:
-                    number += 1
-                    whole = number
-                within[lang, source, None][b""] = counts[lang, source, None][b""] = 0
+            for *group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+                group, data, seen = tuple(group), text.as_py(), set()
+                counts[group][b""] = within[group][b""] = 0
                 for terms in _blocks(data, TEXT_BLOCK):
-                    found = counts[lang, source, whole]
+                    found, distinct = counts[group], set(terms)
                     before = len(found)
                     found.update(terms)
-                    within[lang, source, whole].update(set(terms))
+                    within[group].update(distinct - seen if seen else distinct)
+                    if len(data) > TEXT_BLOCK:
+                        seen |= distinct
                     held += min(len(data), TEXT_BLOCK)
                     held_terms += len(found) - before
                     if held > HELD_BYTES or held_terms > HELD_TERMS:
@@ -113,20 +110,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield _counted_batch(held)
 
-    found = chosen.mapInArrow(run, "lang string, source string, term string, count bigint, docs bigint, text bigint")
-    found = written(found, "terms-counted")
-    group = ["lang", "source", "term"]
-    longer = found.filter("text IS NOT NULL").groupBy(*group, "text").agg(F.sum("count").alias("count"))
-    return found.filter("text IS NULL").drop("text").unionByName(
-        longer.withColumn("docs", F.lit(1).cast("bigint")).drop("text")
-    ).groupBy(*group).agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    found = chosen.mapInArrow(run, "lang string, source string, term string, count bigint, docs bigint")
+    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def _counted_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
     arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
     arrays[2] = arrays[2].cast(pa.string())
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "count", "docs", "text"])
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "count", "docs"])
 
 
 def _share(count: Column | str, total: str) -> Column:
