@@ -62,13 +62,22 @@ def search_bulk(spark, root):
     return catalog.search_bulk(T.catalog(spark, root), T.search_terms(spark, root))
 
 
+_indexes: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, root: str) -> DataFrame:
-    """The catalog's index, built of the first half of the names and extended by the rest."""
-    path, names = shared_dir(spark, "names"), T.catalog(spark, root)
-    late = F.xxhash64("name") % 2 == 0
-    search_index.extend(names.filter(~late), path)
-    search_index.extend(names.filter(late), path)
-    return search_index.read(spark, path)
+    """The catalog's index, built of the first half of the names and extended by the rest.
+    A session keeps it for as long as the catalog's files are the same."""
+    names = T.catalog(spark, root)
+    files = names.select("_metadata.file_modification_time", "_metadata.file_size")
+    state = files.agg(F.max("file_modification_time"), F.sum("file_size"), F.count(F.lit(1))).first()
+    known = spark.sparkContext.applicationId, root, tuple(state)
+    if known not in _indexes:
+        path, late = shared_dir(spark, "names"), F.xxhash64("name") % 2 == 0
+        search_index.extend(names.filter(~late), path)
+        search_index.extend(names.filter(late), path)
+        _indexes[known] = path
+    return search_index.read(spark, _indexes[known])
 
 
 @query
@@ -539,9 +548,17 @@ def _warned(spark: SparkSession, root: str, observations: DataFrame) -> DataFram
 
 @query
 def stream_rating_alerts(spark, root):
-    """All three types: moves from the followed grades, warnings from the weeks."""
-    warnings = _warned(spark, root, observation_stream(spark, root))
-    return flows.alerts_of(_followed(spark, root)).unionByName(warnings)
+    """All three types: moves from the followed grades, warnings from the weeks. The two
+    streams run side by side."""
+    moves, weeks = shared_dir(spark, "followed"), shared_dir(spark, "warned")
+    running = [
+        flows.start(flows.CHANGES, moves, observation_stream(spark, root), available_now=True),
+        flows.start(flows.WARNINGS, weeks, observation_stream(spark, root), item_stream(spark, root), available_now=True),
+    ]
+    for stream in running:
+        stream.awaitTermination()
+    warnings = flows.served(spark, flows.WARNINGS, weeks)
+    return flows.alerts_of(flows.served(spark, flows.CHANGES, moves)).unionByName(warnings)
 
 
 @query
