@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import os
 import pathlib
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Skewed shuffle partitions are split at run time and small sides become
 # broadcasts only after their real size is known, so no operator carries a hint
 # for data that can grow.
@@ -23,8 +30,7 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     # Stream state on disk with uploads of what changed, not in the heap.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _PROVIDER: _ROCKSDB,
 }
 
 
@@ -62,6 +68,28 @@ def ship(spark: SparkSession) -> None:
     context._solvenza_shipped = True
 
 
+def by_value(*modules: str) -> None:
+    """Send the classes of these modules with their code. Processes of the driver that
+    start keyed state, list polls and note batches are not given the package as tasks are."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+@contextlib.contextmanager
+def on_disk_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs a state store on disk, whatever the session's is; a query keeps the
+    one that it starts with."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before:
+            spark.conf.set(_PROVIDER, before)
+        else:
+            spark.conf.unset(_PROVIDER)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 

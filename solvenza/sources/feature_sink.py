@@ -21,19 +21,17 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, Writ
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from solvenza.session import ship
-from solvenza.sources.polled import file_system
+from solvenza.session import on_disk_state
+from solvenza.sources.polled import file_system, register
 from solvenza.streaming.inputs import poll
 
 
 def start(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     spark = rows.sparkSession
-    ship(spark)
-    spark.dataSource.register(FeatureRows)
-    return (
-        rows.writeStream.format(FeatureRows.name()).option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(**poll(available_now)).start()
-    )
+    register(spark, FeatureRows)
+    out = rows.writeStream.format(FeatureRows.name()).option("path", path)
+    with on_disk_state(spark):
+        return out.option("checkpointLocation", checkpoint).trigger(**poll(available_now)).start()
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from solvenza.session import ship
+from solvenza.session import by_value
 
 SCHEMA = "poll BIGINT, source STRING, body STRING"
 
@@ -35,9 +35,13 @@ def store(responses: DataFrame, path: str, poll: int) -> None:
     responses.select("source", "body").write.json(os.path.join(path, f"poll={poll}"))
 
 
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    by_value(__name__, source.__module__)
+    spark.dataSource.register(source)
+
+
 def stream(spark: SparkSession, path: str) -> DataFrame:
-    ship(spark)
-    spark.dataSource.register(StoredResponses)
+    register(spark, StoredResponses)
     return spark.readStream.format(StoredResponses.name()).option("path", path).load()
 
 

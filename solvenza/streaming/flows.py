@@ -19,9 +19,8 @@ brings at a time.
 
 from __future__ import annotations
 
-import contextlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -31,14 +30,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from solvenza.functions import scalars as S
 from solvenza.operators import alerts, features, grades, news
 from solvenza.schemas import BUCKET, LOWERED, NEWS_DAYS, NEWS_LIMIT, RAISED, RETENTION_DAYS, SENTIMENTS, WARNING_GROWTH
-from solvenza.session import ship
+from solvenza.session import by_value, on_disk_state
 from solvenza.sources import responses
+from solvenza.streaming import processors
 from solvenza.streaming.inputs import poll
 from solvenza.streaming.processors import WEEK, Follow, LatestNews, NewsWeeks, Sources
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 @dataclass(frozen=True)
 class Flow:
@@ -52,7 +49,7 @@ class Flow:
 
 def keyed(rows: DataFrame, processor: StatefulProcessor, time_mode: str = "None") -> DataFrame:
     """``rows`` through keyed state per company."""
-    ship(rows.sparkSession)
+    by_value(processors.__name__)
     return rows.groupBy("company").transformWithStateInPandas(processor, processor.OUT, "Append", time_mode)
 
 
@@ -209,17 +206,6 @@ def served_features(rows: DataFrame) -> DataFrame:
 
 # --- running ------------------------------------------------------------------
 
-@contextlib.contextmanager
-def _on_disk_state(spark: SparkSession) -> Iterator[None]:
-    """Keyed state needs a state store on disk; a query keeps the one it starts with."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
-
-
 def _rows(path: str) -> str:
     return os.path.join(path, "rows")
 
@@ -240,7 +226,7 @@ def start(flow: Flow, path: str, *streams: DataFrame, available_now: bool = Fals
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(_rows(path), f"batch_id={batch_id}"))
 
-    with _on_disk_state(spark):
+    with on_disk_state(spark):
         if flow.updates:
             return out.outputMode("update").foreachBatch(write).start()
         return out.outputMode("append").format("parquet").option("path", _rows(path)).start()

@@ -1,13 +1,17 @@
 """Streams over several files and restarts against the batch operators."""
 
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from solvenza.operators import alerts, features, grades, news
 from solvenza.sources import feature_sink, polled, responses, tables as T
-from solvenza.streaming import flows, inputs
+from solvenza.session import by_value
+from solvenza.streaming import flows, inputs, processors
 
 FOLDER = "/root/testdata/sf0.001"
 PARTS = 5
@@ -299,3 +303,29 @@ def test_sink_notes_a_batch_once(spark, tmp_path):
     writer.commit([writer.write(batch_of(5))], 1)
     assert companies() == [1, 2, 5]
     assert not os.path.exists(f"{path}/rows/{lost.file}")
+
+
+def test_keyed_state_on_any_session(spark, tmp_path):
+    """A query gets the store that it needs, and the session keeps its own."""
+    name, other = "spark.sql.streaming.stateStore.providerClass", (
+        "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    before = spark.conf.get(name)
+    spark.conf.set(name, other)
+    try:
+        stream = inputs.observation_stream(spark, FOLDER)
+        same_changes(spark, flows.run_available(flows.CHANGES, str(tmp_path), stream))
+        assert spark.conf.get(name) == other
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("made", [
+    processors.Follow(1), processors.Sources(("a",)), polled.PollReader("x"), polled.ResponseFile(0, "x"),
+    feature_sink.FeatureWriter("x"), feature_sink.Written(None),
+])
+def test_what_the_drivers_processes_load_brings_its_code(made, tmp_path):
+    by_value(processors.__name__, polled.__name__, feature_sink.__name__)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    load = "import pickle, sys; print(type(pickle.loads(sys.stdin.buffer.read())).__name__)"
+    done = subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(made), capture_output=True, cwd=tmp_path, env=env)
+    assert done.stdout.decode().strip() == type(made).__name__, done.stderr.decode()[-2000:]
