@@ -6,18 +6,19 @@ times over, so edges travel in runs:
 
 1. The seed of an edge is the leftmost smallest hash of its ``seed_words`` word strings.
    Neighbouring edges mostly share one; a run is what follows each other with one seed,
-   about eight edges, ``length - seed_words + 1`` at most. Equal edges have equal seeds.
-2. Runs whose seed occurs once hold no repeated edge and go. Equal runs become one, with
-   the number of copies and the place of the first.
+   about eight edges, ``length - seed_words + 1`` at most. Equal edges have equal seeds,
+   and runs are equal when their seed, their length and 80 more bits of their words are.
+2. Runs whose seed occurs once hold no repeated edge and go: a table of bits of a fixed
+   size tells most of them without a shuffle. Equal runs become one, with the number of
+   copies and the place of the first.
 3. Where a seed has several different runs, the edges of one copy of each are written
    out, under a digest of their words. Per edge Spark combines how often it occurs, where
    it occurs first, and whether all runs agree on the edge before and the edge after it:
    the in and out degree. Repeated edges that follow each other without a branch make a
    path, which has one first place for all its edges.
-4. Paths are joined back to the runs, and so to every place. Where a path ends with its
-   run and the next path continues both here and at the source, the two are one span.
-5. Every span names the place it repeats. Before anything is removed the words of the run
-   that it lies in are compared, by digest, with those at the source.
+4. Paths are joined back to the runs, and so to every place. Source coordinates verify
+   and lengthen them: where a path ends with its run and the next one continues both here
+   and at the source, the two are one span, which names the place that it repeats.
 
 Runs, edges and paths are joined as written tables, so that a frequent seed or passage is
 split over tasks; what is collected is a run's paths and a text's spans.
@@ -26,23 +27,29 @@ split over tasks; what is collected is a run's paths and a text's spans.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from solvenza.llm.common import map_rows, text_key, unused, written
+from solvenza.llm.common import bit_table, bits_of, map_rows, maybe_in, maybe_repeated, text_key, unused, written
 from solvenza.llm.suffixes import mixed, runs as runs_of, sliding_min
 
 LENGTH = 20
 SEED_WORDS = 6
 BLOCK = 1 << 16             # edges of a text hashed at a time
 TEXT_BLOCK = 1 << 18        # bytes of a text split into words at a time
-RUN = ["seed", "content", "edges"]
+RUN = ["seed", "content", "tag"]   # tag: 15 bits of another hash, then the number of edges
+MOST_EDGES = 1 << 16
+SEED_BITS = 1 << 27         # of the table of seeds that occur twice
+TEXT_BITS = 1 << 24         # of the tables of texts that have something to look up
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _IS_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
@@ -95,10 +102,13 @@ class Words:
             parts.append(b" ".join(self.data[self.begins[a]: self.ends[b - 1]].split()))
         return b" ".join(parts)
 
-    def digest(self, first: int, end: int) -> tuple[int, int]:
-        """128 bits of the words as two signed numbers."""
-        found = blake2b(self.joined(first, end), digest_size=16).digest()
-        return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
+    def digests(self, first: int, end: int, length: int) -> list[tuple[int, int]]:
+        """128 bits, as two signed numbers, of the ``length`` words from each place on."""
+        words, out = self.joined(first, end + length - 1).split(b" "), []
+        for i in range(end - first):
+            found = blake2b(b" ".join(words[i: i + length]), digest_size=16).digest()
+            out.append(struct.unpack("<qq", found))
+        return out
 
 
 # --- runs of edges ----------------------------------------------------------------
@@ -121,7 +131,7 @@ def _strings(part: np.ndarray, seed: int, most: int):
 
 
 def edge_runs(hashes: np.ndarray, length: int, seed_words: int, block: int) -> tuple[np.ndarray, ...]:
-    """Seed, content hash, first edge and number of edges of each run of a text."""
+    """Seed, content hash, first edge and tag of each run of a text."""
     found, most = [], block + length
     for base in range(0, len(hashes) - length + 1, block):
         part = hashes[base: base + block + length - 1]
@@ -131,13 +141,14 @@ def edge_runs(hashes: np.ndarray, length: int, seed_words: int, block: int) -> t
         new = (seeds[1:] != seeds[:-1]) | (inner[: len(seeds) - 1] == seeds[:-1])
         starts = np.flatnonzero(np.concatenate([[True], new]))
         counts = np.diff(np.append(starts, len(seeds)))
-        content = _strings(part, 2, most)(starts, starts + counts + length - 1)
-        found.append((seeds[starts], content, starts + base, counts))
+        content, check = (_strings(part, n, most)(starts, starts + counts + length - 1) for n in (2, 3))
+        tag = (check >> np.uint64(49)) * np.uint64(MOST_EDGES) | counts.astype(np.uint64)
+        found.append((seeds[starts], content, starts + base, tag))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else ()
 
 
 def all_runs(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
-    """key, doc_id, seed, content, first, edges of all runs of all texts."""
+    """key, doc_id, seed, content, tag, first of all runs of all texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.select(text_key().alias("key"), "doc_id", F.encode("text", "utf-8").alias("t"))
 
@@ -152,20 +163,25 @@ def all_runs(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
                     taken.append(np.full(len(parts[-1][0]), i))
             if parts:
                 rows = pa.array(np.concatenate(taken))
-                seed, content, first, edges = (np.concatenate(c) for c in zip(*parts))
+                seed, content, first, tag = (np.concatenate(c) for c in zip(*parts))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows),
                     pa.array(seed.view(np.int64)), pa.array(content.view(np.int64)),
-                    pa.array(first.astype(np.int32)), pa.array(edges.astype(np.int32)),
-                ], names=["key", "doc_id", "seed", "content", "first", "edges"])
+                    pa.array(tag.astype(np.int32)), pa.array(first.astype(np.int32)),
+                ], names=["key", "doc_id", *RUN, "first"])
 
     return chosen.mapInArrow(
-        run, f"key bigint, doc_id {kind}, seed bigint, content bigint, first int, edges int"
+        run, f"key bigint, doc_id {kind}, seed bigint, content bigint, tag int, first int"
     )
 
 
 # --- graph ------------------------------------------------------------------------
 
+def _edges_of(tag: Column | str) -> Column:
+    tag = F.col(tag) if isinstance(tag, str) else tag
+    return tag.bitwiseAND(F.lit(MOST_EDGES - 1))
+
+
 def _place(at: Column | str) -> Column:
     """Order of places: by document, NULL last, by text key and by word."""
     at = F.col(at) if isinstance(at, str) else at
@@ -173,12 +189,13 @@ def _place(at: Column | str) -> Column:
 
 
 def _from_sources(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """What the texts say of the wanted runs: a row with ``at`` -1 and the digest of its
-    words per run, and one per edge of the runs that share their seed with others."""
+    """A row for each edge of the wanted runs, read where the run occurs first."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = wanted.groupBy(F.col("place.key").alias("_key")).agg(F.collect_list(F.struct(
-        *RUN, F.col("place.at").alias("first"), "copies", "several")).alias("runs"))
+    asked = written(wanted.groupBy(F.col("place.key").alias("_key")).agg(F.collect_list(F.struct(
+        *RUN, F.col("place.at").alias("first"), "copies")).alias("runs")), "graph-asked")
     texts = docs.select(text_key().alias("key"), "doc_id", F.encode("text", "utf-8").alias("t"))
+    # Texts that nothing is asked of are not shuffled.
+    texts = maybe_in(texts, "key", bit_table(asked, "_key", TEXT_BITS))
     texts = texts.join(asked, F.col("key") == F.col("_key")).select("key", "doc_id", "t", "runs").sortWithinPartitions("key")
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
@@ -189,18 +206,15 @@ def _from_sources(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     continue    # a repeated row of documents
                 last, words = key, Words(text)
                 for r in asked:
-                    run, first = (r["seed"], r["content"], r["edges"]), r["first"]
-                    end = first + r["edges"]
-                    yield (*run, -1, *words.digest(first, end + length - 1), None, None, r["copies"], doc_id, key, first)
-                    if r["several"]:
-                        edges = [words.digest(a, a + length) for a in range(first, end)]
-                        for i, (e1, e2) in enumerate(edges):
-                            before = edges[i - 1][0] if i else None
-                            after = edges[i + 1][0] if i + 1 < len(edges) else None
-                            yield (*run, i, e1, e2, before, after, r["copies"], doc_id, key, first + i)
+                    run, first = (r["seed"], r["content"], r["tag"]), r["first"]
+                    edges = words.digests(first, first + (r["tag"] & MOST_EDGES - 1), length)
+                    for i, (e1, e2) in enumerate(edges):
+                        before = edges[i - 1][0] if i else None
+                        after = edges[i + 1][0] if i + 1 < len(edges) else None
+                        yield (*run, i, e1, e2, before, after, r["copies"], doc_id, key, first + i)
 
     return map_rows(
-        texts, "seed bigint, content bigint, edges int, at int, e1 bigint, e2 bigint, before bigint, "
+        texts, "seed bigint, content bigint, tag int, at int, e1 bigint, e2 bigint, before bigint, "
         f"after bigint, copies bigint, doc_id {kind}, key bigint, first int", rows)
 
 
@@ -216,84 +230,77 @@ def _degrees(edges: DataFrame) -> DataFrame:
 
 
 def _paths(edges: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Per run its paths: (at, edges, place) of stretches of repeated edges without branch."""
+    """(run, at, n, place): the stretches of a run of repeated edges without a branch."""
     of_run = edges.select(*RUN, "at", "e1", "e2").join(repeated, ["seed", "e1", "e2"])
-    of_run = of_run.groupBy(*RUN).agg(F.sort_array(F.collect_set(
-        F.struct("at", "in_one", "out_one", "place"))).alias("found"))
-    place = repeated.schema["place"].dataType
-    path = T.StructType().add("at", "integer").add("edges", "integer").add("place", place)
-    schema = T.StructType([edges.schema[c] for c in RUN]).add("paths", T.ArrayType(path))
-
-    def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
-        for batch in batches:
-            for *run, found in zip(*batch):
-                paths, last = [], None
-                for e in found:
-                    if last and e["at"] == last["at"] + 1 and last["out_one"] and e["in_one"]:
-                        paths[-1]["edges"] += 1
-                    else:
-                        paths.append({"at": e["at"], "edges": 1, "place": e["place"]})
-                    last = e
-                yield (*run, paths)
-
-    return map_rows(of_run, schema, rows)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(key, runs): per text key the runs that hold edges with an earlier place, each with
-    the digest of its words and those paths."""
+    found = F.sort_array(F.collect_set(F.struct("at", "in_one", "out_one", "place")))
+    of_run = of_run.groupBy(*RUN).agg(found.alias("found"))
+    before = lambda i: F.get("found", i - 1)
+    goes_on = lambda e, i: (
+        (before(i)["at"] == e["at"] - 1) & before(i)["out_one"] & e["in_one"])
+    begins = F.transform("found", lambda e, i: F.struct(
+        e["at"].alias("at"), F.coalesce(goes_on(e, i), F.lit(False)).alias("on"), e["place"].alias("place")))
+    of_run = of_run.select(*RUN, begins.alias("found"))
+    heads = F.filter("found", lambda e: ~e["on"])
+    of_run = of_run.select(*RUN, "found", heads.alias("heads"))
+    # A path has the edges up to the next head.
+    upto = lambda i: F.coalesce(F.get("heads", i + 1)["at"], F.lit(MOST_EDGES))
+    n = lambda h, i: F.size(F.filter("found", lambda e: (e["at"] >= h["at"]) & (e["at"] < upto(i))))
+    paths = F.transform("heads", lambda h, i: F.struct(h["at"].alias("at"), n(h, i).alias("n"), h["place"].alias("place")))
+    return of_run.select(*RUN, F.inline(paths))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS, bits: int = SEED_BITS) -> DataFrame:
+    """(key, spans): per text key the paths that have an earlier place, as (first, n) edges
+    here and the place (doc_id, key, at) of the source."""
     every = written(all_runs(docs, length, seed_words), "graph-runs")
-    twice = every.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    shared = written(every.join(written(twice, "graph-seeds"), "seed", "left_semi"), "graph-shared")
+    shared = written(maybe_repeated(every, "seed", bits), "graph-shared")
     distinct = written(shared.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("copies"), F.min(_place("first")).alias("place")), "graph-distinct")
     several = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("seed")
-    several = written(several.withColumn("several", F.lit(True)), "graph-several")
-    wanted = distinct.join(several, "seed", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-    told = written(_from_sources(docs, wanted.filter("several OR copies > 1"), length), "graph-edges")
-    edges = told.filter("at >= 0")
-    repeated = written(_degrees(edges), "graph-degrees")
-    paths = written(_paths(edges, repeated), "graph-paths")
-    # A run that has its seed for itself is a path; the others have those of their edges.
-    whole = F.array(F.struct(F.lit(0).alias("at"), "edges", _place("first").alias("place")))
-    runs = told.filter("at = -1").select(*RUN, "copies", "e1", "e2", whole.alias("whole"))
-    runs = runs.join(several, "seed", "left").join(paths, RUN, "left").select(
-        *RUN, "e1", "e2", F.when(F.col("several"), F.col("paths")).otherwise(F.col("whole")).alias("paths"))
-    runs = written(runs.filter("paths IS NOT NULL"), "graph-known")
-    here = lambda p: _place(F.col("first") + p["at"])
-    hits = shared.join(runs, RUN).select("key", "first", "edges", "e1", "e2", F.filter(
-        "paths", lambda p: p["place"] != here(p)).alias("paths"))
-    return hits.filter(F.size("paths") > 0).groupBy("key").agg(
-        F.collect_set(F.struct("first", "edges", "e1", "e2", "paths")).alias("runs"))
+    several = written(several, "graph-several")
+    edges = written(_from_sources(docs, distinct.join(several, "seed", "left_semi"), length), "graph-edges")
+    # Most edges occur once even there, and need no degree.
+    often = edges.groupBy("e1").agg(F.sum("copies").alias("n")).filter("n > 1")
+    edges = maybe_in(edges, "e1", bit_table(often, "e1", bits))
+    paths = _paths(edges, written(_degrees(edges), "graph-degrees"))
+    # A run that has its seed for itself is a path.
+    whole = distinct.filter("copies > 1").join(several, "seed", "left_anti").select(
+        *RUN, F.lit(0).alias("at"), _edges_of("tag").alias("n"), "place")
+    paths = written(paths.unionByName(whole), "graph-paths")
+    hits = shared.join(paths, RUN).withColumn("first", F.col("first") + F.col("at"))
+    hits = hits.filter(F.col("place") != _place("first"))
+    return hits.groupBy("key").agg(F.collect_set(F.struct(
+        "first", "n", F.col("place.doc_id").alias("doc_id"), F.col("place.key").alias("key"), F.col("place.at").alias("at"),
+    )).alias("spans"))
 
 
 # --- operator ---------------------------------------------------------------------
 
-def _verified(words: Words, runs: list, length: int) -> list[tuple]:
-    """(first, end, source, source key, source first) of the spans, in words, joined where
-    the next one continues both here and at the source."""
-    found, out = [], []
-    for r in runs or []:
-        if words.digest(r["first"], r["first"] + r["edges"] + length - 1) == (r["e1"], r["e2"]):
-            found += [(r["first"] + p["at"], p["edges"], p["place"]) for p in r["paths"]]
-    for first, edges, place in sorted(found, key=lambda f: f[0]):
-        end = first + edges + length - 1
-        if out and out[-1][3] == place["key"] and out[-1][0] - out[-1][4] == first - place["at"] \
-                and out[-1][1] - length + 1 == first:
-            out[-1] = (out[-1][0], end, *out[-1][2:])
-        else:
-            out.append((first, end, place["doc_id"], place["key"], place["at"]))
-    return out
-
-
-def deduplicated(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS) -> DataFrame:
+def _joined(spans: pa.ListScalar, length: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """First words, ends, source documents and first words there of the spans, joined where
+    the next path continues both here and at the source."""
+    found = spans.values
+    first, n, key, at = (found.field(c).to_numpy() for c in ("first", "n", "key", "at"))
+    order = np.argsort(first, kind="stable")
+    first, n, key, at = first[order], n[order], key[order], at[order]
+    apart = (first[1:] != first[:-1] + n[:-1]) | (key[1:] != key[:-1]) | (at[1:] - first[1:] != at[:-1] - first[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], apart]))
+    last = np.append(starts[1:], len(first)) - 1
+    return first[starts], first[last] + n[last] + length - 1, found.field("doc_id").take(pa.array(order[starts])), at[starts]
+
+
+def deduplicated(
+    docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS, with_spans: bool = True,
+    bits: int = SEED_BITS,
+) -> DataFrame:
     """All rows and columns of ``docs`` with ``kept``, ``n_words``, ``n_removed``, ``repeats``.
 
     Words are what stands between spaces, tabs and line ends, unchanged. A word goes if a
     window of ``length`` words that covers it also starts earlier: in a smaller doc_id, or
     earlier in the same document. Windows are judged on the input and never cross texts.
-    ``kept`` is the words that stay, one space between two; ``repeats`` holds the spans
-    (start, end, source, source_start) in words, which may overlap by less than ``length``.
+    ``kept`` is the words that stay, one space between two; ``repeats``, left out without
+    ``with_spans``, holds the spans (start, end, source, source_start) in words, which may
+    overlap by less than ``length``.
 
     NULL, empty and short texts keep all words they have. Rows equal in doc_id and text
     have one place, so neither repeats the other and their results are equal; rows of one
@@ -301,31 +308,65 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_W
     An empty table gives an empty result. Other columns pass through, whatever their names;
     columns named like the four results are replaced.
     """
-    if not 0 < seed_words <= length:
+    if not 0 < seed_words <= length <= MOST_EDGES:
         raise ValueError("seed_words must lie between 1 and length")
     results = ["kept", "n_words", "n_removed", "repeats"]
     names = [c for c in docs.columns if c.lower() not in results]
     docs = docs.select(*names)
-    found = repeated_spans(docs, length, seed_words)
-    own, runs = unused(docs, "_own"), unused(docs, "_runs")
-    found = found.select(F.col("key").alias(f"{own}_key"), F.col("runs").alias(runs))
-    joined = docs.withColumn(own, text_key()).join(found, F.col(own) == F.col(f"{own}_key"), "left")
+    own = unused(docs, "_own")
+    key, spans = unused(docs, f"{own}_key"), unused(docs, f"{own}_spans")
+    found = repeated_spans(docs, length, seed_words, bits)
+    found = written(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), "graph-spans")
+    # Texts without spans stay where they are, the others meet theirs.
+    table = docs.sparkSession.sparkContext.broadcast(bytes(bit_table(found, key, TEXT_BITS)))
+    keyed = docs.withColumn(own, text_key())
+    joined = maybe_in(keyed, own, table.value).join(found, F.col(own) == F.col(key), "left")
     place, kind = names.index("text"), docs.schema["doc_id"].dataType
 
-    def rows(batches: Iterator[list[list]]) -> Iterator[tuple]:
-        for batch in batches:
-            for *row, runs in zip(*batch):
-                words = Words((row[place] or "").encode())
-                spans = _verified(words, runs, length)
-                gone = np.zeros(len(words) + 1, bool)
-                for first, end, *_ in spans:
-                    gone[first:end] = True
-                gone[-1] = True
-                kept = b" ".join(words.joined(a, b) for a, b in runs_of(~gone))
-                repeats = [(a, b, source, at) for a, b, source, _, at in spans]
-                yield (*row, kept.decode(), len(words), int(gone.sum()) - 1, repeats)
-
     span = T.StructType().add("start", "integer").add("end", "integer").add("source", kind).add("source_start", "integer")
-    schema = T.StructType(list(docs.schema)).add("kept", "string").add("n_words", "long") \
-        .add("n_removed", "long").add("repeats", T.ArrayType(span))
-    return map_rows(joined.select(*names, runs), schema, rows)
+    schema = T.StructType(list(docs.schema)).add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    schema = schema.add("repeats", T.ArrayType(span)) if with_spans else schema
+    added = list(to_arrow_schema(schema))[len(names):]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(place).cast(pa.binary()), batch.column(len(names))):
+                out.append(_cut(text.as_py() or b"", spans, length, with_spans))
+            columns = zip(*out) if out else [[]] * len(added)
+            arrays = [pa.array(c, pa.binary() if f.type == pa.string() else f.type) for c, f in zip(columns, added)]
+            arrays[0] = arrays[0].cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], *arrays], names=[*names, *[f.name for f in added]])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = pa.list_(pa.int32())
+        for batch in batches:
+            batch = batch.filter(pa.compute.invert(bits_of(batch.column(len(names)), table.value)))
+            yield from cut(iter([batch.set_column(len(names), spans, pa.nulls(batch.num_rows, nothing))]))
+
+    alone = keyed.select(*names, own).mapInArrow(others, schema)
+    return joined.select(*names, spans).mapInArrow(cut, schema).unionByName(alone)
+
+
+def _cut(data: bytes, spans: pa.ListScalar, length: int, with_spans: bool) -> tuple:
+    if not spans.is_valid:
+        if len(data) <= TEXT_BLOCK:
+            words = data.split()
+            return (b" ".join(words), len(words), 0, []) if with_spans else (b" ".join(words), len(words), 0)
+        words = Words(data)
+        kept = words.joined(0, len(words))
+        return (kept, len(words), 0, []) if with_spans else (kept, len(words), 0)
+    words, (first, end, source, at) = Words(data), _joined(spans, length)
+    turns = np.zeros(len(words) + 1, np.int64)
+    np.add.at(turns, first, 1)
+    np.add.at(turns, end, -1)
+    gone = np.cumsum(turns) > 0
+    n_removed = int(gone.sum())
+    gone[-1] = True
+    kept = b" ".join(words.joined(a, b) for a, b in runs_of(~gone))
+    if not with_spans:
+        return kept, len(words), n_removed
+    repeats = [dict(zip(("start", "end", "source", "source_start"), r)) for r in zip(
+        first.tolist(), end.tolist(), source.to_pylist(), at.tolist())]
+    return kept, len(words), n_removed, repeats

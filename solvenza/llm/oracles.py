@@ -168,7 +168,8 @@ marked AS (
   FROM judged)
 SELECT w.doc_id, CAST(len(any_value(w.words)) AS BIGINT) AS n_words,
        CAST(coalesce(count(*) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+       coalesce(bool_or(gone), false) AS has_repeats
 FROM w LEFT JOIN marked m ON m.doc_id = w.doc_id
 GROUP BY w.doc_id
 """

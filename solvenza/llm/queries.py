@@ -73,6 +73,7 @@ def op7_suffix_array(spark, root):
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("removed") > 0).alias("has_repeats"),
     )
 
 
@@ -105,5 +106,8 @@ def op12_whitening(spark, root):
 
 @query
 def op13_debruijn(spark, root):
-    cut = debruijn.deduplicated(read_table(spark, root, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = debruijn.deduplicated(read_table(spark, root, "documents").select("doc_id", "text"), with_spans=False)
+    return cut.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"),
+    )

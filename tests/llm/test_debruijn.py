@@ -44,11 +44,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("seed_words", [1, 3, LENGTH])
-def test_removes_what_brute_force_removes(documents, seed_words):
+@pytest.mark.parametrize("seed_words,bits", [(1, debruijn.SEED_BITS), (3, 8), (LENGTH, 1 << 16)])
+def test_removes_what_brute_force_removes(documents, seed_words, bits):
     texts = corpus()
     docs = documents(list(enumerate(texts)))
-    found = debruijn.deduplicated(docs, LENGTH, seed_words)
+    found = debruijn.deduplicated(docs, LENGTH, seed_words, bits=bits)
     assert found.columns == [*[c for c in docs.columns], "kept", "n_words", "n_removed", "repeats"]
     for r, text, kept in zip(sorted(found.collect(), key=lambda r: r.doc_id), texts, plain(texts, LENGTH), strict=True):
         assert r.kept == kept, (r.doc_id, text)
