@@ -70,15 +70,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
     chosen = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, within = defaultdict(Counter), defaultdict(Counter)
         held, held_terms = 0, 0
 
-        def flush() -> Iterator[tuple]:
+        def flush() -> Iterator[pa.RecordBatch]:
             for group, found in counts.items():
-                n_docs = within[group]
-                for term, n in found.items():
-                    yield *group, term, n, n_docs[term]
+                yield _counted_batch(group, found, within[group])
             counts.clear(), within.clear()
 
         for batch in batches:
@@ -100,25 +98,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
                         held = held_terms = 0
         yield from flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in rows(batches):
-            held.append(row)
-            if len(held) >= 4096:
-                yield _counted_batch(held)
-                held = []
-        if held:
-            yield _counted_batch(held)
-
     found = chosen.mapInArrow(run, "lang string, source string, term string, count bigint, docs bigint")
     return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
-def _counted_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-    arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    arrays[2] = arrays[2].cast(pa.string())
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "count", "docs"])
+def _counted_batch(group: tuple[str, str], counts: Counter, within: Counter) -> pa.RecordBatch:
+    n = len(counts)
+    return pa.RecordBatch.from_arrays([
+        *[pa.repeat(name, n) for name in group], pa.array(list(counts), pa.binary()).cast(pa.string()),
+        pa.array(list(counts.values()), pa.int64()), pa.array(list(map(within.__getitem__, counts)), pa.int64()),
+    ], names=["lang", "source", "term", "count", "docs"])
 
 
 def _share(count: Column | str, total: str) -> Column:
