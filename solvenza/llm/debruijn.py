@@ -7,7 +7,7 @@ times over, so edges travel in runs:
 1. The seed of an edge is the leftmost smallest hash of its ``seed_words`` word strings.
    Neighbouring edges mostly share one; a run is what follows each other with one seed,
    about eight edges, ``length - seed_words + 1`` at most. Equal edges have equal seeds,
-   and runs are equal when their seed, their length and 80 more bits of their words are.
+   and runs are equal when their seed, their length and 79 more bits of their words are.
 2. Runs whose seed occurs once hold no repeated edge and go: a table of bits of a fixed
    size tells most of them without a shuffle. Equal runs become one, with the number of
    copies and the place of the first.
