@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from solvenza.functions import scalars as S
 from solvenza.operators.skew import SPLIT_ROWS, join_split
-from solvenza.session import written
+from solvenza.session import spread, written
 
 
 def search(catalog: DataFrame, query: str) -> DataFrame:
@@ -54,34 +54,37 @@ def _grams_of_sizes(text: Column, sizes: Column) -> Column:
 def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     """Every (term, company) pair that ``search`` would find, for many terms at once.
 
-    An equi-join in place of comparing all pairs: names are indexed by their
-    character sequences of up to three characters, each term is looked up under its
-    rarest sequence in the catalog, and the candidates are verified. Terms shorter
-    than three characters are a whole sequence themselves, so no pair is missed.
+    An equi-join in place of comparing all pairs: names are cut into their character
+    sequences of up to three characters, each term is looked up under its rarest one in
+    the catalog, and the candidates are verified. Terms shorter than three characters are
+    a whole sequence themselves, so no pair is missed.
 
-    The index holds only sequences that a term has, so it is narrow before anything of
-    it is counted or shuffled. How the terms reach it is left to adaptive execution:
-    few of them go to every task, many are shuffled, and then the partition of a
-    sequence that most names have is split.
+    Sequences are counted in the tasks that cut the names. The names are then cut again,
+    and only those sequences leave the task that a term is looked up under: these lie in
+    tables whose size is known, so few go to every task and no name is shuffled; with many
+    terms both sides are, and then the partition of a sequence that most names have is split.
     """
     wanted = terms.filter(~S.is_blank(F.col("term"))).select("term").distinct()
     wanted = wanted.withColumn("_needle", F.lower("term"))
     size = F.least(F.length("_needle"), F.lit(_LONGEST_GRAM))
-    # At most three numbers: the index holds no sequences shorter than it has to.
+    # At most three numbers: no sequences shorter than they have to be.
     sizes = wanted.agg(F.collect_set(size)).scalar()
-    names = catalog.select("name", F.lower("name").alias("_low"))
+    names = spread(catalog.select("name", F.lower("name").alias("_low")))
     every = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
     asked = wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
-    # Counted and joined: written once, or the names would be cut up twice.
-    index = written(every.join(asked.select("_gram").distinct(), "_gram", "left_semi"), "search-index")
-    frequency = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    frequency = every.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
     rarest = (
         asked.join(frequency, "_gram", "left")
         .groupBy("term", "_needle")
-        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+        .agg(F.min_by("_gram", F.struct(n, "_gram")).alias("_gram"), F.min(n).alias("_n"))
     )
+    # A sequence that no name has ends the search of its term.
+    rarest = written(rarest.filter("_n > 0").drop("_n"), "search-rarest")
+    used = written(rarest.select("_gram").distinct(), "search-sequences")
     return (
-        index.join(rarest, "_gram")
+        every.join(used, "_gram", "left_semi")
+        .join(rarest, "_gram")
         .filter(F.contains("_low", "_needle"))
         .select("term", "name")
     )

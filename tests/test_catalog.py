@@ -46,6 +46,12 @@ def test_search_bulk_has_no_all_pairs_join(companies, spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_search_bulk_cuts_names_in_many_tasks_and_moves_none_by_sequence(companies, spark):
+    terms = spark.createDataFrame([("kb",), ("3s",), ("zz",)], "term STRING")
+    plan = catalog.search_bulk(companies.coalesce(1), terms)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4)" in plan and "hashpartitioning(_gram" not in plan
+
+
 texts = st.text(alphabet="abAB금 %", min_size=0, max_size=6)
 
 
