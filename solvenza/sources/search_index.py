@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from solvenza.functions import scalars as S
+from solvenza.session import spread, written
 
 LONGEST = 3
 BUCKETS = 64
@@ -38,10 +39,13 @@ def _bucket(gram: Column) -> Column:
 
 def extend(names: DataFrame, path: str) -> None:
     """Add (name, industry) rows to the index below ``path``; new ones, each once."""
+    names = spread(names.select("name", "industry"))
     rows = names.select("name", "industry", F.explode(_all_grams(F.lower("name"))).alias("gram"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # A sequence of very many names has several lists, dealt by name.
+    # A sequence of very many names has several lists, dealt by name. These sequences are
+    # few, in a table whose size is known, so the join with them shuffles no names.
     often = counts.filter(F.col("n") > LIST_ROWS).select("gram", F.ceil(F.col("n") / LIST_ROWS).alias("lists"))
+    often = written(often, "search-often")
     dealt = rows.join(often, "gram", "left").withColumn(
         "list", F.pmod(F.xxhash64("name"), F.coalesce("lists", F.lit(1))))
     lists = dealt.groupBy("gram", "list").agg(F.collect_list(F.struct("name", "industry")).alias("companies"))

@@ -55,6 +55,18 @@ def test_frequent_sequences_have_several_lists(spark, monkeypatch):
     assert search_index.search(index, "firm").count() == 100
 
 
+def test_one_file_of_names_is_cut_up_by_many_tasks(spark):
+    path, group = shared_dir(spark, "test-index"), "index-of-one-file"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        search_index.extend(companies(spark, NAMES).coalesce(1), path)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [i for j in status.getJobIdsForGroup(group) for i in status.getJobInfo(j).stageIds]
+    assert 4 in {s.numTasks for s in map(status.getStageInfo, stages) if s}
+
+
 def test_search_opens_the_folders_of_its_sequences(index):
     plan = search_index.search(index, "kb금")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
