@@ -140,3 +140,24 @@ def test_short_repeats_stay(documents):
     a, b = " ".join(words), " ".join(words[:15] + ["other"] + words[20:])
     texts = {r.doc_id: r.text for r in suffixes.without_repeats(documents([(1, a), (2, b)]), 20, "first", 18).collect()}
     assert texts[1] == a and texts[2].startswith("w0 w1") and not texts[2].endswith("w39")
+
+
+def test_chains_hold_all_that_long_spans_consist_of(documents):
+    """What may lie in a long span is kept with all it may come from; short repeats are not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 9)))
+    parts = [" ".join(word() for _ in range(n)) for n in (8, 9, 10, 20, 30, 45)]
+    short, lone = "only this repeats: " + "qwertyuiop" * 3, "and only this one: " + "asdfghjkl" * 3
+    texts = ["\n".join([word(), *rng.choices(parts, k=rng.randint(1, 3)), word()]) for _ in range(30)]
+    docs = documents([*enumerate(texts), (90, f"x {short} y {lone}"), (91, f"z {short} u"), (92, f"v {lone}w"), (93, None)])
+
+    def spans(least):
+        found = suffixes.repeated_windows(docs, LENGTH, least_words=least).collect()
+        text = {r.key: (r.text or "").encode() for r in docs.select(suffixes.text_key().alias("key"), "text").collect()}
+        out = {(r.key, kind, a, b) for r in found for kind in ("anywhere", "earlier")
+               for a, b in suffixes._spans(r[kind], LENGTH) if len(text[r.key][a:b].split()) >= 15}
+        return out, {text[r.key] for r in found}
+
+    (every, anything), (long, kept) = spans(0), spans(15)
+    assert every == long and every
+    assert any(b"qwer" in t for t in anything) and not any(b"qwer" in t or b"asdf" in t for t in kept)
