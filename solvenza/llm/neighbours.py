@@ -9,8 +9,10 @@ is sent back. A reverse list keeps its ``NEAREST`` closest; the links beyond it
 the forward lists.
 
 A query starts at its own vector and expands the closest vectors it has not expanded,
-``EXPANDED`` a round, until the ``BEAM`` closest it knows are expanded. The graph is read
-from a table bucketed by vector, so a round shuffles only what the queries ask.
+``EXPANDED`` in a round at first and twice as many in each later one, until the ``BEAM``
+closest it knows are expanded. The graph is read from a table bucketed by vector, so a
+round shuffles only what the queries ask. Among many near copies a beam moves on for long;
+what is left to expand there is expanded at once, as each round has its fixed cost.
 
 Equal vectors are one node. Codes of one byte per component serve build and search; the
 results are scored on the original vectors in double precision.
@@ -163,22 +165,18 @@ def _blocked(dimension: int, nearest: int, block: int):
     return run
 
 
-def _merged(nearest: int):
-    """One row per node with its closest distinct neighbours; of links that several rows
-    have, an old one keeps being old."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches):
-            keys = batch.column(0).to_numpy()
-            (ids, at), (sims, _), (fresh, _) = (_lists(batch.column(c)) for c in (1, 2, 3))
-            rows, cuts = [], _cuts(keys)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                s = slice(at[a], at[b])
-                order = np.argsort(fresh[s], kind="stable")     # old ones first
-                i, v, f = ids[s][order], sims[s][order], fresh[s][order]
-                best = _best(i, v, nearest)
-                rows.append((keys[a], i[best], v[best], f[best]))
-            yield _graph_batch(rows)
-    return run
+def _merged(links: DataFrame, nearest: int) -> DataFrame:
+    """One row per node with its closest distinct neighbours, the closest first; of links
+    that several rows have, an old one keeps being old."""
+    one = links.repartition("node").select("node", F.explode(F.arrays_zip("ids", "sims", "fresh")).alias("l"))
+    one = one.groupBy("node", F.col("l.ids").alias("id")).agg(
+        F.max(F.struct(F.col("l.sims").alias("sim"), (~F.col("l.fresh")).alias("old"))).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("b.sim"), "id"))
+    best = one.withColumn("r", rank).filter(F.col("r") <= nearest).groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("r", "id", "b"))).alias("best"))
+    return best.select(
+        "node", F.col("best.id").alias("ids"), F.col("best.b.sim").alias("sims"),
+        F.transform("best", lambda x: ~x["b"]["old"]).alias("fresh"))
 
 
 def _start(nodes: DataFrame, n: int, dimension: int, nearest: int, block: int) -> DataFrame:
@@ -196,8 +194,7 @@ def _start(nodes: DataFrame, n: int, dimension: int, nearest: int, block: int) -
         ordered = placed.repartitionByRange("s", "d", "node").sortWithinPartitions("s", "d", "node")
         near = ordered.select("node", "code").mapInArrow(_blocked(dimension, nearest, block), GRAPH)
         found = near if found is None else found.unionByName(near)
-    dealt = found.repartition("node").sortWithinPartitions("node")
-    return written(dealt.mapInArrow(_merged(nearest), GRAPH), "nn-graph")
+    return written(_merged(found, nearest), "nn-graph")
 
 
 def _dot(vector: Column, plane: np.ndarray) -> Column:
@@ -257,8 +254,7 @@ def build(nodes: DataFrame, n: int, dimension: int, nearest: int = NEAREST, bloc
         met = _members(graph, codes, nearest).repartition("at").sortWithinPartitions("at")
         better = met.mapInArrow(_met(dimension), GRAPH)
         old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
-        dealt = old.unionByName(better).repartition("node").sortWithinPartitions("node")
-        graph = written(dealt.mapInArrow(_merged(nearest), GRAPH), "nn-graph")
+        graph = written(_merged(old.unionByName(better), nearest), "nn-graph")
         share = graph.agg(
             F.try_divide(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids")))
         ).first()[0]
@@ -364,6 +360,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, dimension: in
             chosen = F.transform(F.slice(open_ones, 1, expand), lambda x: x["ids"])
             marked = F.transform(F.arrays_zip("ids", "expanded"), lambda x: x["expanded"] | F.array_contains("_now", x["ids"]))
             state = state.withColumn("_now", chosen).withColumn("expanded", marked).drop("_now")
+            expand = min(beam, 2 * expand)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from solvenza.llm import neighbours
 from solvenza.llm.neighbours import nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<{}>, label int, node long, code string, key string"
@@ -80,3 +81,23 @@ def test_tiny_and_huge_vectors(spark):
             x, y = units[q], units[i]
             assert s == pytest.approx(x @ y / np.sqrt((x @ x) * (y @ y)), abs=1e-12)
     assert found[0][0][0] == 1 and found[0][-1] == (3, pytest.approx(-0.6))
+
+
+def test_search_among_near_copies_takes_few_rounds(spark, monkeypatch):
+    """A beam that moves on through a crowd expands more in each round."""
+    rng = np.random.default_rng(5)
+    crowd, rounds = rng.standard_normal(16), []
+    vectors = {i: [float(x) for x in crowd + 0.02 * rng.standard_normal(16)] for i in range(900)}
+    plainly = neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, purpose: rounds.append(purpose) or plainly(df, purpose))
+    found = answers(nearest_neighbours(table(spark, vectors.items()), F.col("vec_id") % 100 == 0, nearest=8))
+    hits = sum(len({i for i, _ in found[q]} & set(plain(vectors, q))) for q in found)
+    assert rounds.count("nn-state") <= 7 and hits >= 0.9 * 45
+
+
+def test_merged_links(spark):
+    rows = [(1, [7, 8, 9], [0.5, 0.5, 0.1], [False, True, False]), (1, [9, 7, 5], [0.75, 0.5, 0.5], [True, True, True]),
+            (2, [1], [-0.5], [True])]
+    links = spark.createDataFrame(rows, neighbours.GRAPH)
+    out = {r.node: (r.ids, r.sims, r.fresh) for r in neighbours._merged(links, 3).collect()}
+    assert out == {1: ([9, 5, 7], [0.75, 0.5, 0.5], [True, True, False]), 2: ([1], [-0.5], [True])}
