@@ -69,7 +69,8 @@ def search_bulk(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     size = F.least(F.length("_needle"), F.lit(_LONGEST_GRAM))
     # At most three numbers: no sequences shorter than they have to be.
     sizes = wanted.agg(F.collect_set(size)).scalar()
-    names = spread(catalog.select("name", F.lower("name").alias("_low")))
+    # Cut twice but read once.
+    names = spread(written(catalog.select("name", F.lower("name").alias("_low")), "search-names"))
     every = names.select("*", F.explode(_grams_of_sizes(F.col("_low"), sizes)).alias("_gram"))
     asked = wanted.select("*", F.explode(F.array_distinct(_grams(F.col("_needle"), size))).alias("_gram"))
     frequency = every.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
